@@ -7,6 +7,7 @@ planes and compressed, so the JVM moves few and large rows.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import tempfile
 import uuid
@@ -18,12 +19,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 #: Bytes of text that one slice of an Arrow batch holds at most, single longer texts apart.
 SLICE_BYTES = 4 << 20
 #: The five primes of XXH64.
 XXH_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 #: Bytes of text that one bucket of documents should hold.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +101,13 @@ def _buffer(value):
     return value.as_buffer() if value.is_valid else None
 
 
+def trim() -> None:
+    """Hand freed memory back to the system: idle Python workers would keep what their largest task took."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null as empty."""
     return [b"" if (x := _buffer(v)) is None else x.to_pybytes() for v in column]

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bucket_column, bucket_of, buckets_for, cut_by, merge_blobs, mix64, pack, text_slices, texts_of, unpack
+from .common import bucket_column, bucket_of, buckets_for, cut_by, merge_blobs, mix64, pack, text_slices, texts_of, trim, unpack
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM  # largest offset of a minimiser in its string
@@ -317,6 +317,7 @@ def _local(splitters: np.ndarray):
         rows, doc, place = rows[~again], doc[~again], place[~again]
         head = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel()
         edges = np.r_[0, np.searchsorted(head, splitters, side="right"), len(head)]
+        trim()
         out += [(d, -1, encode_run(rows[x:y], doc[x:y], place[x:y])) for d, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
         return pa.table({"dest": pa.array([o[0] if o[0] >= 0 else o[1] for o in out], pa.int32()), "bucket": pa.array([o[1] for o in out], pa.int32()), "blob": pa.array([o[2] for o in out], pa.binary())})
 
@@ -366,16 +367,25 @@ def _merge(buckets: int):
     def merge(t: pa.Table) -> pa.Table:
         kinds, blobs = t.column("bucket").to_pylist(), t.column("blob").to_pylist()
         out = [(k, b) for k, b in zip(kinds, blobs, strict=True) if k >= 0]
-        runs = [decode_run(b) for k, b in zip(kinds, blobs, strict=True) if k < 0]
+        runs, docs, places = [], [], []
+        for k, blob in zip(kinds, blobs, strict=True):
+            if k < 0:
+                rows, n, doc, place = decode_run(blob)
+                runs.append((rows.tobytes(), n.tolist()))
+                docs.append(doc)
+                places.append(place)
         if runs:
-            order, n = loser_tree([(r[0].tobytes(), r[1].tolist()) for r in runs], WIDTH)
-            order = np.argsort(np.argsort(np.array(order), kind="stable"), kind="stable")
-            rows, doc, place = (np.concatenate([r[k] for r in runs])[order] for k in (0, 2, 3))
+            order, n = loser_tree(runs, WIDTH)
+            order = np.argsort(np.argsort(np.array(order, dtype=np.int32), kind="stable"), kind="stable")
+            rows = np.frombuffer(b"".join(r[0] for r in runs), dtype=np.uint8).reshape(-1, WIDTH)[order]
+            doc, place, runs = np.concatenate(docs)[order], np.concatenate(places)[order], None
             found = list(repeats(rows, np.array(n), doc, place))
             if found:
                 doc, copy, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
                 pieces = _pieces(doc, copy, lo, hi, np.ones(len(doc), bool))
                 out += [(d, pack(*x)) for d, x in cut_by(bucket_of(pieces[0], buckets), *pieces)]
+            rows = found = None
+            trim()
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()), "blob": pa.array([o[1] for o in out], pa.binary())})
 
     return merge
@@ -401,6 +411,7 @@ def _cut(fields: list[tuple[str, pa.DataType]]):
             kept.append(b"".join(pieces))
             removed.append(gone)
             counts.append(int(edges[i + 1] - edges[i]))
+        trim()
         out = docs.take(pa.array(b.order, pa.int64())).drop_columns(["bucket"])
         for name, values in (("n_bytes", [len(x) for x in b.texts]), ("n_removed", removed), ("n_spans", counts)):
             out = out.append_column(name, pa.array(values, pa.int64()))
@@ -440,10 +451,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     docs = docs.drop("bucket", "kept_text", *extra).withColumn("doc_id", F.col("doc_id").cast("long"))
     slim = docs.select("doc_id", "text")
     rows, buckets = buckets_for(slim)
-    ranges = buckets
+    ranges = 3 * buckets
     splitters = _splitters(slim, rows, ranges)
     dealt = docs.select("*", bucket_column(F.coalesce("doc_id", F.lit(NO_ID)), buckets).alias("bucket"))
-    found = slim.mapInArrow(_scan(ranges, buckets), "dest int, kind int, blob binary").groupBy("dest").applyInArrow(_matched(buckets), "bucket int, blob binary")
+    found = slim.mapInArrow(_scan(buckets, buckets), "dest int, kind int, blob binary").groupBy("dest").applyInArrow(_matched(buckets), "bucket int, blob binary")
     local = dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_local(splitters), "dest int, bucket int, blob binary")
     spans = local.groupBy("dest").applyInArrow(_merge(buckets), "bucket int, blob binary")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in extra.items())])
