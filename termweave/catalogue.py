@@ -1,10 +1,406 @@
-"""The engine's queries over the driver's tables, and their SQL."""
+"""The engine's queries over the driver's tables, and their SQL.
+
+Doubles are rounded to 6 places and arrays joined, on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import assist, glossary, graph, inspect, projects, qa, seed, tm
+from .plans import stores as P
+from .schemas import EDGES, NODES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+#: Query texts of the assist operators: any user would type these.
+PHRASES = [(1, "the onth of"), (2, "and that with"), (3, "la que de"), (4, "in th er re"), (5, "der die und")]
+PREFIXES = [(1, "th"), (2, "on"), (3, "er"), (4, "ein"), (5, "de"), (6, "x")]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _values(rows: list[tuple[int, str]]) -> str:
+    return ", ".join(f"({a}, '{b}')" for a, b in rows)
+
+
+def _frame(spark: SparkSession, rows: list[tuple[int, str]], name: str = "text") -> DataFrame:
+    return spark.createDataFrame(rows, f"qid long, {name} string")
+
+
+def _r(c: str) -> F.Column:
+    return F.round(c, 6).alias(c)
+
+
+_CONCORDANCE = f"""
+q AS (SELECT qid, text, length(text) AS m, list_filter(string_split(text, ' '), lambda w: length(w) >= 2) AS w FROM (VALUES {_values(PHRASES)}) v(qid, text)),
+c AS (SELECT qid, entry_id, source, target, len(list_filter(w, lambda x: contains(lower(source), lower(x)) OR contains(lower(target), lower(x))))::DOUBLE / len(w) * 100
+    * CASE WHEN length(source)::DOUBLE / m > 10 THEN 0.0 WHEN length(source)::DOUBLE / m > 4 THEN 0.3 WHEN length(source)::DOUBLE / m > 2 THEN 0.6 ELSE 1.0 END::DOUBLE AS relevance FROM tm, q),
+conc AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, entry_id) AS rank FROM c WHERE relevance > 20)"""
+
+
+@query(f"WITH {P.TM_SQL}, {_CONCORDANCE} SELECT qid, entry_id, round(relevance, 6) AS relevance, rank FROM conc WHERE rank <= 5")
+def tm_concordance(spark, d):
+    return tm.concordance(_frame(spark, PHRASES), P.tm(spark, d)).select("qid", "entry_id", _r("relevance"), "rank")
+
+
+# A quadratic table in SQL over all pairs is too slow; tests hold the operator against brute force.
+@query()
+def tm_fuzzy(spark, d):
+    m = P.tm_docs(spark, d)
+    q = m.select(F.col("entry_id").alias("qid"), F.col("source").alias("text"))
+    return tm.fuzzy(q, m).select("qid", "entry_id", _r("score"), "rank")
+
+
+@query(f"""WITH {P.TM_SQL}, q AS (SELECT * FROM (VALUES {_values(PREFIXES)}) v(qid, prefix) WHERE length(prefix) >= 2),
+w AS (SELECT entry_id, list_filter(regexp_split_to_array(target, '\\s+'), lambda x: x <> '') AS w FROM tm),
+h AS (SELECT qid, entry_id, w, list_position(list_transform(w, lambda x: starts_with(lower(x), prefix)), true) AS place FROM w, q),
+r AS (SELECT qid, array_to_string(w[place:place + 2], ' ') AS suggestion, row_number() OVER (PARTITION BY qid ORDER BY entry_id) AS rn FROM h WHERE place > 0)
+SELECT DISTINCT qid, suggestion FROM r WHERE rn <= 11""")
+def tm_prefix(spark, d):
+    return tm.prefix(_frame(spark, PREFIXES, "prefix"), P.tm(spark, d))
+
+
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')) AS body FROM pages""")
+def clean_text(spark, d):
+    return P.table(spark, d, "pages").select("page_id", X.clean_text("html").alias("body"))
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents)
+SELECT doc_id, len(w)::BIGINT AS words, greatest(0, len(w) - 1)::BIGINT AS pairs, coalesce(w[1] || ' ' || w[2] || ' ' || w[3], '') AS first_three FROM t""")
+def ngrams(spark, d):
+    w = P.table(spark, d, "documents").select("doc_id", X.tokens("text").alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("words"), F.size(X.ngrams(F.col("w"), 2)).cast("long").alias("pairs"), F.coalesce(F.get(X.ngrams(F.slice("w", 1, 3), 3), 0), F.lit("")).alias("first_three"))
+
+
+_LOOKUP = P.matches_sql("(SELECT entry_id AS qid, source AS text FROM tm)", "(SELECT lower(source_term) AS keyword FROM glossary WHERE source_lang = 'src')")
+_GLOSSARY_HITS = f"{P.GLOSSARY_SQL}, {_LOOKUP}, lookup AS (SELECT qid, source_term, target_term, start FROM hits JOIN glossary ON source_lang = 'src' AND source_term = keyword)"
+
+
+def _sources(spark, d):
+    return P.tm(spark, d).select(F.col("entry_id").alias("qid"), F.col("source").alias("text"))
+
+
+@query(f"WITH {_GLOSSARY_HITS} SELECT qid, source_term, target_term, start::BIGINT AS start FROM lookup")
+def glossary_lookup(spark, d):
+    return glossary.lookup(_sources(spark, d), P.glossary(spark, d), P.SOURCE, P.TARGET)
+
+
+@query(f"""WITH {P.GLOSSARY_SQL}, q AS (SELECT * FROM (VALUES {_values(PREFIXES)}) v(qid, prefix)),
+h AS (SELECT qid, source_term, target_term FROM glossary, q WHERE source_lang = 'src' AND length(prefix) >= 2 AND (starts_with(lower(source_term), prefix) OR starts_with(lower(target_term), prefix)))
+SELECT DISTINCT qid, term FROM (SELECT qid, source_term AS term FROM h UNION ALL SELECT qid, target_term FROM h)""")
+def glossary_prefix(spark, d):
+    return glossary.prefix(_frame(spark, PREFIXES, "prefix"), P.glossary(spark, d), P.SOURCE, P.TARGET)
+
+
+@query(f"WITH {P.GLOSSARY_SQL} SELECT source_lang, target_lang, source_term, target_term FROM glossary")
+def glossary_reverse(spark, d):
+    return P.glossary(spark, d).select("source_lang", "target_lang", "source_term", "target_term")
+
+
+def _doc_segments(spark, d):
+    return P.tm_docs(spark, d).select(F.col("entry_id").alias("seg_id"), "source", "target")
+
+
+_NUMBERS = """n AS (SELECT entry_id AS seg_id, list_sort(list_distinct(regexp_extract_all(source, '\\p{Nd}+'))) AS a, list_sort(list_distinct(regexp_extract_all(target, '\\p{Nd}+'))) AS b FROM tm_docs WHERE trim(target, chr(10) || chr(9) || ' ') <> ''),
+number_warnings AS (SELECT seg_id, 'numbers' AS "check", 'warning' AS type, 'Number mismatch.' ||
+  CASE WHEN len(list_filter(a, lambda x: NOT list_contains(b, x))) > 0 THEN ' Missing: ' || array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ', ') || '.' ELSE '' END ||
+  CASE WHEN len(list_filter(b, lambda x: NOT list_contains(a, x))) > 0 THEN ' Extra: ' || array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ', ') || '.' ELSE '' END AS message FROM n WHERE a <> b)"""
+_MARKS = """mark_warnings AS (SELECT entry_id AS seg_id, 'punctuation' AS "check", 'warning' AS type, CASE WHEN right(source, 1) IN ('.', '!', '?')
+  THEN 'Source ends with punctuation, target does not.' ELSE 'Target ends with punctuation, source does not.' END AS message
+  FROM tm_docs WHERE trim(target, chr(10) || chr(9) || ' ') <> '' AND (right(source, 1) IN ('.', '!', '?')) <> (right(target, 1) IN ('.', '!', '?')))"""
+
+
+@query(f"WITH {P.DOCS_SQL}, {_NUMBERS} SELECT * FROM number_warnings")
+def qa_numbers(spark, d):
+    return qa.numbers(_doc_segments(spark, d))
+
+
+@query(f"WITH {P.DOCS_SQL}, {_MARKS} SELECT * FROM mark_warnings")
+def qa_punctuation(spark, d):
+    return qa.punctuation(_doc_segments(spark, d))
+
+
+@query(f"""WITH {_GLOSSARY_HITS} SELECT qid AS seg_id, 'terms' AS "check", 'error' AS type, 'Glossary violation: ''' || source_term || ''' should be translated as ''' || target_term || '''.' AS message
+FROM lookup JOIN tm ON qid = entry_id WHERE contains(lower(source), lower(source_term)) AND NOT contains(lower(target), lower(target_term))""")
+def qa_terms(spark, d):
+    s = P.tm(spark, d).select(F.col("entry_id").alias("seg_id"), "source", "target")
+    hits = glossary.lookup(_sources(spark, d), P.glossary(spark, d), P.SOURCE, P.TARGET).withColumnRenamed("qid", "seg_id")
+    return qa.terms(s, hits)
+
+
+@query(f"""WITH {P.DOCS_SQL}, {_NUMBERS}, {_MARKS}, w AS (SELECT * FROM number_warnings UNION ALL SELECT * FROM mark_warnings)
+SELECT entry_id AS seg_id, coalesce(bool_or(type = 'error'), false) AS errors, coalesce(bool_or(type = 'warning'), false) AS warnings FROM tm_docs LEFT JOIN w ON seg_id = entry_id
+WHERE trim(target, chr(10) || chr(9) || ' ') <> '' GROUP BY entry_id""")
+def qa_rollup(spark, d):
+    s = _doc_segments(spark, d)
+    none = spark.createDataFrame([], "seg_id long, source_term string, target_term string")
+    return qa.rollup(s, qa.check(s, none))
+
+
+@query(f"WITH {P.SEED_SQL} SELECT s, t, n FROM pairs")
+def seed_cooccurrence(spark, d):
+    memory, sides = P.tm(spark, d), []
+    for c, noise in (("source", ()), ("target", seed.NOISE)):
+        found = seed.occurrences(memory, c)
+        kept = seed.significant(found, noise=noise).select("phrase")
+        sides.append(found.join(kept, "phrase", "left_semi").groupBy("entry_id", "phrase").agg(F.lit(1).alias("weight")))
+    return seed.cooccurrence(*sides)
+
+
+@query(f"WITH {P.SEED_SQL} SELECT s, t, n, round(confidence, 6) AS confidence FROM links")
+def seed_confidence(spark, d):
+    return P.links(spark, d).select("s", "t", "n", _r("confidence"))
+
+
+_BASKET = """o AS (SELECT l_orderkey, p_name AS s, p_type || ' ' || p_brand AS t, count(*) AS w FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+l AS (SELECT l_orderkey, s, sum(w) AS ws FROM o GROUP BY ALL), r AS (SELECT l_orderkey, t, sum(w) AS wt FROM o GROUP BY ALL),
+b AS (SELECT s, t, sum(ws * wt)::BIGINT AS n FROM l JOIN r USING (l_orderkey) GROUP BY ALL)"""
+
+
+@query(f"WITH {_BASKET} SELECT s, t, n, round(least(0.95::DOUBLE, n::DOUBLE / total), 6) AS confidence FROM (SELECT *, sum(n) OVER (PARTITION BY s) AS total FROM b) WHERE n >= 3")
+def seed_baskets(spark, d):
+    part = P.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("s"), F.concat_ws(" ", "p_type", "p_brand").alias("t"))
+    x = P.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    side = lambda c: x.groupBy(F.col("l_orderkey").alias("entry_id"), F.col(c).alias("phrase")).agg(F.count(F.lit(1)).alias("weight"))
+    return seed.confidence(seed.cooccurrence(side("s"), side("t"))).select("s", "t", "n", _r("confidence"))
+
+
+@query("""WITH c AS (SELECT lower(w) AS lemma, w AS surface, count(*) AS n, min(pos) AS pos FROM (SELECT doc_id * 1000000 + i AS pos, ws[i] AS w
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}]+') AS ws FROM documents))) GROUP BY ALL)
+SELECT lemma, surface FROM (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY n DESC, pos) AS rn FROM c) WHERE rn = 1""")
+def seed_mode_surface(spark, d):
+    w = P.table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1))).alias("i", "surface"))
+    return seed.mode_surface(w.select(F.lower("surface").alias("lemma"), "surface", (F.col("doc_id") * 1_000_000 + F.col("i") + 1).alias("pos")))
+
+
+@query(f"WITH {P.GRAPH_SQL} SELECT id, type, coalesce(term, label) AS name, lang, is_phrase, frequency FROM nodes")
+def kg_nodes(spark, d):
+    return P.graph(spark, d)[0].select("id", "type", F.coalesce("term", "label").alias("name"), "lang", "is_phrase", "frequency")
+
+
+@query(f"WITH {P.GRAPH_SQL} SELECT src, dst, relation, round(confidence, 6) AS confidence FROM edges")
+def kg_edges(spark, d):
+    return P.graph(spark, d)[1].select("src", "dst", "relation", _r("confidence"))
+
+
+_TERM_CALLS = "SELECT l_orderkey * 10 + l_linenumber AS pos, p_name AS term, CASE WHEN (l_orderkey * 10 + l_linenumber) % 3 = 0 THEN upper(p_name) || '!' END AS form, l_quantity > 49 AS ph FROM lineitem JOIN part ON p_partkey = l_partkey"
+
+
+@query(f"""WITH c AS ({_TERM_CALLS}) SELECT 'term:en:' || lower(term) AS id, count(*) AS frequency, bool_or(ph) AS is_phrase, (array_agg(form ORDER BY pos))[1] AS display_form FROM c GROUP BY 1""")
+def kg_terms(spark, d):
+    part = P.table(spark, d, "part").select("p_partkey", "p_name")
+    x = P.table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    form = F.when((F.col("l_orderkey") * 10 + F.col("l_linenumber")) % 3 == 0, F.concat(F.upper("p_name"), F.lit("!")))
+    calls = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("p_name").alias("term"), F.lit("en").alias("lang"), (F.col("l_quantity") > 49).alias("is_phrase"), form.alias("display_form"))
+
+    return graph.upsert_terms(spark.createDataFrame([], NODES), calls).select("id", "frequency", "is_phrase", "display_form")
+
+
+@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS pos, 'p' || (l_partkey % 50) AS src, 's' || (l_suppkey % 20) AS dst, round(l_discount * 5 + 0.3, 6) AS confidence FROM lineitem),
+b AS (SELECT pos, src, dst, confidence FROM c UNION ALL SELECT pos, dst, src, confidence FROM c),
+g AS (SELECT src, dst, count(*) AS n, arg_min(confidence, pos) AS c0 FROM b GROUP BY ALL)
+SELECT src, dst, round(CASE WHEN n = 1 THEN c0 ELSE least(0.99::DOUBLE, c0 + 0.05::DOUBLE * (n - 1)) END, 6) AS confidence FROM g""")
+def kg_links(spark, d):
+
+    x = P.table(spark, d, "lineitem")
+    calls = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey") % 20).alias("dst"), F.round(F.col("l_discount") * 5 + 0.3, 6).alias("confidence"), F.lit(False).alias("verified"), F.lit("auto").alias("provenance"), F.lit(None).cast("string").alias("context"))
+    ids = calls.select(F.col("src").alias("id")).union(calls.select(F.col("dst").alias("id"))).distinct()
+    nodes = graph.insert_absent(spark.createDataFrame([], NODES), ids.withColumn("type", F.lit("term")))
+    return graph.upsert_links(nodes, spark.createDataFrame([], EDGES), calls).select("src", "dst", _r("confidence"))
+
+
+_KEYWORDS = "(SELECT lower(term) AS keyword, max(id) AS node_id FROM nodes WHERE type = 'term' GROUP BY ALL)"
+_ENTITIES = f"{P.GRAPH_SQL}, {P.matches_sql('(SELECT entry_id AS qid, source AS text FROM tm)', _KEYWORDS)}, ents AS (SELECT DISTINCT qid, node_id FROM hits JOIN {_KEYWORDS} USING (keyword))"
+
+
+@query(f"WITH {_ENTITIES} SELECT qid, node_id, row_number() OVER (PARTITION BY qid ORDER BY is_phrase DESC, frequency DESC, node_id) AS rank FROM ents JOIN nodes ON id = node_id")
+def kg_entities(spark, d):
+    return graph.entities(_sources(spark, d), P.graph(spark, d)[0]).select("qid", "node_id", "rank")
+
+
+@query(f"WITH {P.GRAPH_SQL} SELECT src AS node_id, term, round(confidence, 6) AS confidence FROM edges JOIN nodes ON dst = id WHERE relation = 'translates_to' AND lang = 'tgt'")
+def kg_translations(spark, d):
+    nodes, edges = P.graph(spark, d)
+    return graph.translations(nodes, edges, nodes.select(F.col("id").alias("node_id")), P.TARGET).select("node_id", "term", _r("confidence"))
+
+
+@query(f"WITH {P.GRAPH_SQL} SELECT src AS start, dst AS node, 1 AS depth, relation FROM edges WHERE src <> dst")
+def kg_neighbours_1(spark, d):
+    nodes, edges = P.graph(spark, d)
+    return graph.neighbours(edges, nodes.select("id"), 1)
+
+
+_SUPPLY = "e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || (o_orderkey % 500) AS dst FROM orders UNION SELECT DISTINCT 'o' || (l_orderkey % 500), 's' || l_suppkey FROM lineitem), s AS (SELECT DISTINCT 'c' || c_custkey AS id FROM customer WHERE c_nationkey = 3)"
+
+
+@query(f"""WITH {_SUPPLY}, x AS (SELECT id AS start, dst AS node, 1 AS depth FROM s JOIN e ON src = id UNION SELECT id, b.dst, 2 FROM s JOIN e a ON a.src = id JOIN e b ON b.src = a.dst)
+SELECT start, node, min(depth) AS depth FROM x WHERE node <> start GROUP BY ALL""")
+def kg_neighbours_2(spark, d):
+    edge = lambda a, b: F.concat(F.lit(a), b)
+    one = P.table(spark, d, "orders").select(edge("c", F.col("o_custkey")).alias("src"), edge("o", F.col("o_orderkey") % 500).alias("dst"))
+    two = P.table(spark, d, "lineitem").select(edge("o", F.col("l_orderkey") % 500).alias("src"), edge("s", F.col("l_suppkey")).alias("dst"))
+    edges = one.union(two).distinct().withColumns({"relation": F.lit("r"), "pos": F.lit(0)})
+    starts = P.table(spark, d, "customer").where("c_nationkey = 3").select(edge("c", F.col("c_custkey")).alias("id")).distinct()
+    return graph.neighbours(edges, starts, 2).select("start", "node", "depth")
+
+
+_SEARCH = [(1, "the"), (2, "on"), (3, "ing th")]
+
+
+@query(f"""WITH {P.GRAPH_SQL}, q AS (SELECT * FROM (VALUES {_values(_SEARCH)}) v(qid, text)), g AS (SELECT src, count(DISTINCT dst) AS n FROM edges GROUP BY ALL)
+SELECT qid, id, coalesce(term, label) AS label, coalesce(n, 0)::BIGINT AS neighbours FROM nodes JOIN q ON contains(lower(coalesce(term, label)), text) LEFT JOIN g ON src = id""")
+def kg_search(spark, d):
+    return graph.search(*P.graph(spark, d), _frame(spark, _SEARCH))
+
+
+@query(f"""WITH {P.GRAPH_SQL} SELECT 'node_' || type AS metric, count(*) AS value FROM nodes GROUP BY ALL UNION ALL SELECT 'edge_' || relation, count(*) FROM edges GROUP BY ALL
+UNION ALL SELECT 'total_nodes', count(*) FROM nodes UNION ALL SELECT 'total_edges', count(*) FROM edges""")
+def kg_stats(spark, d):
+    return graph.stats(*P.graph(spark, d))
+
+
+@query(f"WITH {P.GRAPH_SQL}, q AS (SELECT * FROM (VALUES {_values(PREFIXES)}) v(qid, prefix)) SELECT DISTINCT qid, term FROM nodes JOIN q ON starts_with(lower(term), prefix) WHERE type = 'term' AND lang = 'tgt' AND length(prefix) >= 2")
+def kg_prefix(spark, d):
+    return graph.prefix(P.graph(spark, d)[0], _frame(spark, PREFIXES, "prefix"), P.TARGET)
+
+
+def _typing(spark, d):
+    return P.tm(spark, d).select(F.col("entry_id").alias("qid"), F.lit("th").alias("word"), F.col("source").alias("source_text"))
+
+
+_HINTS = f"""{_ENTITIES}, er AS (SELECT qid, node_id, row_number() OVER (PARTITION BY qid ORDER BY is_phrase DESC, frequency DESC, node_id) AS er FROM ents JOIN nodes ON id = node_id),
+cand AS (SELECT qid, er, node_id, term, confidence FROM er JOIN edges ON src = node_id AND relation = 'translates_to' JOIN nodes ON id = dst AND lang = 'tgt'
+  WHERE len(list_filter(string_split(lower(term), ' '), lambda w: starts_with(w, 'th'))) > 0),
+fst AS (SELECT *, row_number() OVER (PARTITION BY qid, lower(term) ORDER BY er) AS rn FROM cand),
+hint AS (SELECT qid, term, confidence, row_number() OVER (PARTITION BY qid ORDER BY confidence DESC, er, term) AS rank FROM fst WHERE rn = 1)"""
+
+
+@query(f"WITH {_HINTS} SELECT qid, term, round(confidence, 6) AS confidence, rank FROM hint WHERE rank <= 6")
+def inline_hints(spark, d):
+    q = _typing(spark, d).select("qid", F.col("word").alias("prefix"), F.col("source_text").alias("text"))
+    return graph.hints(q, *P.graph(spark, d), P.TARGET).select("qid", "term", _r("confidence"), "rank")
+
+
+@query()
+def suggestions(spark, d):
+    return assist.suggestions(_typing(spark, d), P.tm(spark, d), P.glossary(spark, d), *P.graph(spark, d), P.SOURCE, P.TARGET)
+
+
+@query(f"WITH {_HINTS} SELECT qid, term, 'kg' AS origin FROM hint WHERE rank = 1 AND starts_with(lower(term), 'th')")
+def replacement(spark, d):
+    return assist.replacement(_typing(spark, d), P.glossary(spark, d), *P.graph(spark, d), P.SOURCE, P.TARGET)
+
+
+def _graded(spark, d):
+    return P.segments(spark, d).select(F.col("id").alias("qid"), F.col("source").alias("text"), "target", "status")
+
+
+_BOUND = "regexp_matches(lower(target), '(^|[^\\p{L}])' || lower(t.term) || '($|[^\\p{L}])')"
+
+
+@query(f"""WITH {_ENTITIES}, done AS (SELECT entry_id AS qid, target FROM tm WHERE (entry_id // 1000) % 3 <> 0),
+t AS (SELECT src AS node_id, term, confidence, hash_pos FROM (SELECT src, dst, confidence, 0 AS hash_pos FROM edges WHERE relation = 'translates_to') JOIN nodes ON dst = id WHERE lang = 'tgt'),
+u AS (SELECT qid, node_id, count(*) AS n FROM ents JOIN done USING (qid) JOIN t USING (node_id) WHERE {_BOUND} GROUP BY ALL),
+p AS (SELECT DISTINCT e.qid, e.node_id FROM ents e JOIN done USING (qid) JOIN t USING (node_id))
+SELECT node_id, count(*) AS segments, count(u.n) AS matched FROM p LEFT JOIN u USING (qid, node_id) GROUP BY ALL""")
+def consistency_matches(spark, d):
+    """Per source term, its done segments and those in which a known translation stands: what the report is made of, without ties."""
+    nodes, edges = P.graph(spark, d)
+    done = _graded(spark, d).where("status = 'done'")
+    found = graph.entities(done.select("qid", "text"), nodes).select("qid", "node_id")
+    t = graph.translations(nodes, edges, found.select("node_id"), P.TARGET).select("node_id", "term")
+    x = found.join(t, "node_id").join(done.select("qid", "target"), "qid").groupBy("qid", "node_id").agg(F.bool_or(X.boundary_match(F.col("term"), F.col("target"))).alias("ok"))
+    return x.groupBy("node_id").agg(F.count(F.lit(1)).alias("segments"), F.count_if("ok").alias("matched"))
+
+
+@query()
+def consistency(spark, d):
+    return assist.consistency(_graded(spark, d), *P.graph(spark, d), P.TARGET)
+
+
+_VIEW = f"""{P.GRAPH_SQL}, vt AS (SELECT * FROM nodes WHERE type = 'term' ORDER BY frequency DESC, id LIMIT 300),
+vn AS (SELECT * FROM vt UNION ALL SELECT * FROM nodes WHERE id IN (SELECT dst FROM edges WHERE relation = 'instantiates_concept' AND src IN (SELECT id FROM vt))),
+ve AS (SELECT * FROM edges WHERE src IN (SELECT id FROM vn) AND dst IN (SELECT id FROM vn)),
+vl AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, relation FROM ve)"""
+
+
+@query(f"WITH {_VIEW} SELECT id, coalesce(term, label, id) AS label, type, coalesce(frequency, 1)::BIGINT AS freq, is_phrase, round(greatest(4, least(24, 4 + 3 * ln(1 + coalesce(frequency, 1)))), 6) AS size FROM vn")
+def inspector_nodes(spark, d):
+    nodes, edges = P.graph(spark, d)
+    chosen = inspect.select_nodes(nodes, edges)
+    return inspect.visual_nodes(chosen, inspect.select_edges(chosen, edges)).select("id", "label", "type", "freq", "is_phrase", _r("size"))
+
+
+@query(f"WITH {_VIEW} SELECT a, b, relation FROM vl")
+def inspector_links(spark, d):
+    nodes, edges = P.graph(spark, d)
+    links = inspect.visual_links(inspect.select_edges(inspect.select_nodes(nodes, edges), edges))
+    return links.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "relation")
+
+
+@query(f"""WITH {_VIEW} SELECT 'total_nodes_in_kg' AS metric, count(*) AS value FROM nodes UNION ALL SELECT 'total_edges_in_kg', count(*) FROM edges UNION ALL SELECT 'showing_nodes', count(*) FROM vn
+UNION ALL SELECT 'showing_edges', count(*) FROM vl UNION ALL SELECT 'term_nodes', count(*) FROM vt UNION ALL SELECT 'concept_nodes', count(*) FROM vn WHERE type = 'concept'
+UNION ALL SELECT 'phrase_nodes', count(*) FROM vt WHERE is_phrase UNION ALL SELECT 'verified_nodes', 0 UNION ALL SELECT 'lang_' || lang, count(*) FROM vt GROUP BY ALL
+UNION ALL SELECT 'type_' || type, count(*) FROM nodes GROUP BY ALL UNION ALL SELECT 'domain_conversations', count(*) FROM vn HAVING count(*) > 0""")
+def inspector_stats(spark, d):
+    return inspect.stats(*P.graph(spark, d))
+
+
+_BROKEN = "e AS (SELECT CASE WHEN l_shipdate IS NOT NULL AND l_linenumber = 7 THEN 'auto' ELSE 'p' || l_partkey END AS src, 's' || l_suppkey AS dst, CASE WHEN l_returnflag = 'R' THEN 'subclass_of' ELSE 'translates_to' END AS relation FROM lineitem)"
+
+
+@query(f"""WITH {_BROKEN}, x AS (SELECT count(*) FILTER (relation = 'translates_to') AS total, count(*) FILTER (relation = 'translates_to' AND src = 'auto') AS corrupted,
+count(DISTINCT dst) FILTER (relation = 'translates_to' AND src = 'auto') AS targets, count(*) FILTER (relation <> 'translates_to' AND src = 'auto') AS others FROM e)
+SELECT total, corrupted, total - corrupted AS intact, targets, others, round(corrupted::DOUBLE / greatest(1, total) * 100, 6) AS pct, CASE WHEN corrupted > 0 THEN 'CORRUPTED' WHEN total = 0 THEN 'EMPTY' ELSE 'HEALTHY' END AS verdict FROM x""")
+def integrity_report(spark, d):
+    x = P.table(spark, d, "lineitem")
+    edges = x.select(F.when(F.col("l_linenumber") == 7, "auto").otherwise(F.concat(F.lit("p"), "l_partkey")).alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.when(F.col("l_returnflag") == "R", "subclass_of").otherwise("translates_to").alias("relation"), F.col("l_orderkey").alias("pos"))
+    return inspect.integrity(edges).select("total", "corrupted", "intact", "targets", "others", _r("pct"), "verdict")
+
+
+@query(f"WITH {P.GRAPH_SQL} SELECT 'node' AS kind, type AS name, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', relation, count(*) FROM edges GROUP BY ALL")
+def kg_histogram(spark, d):
+    return inspect.histogram(*P.graph(spark, d))
+
+
+@query(f"""WITH {P.GRAPH_SQL} SELECT entry_id FROM (SELECT * FROM tm ORDER BY entry_id LIMIT 50) x
+WHERE len(list_filter(regexp_split_to_array(source, '\\s+'), lambda w: w <> '')) = 2 AND NOT EXISTS (SELECT 1 FROM nodes WHERE contains(lower(id), lower(x.source)))""")
+def discovery(spark, d):
+    return tm.discovery(P.tm(spark, d), P.graph(spark, d)[0]).select("entry_id")
+
+
+@query(f"WITH {P.SEGMENT_SQL} SELECT project_id, count(*) AS total, count(*) FILTER (status = 'done') AS done, (100 * count(*) FILTER (status = 'done') // count(*))::INTEGER AS percent FROM segments GROUP BY ALL")
+def project_progress(spark, d):
+    return projects.progress(P.segments(spark, d))
+
+
+@query(f"WITH {P.SEGMENT_SQL} SELECT project_id, string_agg(coalesce(nullif(trim(target, ' ' || chr(10)), ''), trim(source, ' ' || chr(10))), chr(10) || chr(10) ORDER BY id) AS body FROM segments GROUP BY ALL")
+def export_text(spark, d):
+    return projects.export_text(P.segments(spark, d))
+
+
+@query()
+def prompt_context(spark, d):
+    s = _sources(spark, d)
+    return assist.prompt(assist.context(s, P.tm(spark, d), P.glossary(spark, d), P.graph(spark, d)[0], P.SOURCE, P.TARGET))
+
+
+@query()
+def highlight(spark, d):
+    terms = F.array(*[F.lit(w) for w in ("the", "there", "que", "ein")])
+    return P.table(spark, d, "documents").select("doc_id", X.highlight(F.col("text"), terms).alias("body"))
