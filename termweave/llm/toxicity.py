@@ -71,27 +71,31 @@ class Model:
     def __init__(self, ordinary: dict[bytes, int], toxic: dict[bytes, int]):
         vocabulary = sorted({*ordinary, *toxic})
         buffer, starts, real = _lay(vocabulary)
-        size = [len(w) + 2 for w in vocabulary]
-        counts = [np.repeat([c.get(w, 0) for w in vocabulary], size).astype(np.float64)[real] for c in (ordinary, toxic)]
-        at, head = {}, {}
-        for n in range(1, ORDER + 1):
-            at[n] = np.unique(_grams(buffer, starts, n)[real], return_inverse=True)[1]
-            # the context: the gram of one byte less that ends a byte before
-            head[n] = np.unique(_grams(buffer, starts, n - 1)[np.flatnonzero(real) - 1], return_inverse=True)[1] if n > 1 else np.zeros(real.sum(), dtype=np.int64)
-        p_low = np.full(real.sum(), 1 / 256)
+        sizes = [len(w) + 2 for w in vocabulary]
+        counts = [np.repeat([c.get(w, 0) for w in vocabulary], sizes).astype(np.float64)[real] for c in (ordinary, toxic)]
+
+        def numbered(grams: np.ndarray) -> np.ndarray:
+            return np.unique(grams, return_inverse=True)[1].astype(np.int32)
+
+        # the context of a byte: the gram of one byte less that ends a byte before
+        before = np.flatnonzero(real) - 1
+        at, head = numbered(_grams(buffer, starts, 1)[real]), np.zeros(len(before), dtype=np.int32)
+        p_low = np.full(len(before), 1 / 256)
         for n in range(1, ORDER):
+            longer = numbered(_grams(buffer, starts, n + 1)[real])
             # continuation counts: how many grams one byte longer end in this one
-            pairs = np.unique(at[n] * (at[n + 1].max() + 1) + at[n + 1]) // (at[n + 1].max() + 1)
-            kinds_of = np.bincount(pairs, minlength=at[n].max() + 1).astype(np.float64)
-            first = np.unique(at[n], return_index=True)[1]
-            total = np.bincount(head[n][first], kinds_of)[head[n]]
-            kinds = np.bincount(head[n][first])[head[n]]
-            p_low = (kinds_of[at[n]] - DISCOUNT + DISCOUNT * kinds * p_low) / total
-        top, first = np.unique(at[ORDER], return_index=True)
-        head, p_low = head[ORDER][first], p_low[first]
+            size = int(longer.max()) + 1
+            kinds_of = np.bincount(np.unique(at.astype(np.int64) * size + longer) // size).astype(np.float64)
+            first = np.unique(at, return_index=True)[1]
+            total = np.bincount(head[first], kinds_of)[head]
+            kinds = np.bincount(head[first])[head]
+            p_low = (kinds_of[at] - DISCOUNT + DISCOUNT * kinds * p_low) / total
+            at, head = longer, numbered(_grams(buffer, starts, n)[before])
+        first = np.unique(at, return_index=True)[1]
+        head, p_low = head[first], p_low[first]
         logs = []
         for c in counts:
-            n = np.bincount(at[ORDER], c)
+            n = np.bincount(at, c)
             total = np.bincount(head, n)[head]
             rest = np.bincount(head, np.minimum(n, TOP_DISCOUNT))[head]
             safe = np.maximum(total, 1)
