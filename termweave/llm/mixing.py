@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-CAP, BLOCK, SHARD_ROWS, SEED = 3, 16, 20_000, 20
+CAP, BLOCK, SHARD_ROWS, SEED = 3, 16, 1000, 20
 
 
 def word_count(text: Column | str) -> Column:
