@@ -21,8 +21,7 @@ NOISE = ("kot", "ali", "del", "anja", "anje", "ov", "ova", "ev", "eva", "ega", "
 PHRASE_RELATIONS = ("amod", "nmod", "det", "flat", "compound", "nummod", "advmod", "nmod:poss")
 
 
-def phrases_of(text: Column | str, longest: int = 3) -> Column:
-    words = tokens(text)
+def phrases_of(words: Column, longest: int = 3) -> Column:
     every = ngrams(words, 1)
     for n in range(2, longest + 1):
         every = F.concat(every, ngrams(words, n))
@@ -31,7 +30,8 @@ def phrases_of(text: Column | str, longest: int = 3) -> Column:
 
 def occurrences(tm: DataFrame, column: str) -> DataFrame:
     """(entry_id, phrase, at), every occurrence."""
-    return tm.select("entry_id", F.posexplode(phrases_of(column)).alias("at", "phrase"))
+    words = tm.select("entry_id", tokens(column).alias("words"))  # a column of its own: within a lambda it would be cut again for each run
+    return words.select("entry_id", F.posexplode(phrases_of(F.col("words"))).alias("at", "phrase"))
 
 
 def significant(found: DataFrame, min_freq: int = MIN_FREQ, max_phrases: int = MAX_PHRASES, mode: str = "df", noise: tuple[str, ...] = ()) -> DataFrame:
