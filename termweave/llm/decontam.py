@@ -127,9 +127,8 @@ Finish = Callable[[pa.RecordBatch, list[bytes], list[int], list[tuple], list[lis
 def _scan(docs: DataFrame, benchmark: DataFrame, finish: Finish, schema: T.StructType, max_words: int) -> DataFrame:
     """docs with what every block finds, put into its last form by finish."""
     spark = docs.sparkSession
-    blocks = list(_peek(blocks_of(benchmark, max_words)))
     state = T.StructType([*docs.schema.fields, T.StructField(_HITS, T.BinaryType()), T.StructField(_ITEMS, T.ArrayType(T.StringType()))])
-    for block, first, last in blocks or [([], True, True)]:
+    for block, first, last in _peek(blocks_of(benchmark, max_words)):
         table = spark.sparkContext.broadcast(Windows(block))
 
         def mark(batches: Iterator[pa.RecordBatch], table=table, first=first, last=last) -> Iterator[pa.RecordBatch]:
@@ -156,19 +155,19 @@ def _scan(docs: DataFrame, benchmark: DataFrame, finish: Finish, schema: T.Struc
         docs = docs.mapInArrow(mark, schema if last else state)
         if not last:
             docs = materialise(docs, "decontam")
+            table.unpersist()
     return docs
 
 
 def _peek(blocks: Iterator) -> Iterator:
-    """(block, whether it is the first, whether it is the last)."""
+    """(block, whether it is the first, whether it is the last); one empty block if there is none. Two blocks are held at once."""
     first, held = True, None
     for block in blocks:
         if held is not None:
             yield held, first, False
             first = False
         held = block
-    if held is not None:
-        yield held, first, True
+    yield held or [], first, True
 
 
 def report(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
