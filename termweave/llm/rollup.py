@@ -9,10 +9,11 @@ compact() replaces batches by their sum and remembers their ids.
 
 Changes have the columns op ('insert', 'delete', 'revise'), source, lang,
 tokenizer, tokens (of the text as it is, or was when deleted) and old_tokens
-(of the revised text before). Nulls: null source, lang or tokenizer are values
-of their own; a null count is 0; a null or unknown op fails the batch. Rows that
-repeat within a batch count as often as they stand there. An empty batch
-commits and changes nothing.
+(of the revised text before). A column times, where there is one, says how often
+a change stands there, so that equal changes may come as one row. Nulls: null
+source, lang or tokenizer are values of their own; a null count is 0, null times
+is 1; a null or unknown op fails the batch. Rows that repeat within a batch count
+as often as they stand there. An empty batch commits and changes nothing.
 """
 
 from __future__ import annotations
@@ -77,10 +78,11 @@ class Rollup:
     def deltas(changes: DataFrame) -> DataFrame:
         tokens, old = F.coalesce("tokens", F.lit(0)), F.coalesce("old_tokens", F.lit(0))
         known = F.when(F.col("op").isin("insert", "delete", "revise"), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown op: "), F.coalesce("op", F.lit("null")))))
-        x = changes.select(*KEYS, known.alias("op"), tokens.alias("tokens"), old.alias("old"))
+        times = F.coalesce("times", F.lit(1)) if "times" in changes.columns else F.lit(1)
+        x = changes.select(*KEYS, known.alias("op"), tokens.alias("tokens"), old.alias("old"), times.cast("long").alias("times"))
         sign = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0)
         moved = F.when(F.col("op") == "revise", F.col("tokens") - F.col("old")).otherwise(sign * F.col("tokens"))
-        return x.groupBy(KEYS).agg(F.sum(sign).cast("long").alias("docs"), F.sum(moved).cast("long").alias("tokens"))
+        return x.groupBy(KEYS).agg(F.sum(sign * F.col("times")).cast("long").alias("docs"), F.sum(moved * F.col("times")).cast("long").alias("tokens"))
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens); keys whose documents and tokens are all gone are left out."""
@@ -135,15 +137,20 @@ def bpe_counts(docs: DataFrame, vocabulary: str, pattern: str, name: str = "toke
 
 def history(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The totals after three batches: all documents come under both counters; those whose words
-    and terms differ get their words counted as terms; exact copies of a smaller doc_id go."""
+    and terms differ get their words counted as terms; of equal texts all but one row go. That one
+    has the smallest (doc_id, source, lang), nulls first; a row that repeats counts as a copy."""
     spark = docs.sparkSession
     counted = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), word_count("text").alias("words"), _terms("text").alias("terms"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
     counted = materialise(counted, "counts")
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = counted.join(first, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    # copies of a text in one source and language are one row before they meet the row that stays
+    groups = counted.groupBy("digest", "source", "lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id")).alias("least"), F.first("terms").alias("terms"))
+    stays = groups.groupBy("digest").agg(F.min(F.struct("least", "source", "lang")).alias("stay"))
+    gone = groups.join(stays, "digest").withColumn("times", F.col("n") - F.struct("least", "source", "lang").eqNullSafe(F.col("stay")).cast("long"))
+    copies = gone.where("times > 0")
 
     def rows(df: DataFrame, op: str, tokenizer: str, tokens: str, old: str | None = None) -> DataFrame:
-        return df.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(tokens).alias("tokens"), (F.col(old) if old else F.lit(0).cast("long")).alias("old_tokens"))
+        times = F.col("times") if "times" in df.columns else F.lit(1).cast("long")
+        return df.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(tokens).alias("tokens"), (F.col(old) if old else F.lit(0).cast("long")).alias("old_tokens"), times.alias("times"))
 
     book = Rollup(spark, path or shared_path(spark, "rollup"))
     arrive = rows(counted, "insert", "words-1", "words").unionAll(rows(counted, "insert", "terms-1", "terms"))

@@ -67,6 +67,23 @@ def test_rollup(spark, tmp_path):
         book.commit("../x", first)
 
 
+def test_rollup_times(spark, tmp_path):
+    book = R.Rollup(spark, f"file://{tmp_path}/book")
+    rows = [("insert", "a", "en", "t", 5, None, 3), ("revise", "a", "en", "t", 4, 5, 2), ("delete", "a", "en", "t", 4, None, None)]
+    assert book.commit("b1", spark.createDataFrame(rows, COLUMNS + ", times long"))
+    assert list(map(tuple, book.totals().collect())) == [("a", "en", "t", 2, 9)]
+
+
+def test_history_of_copies(spark):
+    """Nulls, ties, rows that repeat, and an empty table."""
+    rows = [(1, "a b", "x", "en"), (1, "a b", "x", "en"), (2, "a b", None, None), (3, None, "x", "en"), (None, "", None, "en"), (4, "- c", "x", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    stay = [("x", "en", 2, 2 + 1), (None, "en", 1, 0)]  # doc 1 once, doc 4 with one term; of the empty texts the one with null id
+    want = sorted(((s, g, t, n, k) for s, g, n, k in stay for t in R.COUNTERS), key=str)
+    assert sorted(map(tuple, R.history(docs).collect()), key=str) == want
+    assert R.history(docs.where("false")).collect() == []
+
+
 def test_bpe_counts(spark):
     tokenizers = pytest.importorskip("public_tokenizers")
     docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "doc_id long, text string")
