@@ -97,6 +97,8 @@ def write_archives(docs: DataFrame, folder: str) -> int:
         hidden = f"{base}/.{name}.{TaskContext.get().taskAttemptId()}"
         with store.open_output_stream(hidden) as f:
             f.write(out.getbuffer())
+        if store.get_file_info(f"{base}/{name}").is_file:  # of an earlier attempt; not every store replaces
+            store.delete_file(f"{base}/{name}")
         store.move(hidden, f"{base}/{name}")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
