@@ -210,7 +210,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = materialise(with_fingerprint(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "fp"), "fingerprints")
     groups = _grouped(marked)
     keep = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows")), "keep")
-    joined = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"]))
+    # kept ids have no proven bound: never broadcast, the same spilling join at every size
+    joined = docs.join(keep.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"]))
     if keep.where("kept_rows > 1").isEmpty():
         return joined.select(docs.columns)
     several = joined.where("kept_rows > 1").dropDuplicates(["kept_id"])
