@@ -153,6 +153,36 @@ def test_suggestions_merge(spark):
     assert [(r.term, r.origin) for r in got] == [("a", "glossary"), ("b", "glossary"), ("c", "kg")]
 
 
+def test_prompt(spark):
+    memory = spark.createDataFrame([(1, "small red ring here", "majhen rdeč prstan", "", "", ""), (2, "blue", "moder", "", "", "")], schemas.TM)
+    terms = spark.createDataFrame([(1, "ring", "prstan", "en", "sl", "", ""), (2, "red", "rdeč", "en", "sl", "", "")], schemas.GLOSSARY)
+    nodes, edges = _graph(spark)
+    nodes, _ = graph.promote_pairs(nodes, edges, spark.createDataFrame([(1, "ring", "prstan", "en", "sl")], "pos long, source string, target string, source_lang string, target_lang string"))
+    segments = spark.createDataFrame([(1, "small red ring here"), (2, "zzz")], "qid long, text string")
+    got = dict(map(tuple, assist.prompt(assist.context(segments, memory, terms, nodes, "en", "sl")).collect()))
+    h = assist.HEADINGS
+    assert got[1] == (
+        f"{h['glossary_lines']}\n- 'red' => 'rdeč'\n- 'ring' => 'prstan'\n\n{h['kg_lines']}\n- Entity: ring\n\n"
+        f"{h['memory_lines']}\nOld Source: small red ring here\nOld Target: majhen rdeč prstan\n\n"
+        f"{h['example_lines']}\nSample: small red ring here -> majhen rdeč prstan\n\n{assist.LAST_HEADING}\nsmall red ring here"
+    )
+    assert got[2] == f"{assist.LAST_HEADING}\nzzz"
+    assert assist.context(segments, memory, terms, None, "en", "sl").where("kg_lines IS NOT NULL").isEmpty()
+
+
+def test_consistency(spark):
+    nodes, edges = _graph(spark)
+    pairs = [(1, "ring", "prstan", "en", "sl"), (2, "ring", "obroč", "en", "sl"), (3, "cat", "mačka", "en", "sl")]
+    nodes, edges = graph.promote_pairs(nodes, edges, spark.createDataFrame(pairs, "pos long, source string, target string, source_lang string, target_lang string"))
+    rows = [(1, "a ring", "en prstan", "done"), (2, "the ring", "ta obroč", "done"), (3, "ring", "nič", "pending"), (4, "cat", "mačka", "done"), (5, "a cat", "mačka je", "done")]
+    segments = spark.createDataFrame(rows, "qid long, text string, target string, status string")
+    got = [(r.term, set(r.used.split("|")), r.segments) for r in assist.consistency(segments, nodes, edges, "sl").collect()]
+    assert got == [("ring", {"prstan", "obroč"}, "1,2")]
+    unknown = segments.union(spark.createDataFrame([(6, "cat", "pes", "done")], segments.schema))
+    got = {r.term: (r.used, r.recommended, r.segments) for r in assist.consistency(unknown, nodes, edges, "sl").collect()}
+    assert got["cat"] == ("?|mačka", "mačka", "4,5,6")
+
+
 def test_exports(spark):
     s = spark.createDataFrame([("p", 0, "s1", "x ", "done"), ("p", 1, "s2", "", "pending")], "project_id string, id int, source string, target string, status string")
     assert projects.export_text(s).first().body == "x\n\ns2"
