@@ -11,8 +11,9 @@ doc_id; only their statistics come to the driver.
 
 Nulls: a null text is empty; empty texts get statistics of zero and the score of
 these. A null doc_id is scored, never learnt from, and not held out. Of labels
-that repeat a doc_id the largest counts; null labels don't. With a label
-missing, every score is the smoothed share of label 1.
+that repeat a doc_id the largest counts; null labels don't. Rows that repeat a
+doc_id are each scored, and learnt from once, by the least of their statistics.
+With a label missing, every score is the smoothed share of label 1.
 """
 
 from __future__ import annotations
@@ -201,7 +202,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(~held_out("doc_id", 3, 1))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     ids = [(r.doc_id, r.y) for k in (0, 1) for r in known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PER_CLASS).collect()]
-    rows = sorted(map(tuple, stats.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, y int")), "doc_id").select("y", *STATISTICS).collect()))
+    learnt = stats.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, y int")), "doc_id")
+    # one row an id, so that repeats of an id don't come to the driver
+    learnt = learnt.groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct(*STATISTICS)).alias("x")).select("y", "x.*")
+    rows = sorted(map(tuple, learnt.collect()))
     x = np.array([r[1:] for r in rows], dtype=np.float64).reshape(-1, len(STATISTICS))
     column = compile_rules(*fit(x, np.array([r[0] for r in rows], dtype=np.int64)))
     return stats.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), column.alias("score"), *STATISTICS).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select("doc_id", "held_out", "score", "predicted", *STATISTICS)

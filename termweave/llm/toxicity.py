@@ -16,8 +16,9 @@ Every text is scored whole.
 
 Nulls: a null text is empty, and an empty text gets the score of difference 0. A
 null doc_id is scored, never learnt from, and not held out. Of labels that
-repeat a doc_id the largest counts; null labels don't. With a class missing,
-every score is the smoothed share of label 1.
+repeat a doc_id the largest counts; null labels don't. Rows that repeat a doc_id
+are each scored, and learnt from once, by the least of their texts. With a class
+missing, every score is the smoothed share of label 1.
 """
 
 from __future__ import annotations
@@ -176,8 +177,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     spark = docs.sparkSession
     few = F.broadcast(spark.createDataFrame(ids, "doc_id long, y int"))
     texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.length("text") <= max_chars)
-    rows = texts.join(few, "doc_id").collect()
-    return sorted({(r.doc_id, r.y, r.text) for r in rows})
+    # one row an id, so that repeats of an id don't come to the driver
+    rows = texts.join(few, "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).collect()
+    return sorted((r.doc_id, r.y, r.text) for r in rows)
 
 
 def fit(rows: list[tuple[int, int, str]]) -> Scorer:

@@ -37,6 +37,12 @@ def test_edges(spark, module):
     assert module.score(spark.createDataFrame([], d.schema), la).collect() == []
 
 
+def test_repeated_ids_are_learnt_once(spark):
+    docs = spark.createDataFrame([(7, f"text {i % 3}") for i in range(300)] + [(8, None), (9, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 1), (9, 0)], "doc_id long, toxic int")
+    assert X.labelled_sample(docs, labels, "toxic", F.lit(True)) == [(7, 1, "text 0"), (9, 0, "x")]
+
+
 def test_lasso_is_sparse_and_rules_compile(spark):
     r = np.random.default_rng(1)
     x = r.random((800, len(Q.STATISTICS)))
