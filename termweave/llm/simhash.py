@@ -206,13 +206,26 @@ def _grouped(marked: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest doc_id of each component; of rows that share it, one."""
-    marked = materialise(with_fingerprint(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "fp"), "fingerprints")
-    groups = _grouped(marked)
-    keep = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows")), "keep")
+    """docs without all but one row of each component: of its smallest doc_id, and of rows that share that, one."""
+    marked = materialise(with_fingerprint(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")).select("doc_id", "text_hash", F.col("fp").alias("unit")), "fingerprints")
+    distinct = materialise(marked.select(F.col("unit").alias("fp")).distinct(), "distinct")
+    return kept_rows(docs, marked, components(link_stars(distinct, distinct.count())))
+
+
+def kept_rows(docs: DataFrame, marked: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of docs for each component: marked(doc_id, text_hash, unit) is a row each, found(node, component) names linked units.
+
+    Rows are told apart by doc_id and text, as ids may be null or shared.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    reps = marked.groupBy("unit").agg(F.min(first).alias("rep"))
+    named = reps.join(found, reps["unit"] == found["node"], "left").groupBy(F.coalesce("component", "unit")).agg(F.min("rep").alias("rep")).select("rep.kept_id", "rep.kept_hash")
+    repeats = marked.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count(F.lit(1)).alias("kept_rows")).where("kept_rows > 1")
+    keep = named.join(repeats, named["kept_hash"].eqNullSafe(repeats["hash"]) & named["kept_id"].eqNullSafe(repeats["id"]), "left").select("kept_id", "kept_hash", F.coalesce("kept_rows", F.lit(1)).alias("kept_rows"))
+    keep = materialise(keep, "keep")
     # kept ids have no proven bound: never broadcast, the same spilling join at every size
-    joined = docs.join(keep.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"]))
+    joined = docs.join(keep.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"]) & (F.xxhash64(docs["text"]) == keep["kept_hash"]))
     if keep.where("kept_rows > 1").isEmpty():
         return joined.select(docs.columns)
-    several = joined.where("kept_rows > 1").dropDuplicates(["kept_id"])
+    several = joined.where("kept_rows > 1").dropDuplicates(["kept_id", "kept_hash"])
     return joined.where("kept_rows = 1").select(docs.columns).unionByName(several.select(docs.columns))

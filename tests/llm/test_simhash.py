@@ -94,3 +94,13 @@ def test_keep_one(spark):
     rows = [(4, text, "x"), (2, text, "y"), (2, text, "y"), (9, "something else altogether here", "z"), (None, None, "n")]
     df = spark.createDataFrame(rows, "doc_id int, text string, fp string")
     assert sorted(map(tuple, S.keep_one(df).collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
+def test_keep_one_decides_by_row(spark):
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base), " ".join([*base[:299], "x"]), "quite another text of some words", "and a third one with no relation"]
+    rows = [(None, texts[2]), (None, texts[3]), (None, texts[3]), (7, texts[0]), (8, texts[1]), (8, texts[2] + " again"), (9, "one more that shares its id"), (9, "with this one of other words")]
+    want = [rows[k] for k in (0, 1, 3, 5, 6, 7)]
+    assert (slow_fp(texts[0]) ^ slow_fp(texts[1])).bit_count() <= 4
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, S.keep_one(df).collect()), key=str) == sorted(want, key=str)
