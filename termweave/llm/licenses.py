@@ -4,14 +4,19 @@ A text and each of its lines are units. A unit is lower-cased (A-Z) and cut into
 words as in decontam.py; its distinct word bigrams are compared to those of each
 template by 2 |A & B| / (|A| + |B|). Since that is at most 2 min / (|A| + |B|), a
 template of n bigrams can only reach THRESHOLD with units of n * t / (2 - t) to
-n * (2 - t) / t bigrams, and others are not compared. A longer run of lines is
-covered by the text as a whole; a notice wrapped inside a longer text is not.
+n * (2 - t) / t bigrams, and others are not compared.
+
+With windows, every run of words of a text is a unit too, across line ends, so a
+notice inside a longer text or line is found. The best runs begin and end with a
+bigram of the template, and only those are tried. SQL has lines and whole texts only:
+it gives the same rows where each notice is a line or a text of its own.
 
 Nulls: a null text has no units. Ties go to the first template by name.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,7 +77,34 @@ class Matcher:
                 shared[k] = shared.get(k, 0) + 1
         return [(self.names[k], d) for k, c in shared.items() if self.low[k] <= n <= self.high[k] and (d := 2 * c / (n + self.sizes[k])) >= self.threshold]
 
-    def text(self, text: bytes) -> tuple[int, dict[str, float]]:
+    def windows(self, w: list[bytes]) -> dict[str, float]:
+        """The best coefficient of any run of these words, by template that reaches the threshold."""
+        grams = list(zip(w, w[1:], strict=False))
+        shared: dict[int, int] = {}
+        for x in set(grams) & self.holders.keys():
+            for k in self.holders[x]:
+                shared[k] = shared.get(k, 0) + 1
+        # a run of s bigrams shares c <= s, so 2 c / (n + s) asks for c >= low
+        some = {k for k, c in shared.items() if c >= self.low[k]}
+        best: dict[int, float] = {}
+        ahead: OrderedDict[tuple[bytes, bytes], None] = OrderedDict()
+        for x in reversed(grams) if some else ():
+            # distinct bigrams from here on, the nearest last
+            ahead[x] = None
+            ahead.move_to_end(x)
+            for k in self.holders.get(x, ()):
+                if k not in some:
+                    continue
+                c = 0
+                for s, y in enumerate(reversed(ahead), 1):
+                    if s > self.high[k]:
+                        break
+                    if k in self.holders.get(y, ()):
+                        c += 1
+                        best[k] = max(best.get(k, 0.0), 2 * c / (s + self.sizes[k]))
+        return {self.names[k]: d for k, d in best.items() if d >= self.threshold}
+
+    def text(self, text: bytes, windows: bool = False) -> tuple[int, dict[str, float]]:
         """How many lines match, and the best coefficient by template."""
         best: dict[str, float] = {}
         every, hits = [], 0
@@ -84,12 +116,12 @@ class Matcher:
             hits += bool(found)
             for k, d in found:
                 best[k] = max(d, best.get(k, 0.0))
-        for k, d in self.unit(every):
+        for k, d in self.windows(every).items() if windows else self.unit(every):
             best[k] = max(d, best.get(k, 0.0))
         return hits, best
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
     """(doc_id, n_lines, license, dice, licenses) for each row: matching lines, the best template, and all by name."""
     matcher = Matcher(templates, threshold)
     names = ["doc_id", "n_lines", "license", "dice", "licenses"]
@@ -99,7 +131,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
             for rows in text_slices(batch):
                 out = []
                 for t in texts_of(rows.column("text")):
-                    n, best = matcher.text(t)
+                    n, best = matcher.text(t, windows)
                     top = min(best, key=lambda k: (-best[k], k), default=None)
                     out.append((n, top, best.get(top), ",".join(sorted(best))))
                 kinds = (pa.int64(), pa.string(), pa.float64(), pa.string())

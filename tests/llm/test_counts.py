@@ -45,6 +45,35 @@ def test_licenses_against_all_templates(spark):
     assert L.scan(docs.where("false")).collect() == []
 
 
+def every_run(text):
+    w, best = L.words(text.encode()), {}
+    for name, t in L.TEMPLATES.items():
+        h = L.bigrams(t.encode())
+        for i in range(len(w) - 1):
+            g = set()
+            for j in range(i, len(w) - 1):
+                g.add((w[j], w[j + 1]))
+                d = 2 * len(g & h) / (len(g) + len(h))
+                if d >= L.THRESHOLD:
+                    best[name] = max(d, best.get(name, 0))
+    return best
+
+
+def test_notices_inside_longer_texts(spark):
+    t, code = L.TEMPLATES, "int main ( int n ) { return call ( n ) ; } "
+    wrap = lambda x: "\n".join(" * " + " ".join(x.split()[i : i + 9]) for i in range(0, len(x.split()), 9))
+    texts = [f"/*\n{wrap(t['ISC'])}\n */\n{code * 9}", "Copyright 2020 X. All rights reserved.", f"{code}{t['GPL-3.0 (line)']} {t['Apache-2.0 (line)']}", f"{code * 3}\n{wrap(t['Apache-2.0'])}\n{code * 3}", code]
+    matcher = L.Matcher(t)
+    assert [matcher.text(x.encode(), windows=True)[1] for x in texts] == [every_run(x) for x in texts]
+    got = L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), windows=True)
+    assert [r.license for r in got.orderBy("doc_id").collect()] == ["ISC", "rights reserved (line)", "Apache-2.0 (line)", "Apache-2.0", None]
+
+
+def test_windows_of_the_tables(spark):
+    docs = spark.read.parquet(SMALL)
+    assert same(sorted(map(tuple, L.scan(docs, windows=True).collect()), key=str), rows_of(L.SQL))
+
+
 COLUMNS = "op string, source string, lang string, tokenizer string, tokens long, old_tokens long"
 
 
