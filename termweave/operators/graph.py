@@ -130,9 +130,9 @@ def examples(nodes: DataFrame, edges: DataFrame, terms: DataFrame, limit: int =
     return top_k(x, ["src"], [F.asc("pos"), F.asc("dst")], limit).select(F.col("src").alias("node_id"), "source_text", "target_text", "rank")
 
 
-def entities(texts: DataFrame, nodes: DataFrame, max_words: int = 3) -> DataFrame:
+def entities(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(qid, node_id, term, lang, is_phrase, frequency, rank) of the nodes a text names: phrases first, then by frequency, then id."""
-    hits = first_hits(keyword_hits(texts, "qid", "text", keywords(nodes), max_words), "qid").join(keywords(nodes), "keyword").select("qid", "node_id").distinct()
+    hits = first_hits(keyword_hits(texts, "qid", "text", keywords(nodes)), "qid").join(keywords(nodes), "keyword").select("qid", "node_id").distinct()
     n = nodes.select(F.col("id").alias("node_id"), F.coalesce("term", "phrase").alias("term"), "lang", F.coalesce("is_phrase", F.lit(False)).alias("is_phrase"), F.coalesce("frequency", F.lit(0)).alias("frequency"))
     x = hits.join(n, "node_id")
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("is_phrase"), F.desc("frequency"), "node_id")))

@@ -1,37 +1,46 @@
 """Dictionary keyword matching: leftmost, longest, without overlaps, any case.
 
-A lowered text is cut into runs of word and other characters. Every span of 1 to
-n words with exactly what stands between them is looked up in the dictionary by
-an equality join, and a fold over the hits by place keeps those that begin after
+A lowered text is cut into runs of word and other characters. Every span of as many
+words as some keyword has, with exactly what stands between them, is looked up in the
+dictionary by an equality join, and a fold over the hits by place keeps those that begin after
 the last kept one ends.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ASCII_WORD, WORD
 
 
-def spans(texts: DataFrame, key: str, text: str, max_words: int, mode: str = "unicode") -> DataFrame:
-    """(key, start, stop, span): start and stop count runs. In ascii_compat mode a single other character may open or close a span."""
+def _runs(text: str, mode: str) -> Column:
     word = WORD if mode == "unicode" else ASCII_WORD
     other = word.replace("[", "[^", 1)
     pieces = f"({word}+|{other}+)" if mode == "unicode" else f"({word}+|{other})"
-    runs = F.regexp_extract_all(F.lower(text), F.lit(pieces), F.lit(1))
-    cut = texts.select(key, runs.alias("runs")).where(F.size("runs") > 0)
-    at = cut.select(key, "runs", F.explode(F.sequence(F.lit(1), F.size("runs"))).alias("start"))
+    return F.regexp_extract_all(F.lower(text), F.lit(pieces), F.lit(1))
+
+
+def widths_of(dictionary: DataFrame, mode: str = "unicode") -> DataFrame:
+    """One row: the counts of runs that keywords have; in unicode mode those that begin and end with a word."""
+    n = dictionary.select(F.size(_runs("keyword", mode)).alias("n"))
+    return n.where("n % 2 = 1" if mode == "unicode" else "n > 0").agg(F.collect_set("n").alias("widths"))
+
+
+def spans(texts: DataFrame, key: str, text: str, widths: DataFrame, mode: str = "unicode") -> DataFrame:
+    """(key, start, stop, span): start and stop count runs. In ascii_compat mode a single other character may open or close a span."""
+    word = WORD if mode == "unicode" else ASCII_WORD
+    cut = texts.select(key, _runs(text, mode).alias("runs")).where(F.size("runs") > 0).crossJoin(F.broadcast(widths))
+    at = cut.select(key, "runs", "widths", F.explode(F.sequence(F.lit(1), F.size("runs"))).alias("start"))
     if mode == "unicode":
         at = at.where(F.regexp_like(F.element_at("runs", F.col("start")), F.lit(f"^{word}")))
-    widths = F.array(*[F.lit(2 * n - 1) for n in range(1, max_words + 1)]) if mode == "unicode" else F.sequence(F.lit(1), F.lit(4 * max_words + 1))
-    wide = at.select(key, "runs", "start", F.explode(widths).alias("n")).where("start + n - 1 <= size(runs)")
+    wide = at.select(key, "runs", "start", F.explode("widths").alias("n")).where("start + n - 1 <= size(runs)")
     return wide.select(key, F.col("start").cast("long"), (F.col("start") + F.col("n")).cast("long").alias("stop"), F.array_join(F.slice("runs", F.col("start"), F.col("n")), "").alias("span"))
 
 
-def keyword_hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame, max_words: int = 3, mode: str = "unicode") -> DataFrame:
+def keyword_hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame, mode: str = "unicode") -> DataFrame:
     """(key, keyword, start) of each accepted hit; dictionary(keyword) is lower-cased and distinct."""
-    found = spans(texts, key, text, max_words, mode).join(dictionary.select("keyword"), F.col("span") == F.col("keyword"))
+    found = spans(texts, key, text, widths_of(dictionary, mode), mode).join(dictionary.select("keyword"), F.col("span") == F.col("keyword"))
     hit = F.struct("start", (-F.col("stop")).alias("far"), "keyword")
     listed = found.groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
     empty = F.struct(F.lit(0).cast("long").alias("last"), F.expr("cast(array() as array<struct<start:bigint,far:bigint,keyword:string>>)").alias("kept"))

@@ -231,3 +231,14 @@ def test_stream(spark, tmp_path):
     q.stop()
     nodes, edges = learner.graph(spark, 0)
     assert nodes.count() == 3 and edges.where("verified").count() == 2
+
+
+def test_terms_of_many_words(spark):
+    from termweave.operators import glossary as G
+
+    entries = [(1, "black cat", "a"), (2, "the quick brown fox, that jumps over it", "b"), (3, "one two three four", "c")]
+    terms = spark.createDataFrame([(*e, "en", "de", "", "x") for e in entries], "entry_id long, source_term string, target_term string, source_lang string, target_lang string, note string, origin string")
+    texts = spark.createDataFrame([(1, "See The Quick brown fox, that jumps over it."), (2, "a black cat: one two three four")], "qid long, text string")
+    for mode in ("unicode", "ascii_compat"):
+        found = G.lookup(texts, terms, "en", "de", mode=mode).collect()
+        assert sorted((r.qid, r.target_term) for r in found) == [(1, "b"), (2, "a"), (2, "c")]
