@@ -250,7 +250,13 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Pages written to archives and read back: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
-    back = read_archives(write_archives(with_roles(pages)), with_payload=False).where("kind = 'record'")
+    return whole(read_archives(write_archives(with_roles(pages)), with_payload=False))
+
+
+def whole(back: DataFrame) -> DataFrame:
+    """The pages among records read back; a gap, or a record that fails its checks, fails the query."""
+    fault = F.concat(F.lit("archive "), "archive", F.lit(" does not read back at "), F.col("offset").cast("string"), F.lit(": "), F.coalesce("reason", "kind"))
+    back = back.where(F.when((F.col("kind") == "record") & F.col("reason").isNull(), True).otherwise(F.raise_error(fault).cast("boolean")))
     number = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)", 1).try_cast("long")
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 

@@ -5,6 +5,7 @@ import zipfile
 import zlib
 
 import duckdb
+import pytest
 
 from termweave.llm import media as M
 from termweave.llm import warc as W
@@ -61,6 +62,15 @@ def test_gaps_are_rows(spark):
     assert [(r.kind, r.length if r.kind == "gap" else bytes(r.payload)) for r in rows] == [("record", b"x"), ("gap", 7), ("record", b"y")]
 
 
+def test_round_trip_fails_on_gaps(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * 50) for i in range(20)], "page_id long, url string, html string")
+    good = W.write_archives(W.with_roles(pages))
+    assert W.whole(W.read_archives(good, with_payload=False)).count() == 20
+    bad = spark.createDataFrame([(r.archive, bytes(r.blob[:-9])) for r in good.select("archive", "blob").collect()], "archive string, blob binary")
+    with pytest.raises(Exception, match="does not read back"):
+        W.whole(W.read_archives(bad, with_payload=False)).collect()
+
+
 def test_png():
     for n in (0, 1, 63, 64, 65, 100_000):
         text = bytes(i * 7 % 251 for i in range(n))
