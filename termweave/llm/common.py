@@ -67,22 +67,37 @@ def buckets_for(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     return rows, max(partitions(docs.sparkSession), -(-(total or 0) // BUCKET_BYTES))
 
 
-def bucket_column(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n).cast("long")).cast("int")
+def unused(name: str, columns: list[str]) -> str:
+    """name, or a longer one if columns has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
-    """bucket_column() of 64-bit keys, outside Spark: XXH64 of 8 bytes with seed 42."""
+def bucket_column(n: int, *keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(n).cast("long")).cast("int")
+
+
+def bucket_of(n: int, *keys: np.ndarray) -> np.ndarray:
+    """bucket_column() of 64-bit keys, outside Spark: XXH64 of 8 bytes, of the first with seed 42, of others with the hash so far."""
+    h = np.uint64(42)
+    for key in keys:
+        h = _xxh64(key, h)
+    return (h.view(np.int64) % n).astype(np.int32)
+
+
+def _xxh64(key: np.ndarray, seed: np.uint64 | np.ndarray) -> np.ndarray:
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in XXH_PRIMES)
 
     def turn(x: np.ndarray, by: int) -> np.ndarray:
         return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
-    h = (np.uint64(42 + 8) + p5) ^ (turn(key.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+    h = (seed + p5 + np.uint64(8)) ^ (turn(key.astype(np.int64).view(np.uint64) * p2, 31) * p1)
     h = turn(h, 27) * p1 + p4
     h = (h ^ (h >> np.uint64(33))) * p2
     h = (h ^ (h >> np.uint64(29))) * p3
-    return ((h ^ (h >> np.uint64(32))).view(np.int64) % n).astype(np.int32)
+    return h ^ (h >> np.uint64(32))
 
 
 def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -117,7 +117,7 @@ def blocks_of(benchmark: DataFrame, max_words: int = MAX_WORDS) -> list[list[tup
     most = slim.select(F.sum(F.floor((F.length("text") + 1) / 2))).first()[0] or 0
     count = -(-most // max_words)
     for k in range(count):
-        rows = slim if count == 1 else slim.where(bucket_column(F.col("item"), count) == k)
+        rows = slim if count == 1 else slim.where(bucket_column(count, F.col("item")) == k)
         yield [(r.item, r.text.encode()) for r in rows.collect()]
 
 

@@ -108,7 +108,7 @@ def _filed(segments: int, ranges: int):
                         fps.append(fp[look])
                         home.append(np.full(look.sum(), not flip, dtype=np.uint8))
                 key, out = np.concatenate(keys), []
-                for d, x in cut_by(bucket_of(key.view(np.int64), ranges), key, np.concatenate(fps), np.concatenate(home)):
+                for d, x in cut_by(bucket_of(ranges, key.view(np.int64)), key, np.concatenate(fps), np.concatenate(home)):
                     out.append((d, pack(*x)))
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["dest", "blob"])
 

@@ -20,8 +20,11 @@ match is lost by that.
 4. cut: the bytes covered by all but the earliest of a class are removed.
 
 Nulls: a null text is empty; a null doc_id comes after all others. Rows that
-share a doc_id are ordered by text, so that of equal rows one stays. Texts below
-LENGTH bytes have nothing to remove. An empty table gives an empty table.
+share a doc_id, or have none, are ordered by SALT bits of their text's hash, then
+by text, so that they are dealt to many buckets, and of equal rows one stays.
+Texts below LENGTH bytes have nothing to remove. An empty table gives an empty
+table. A text is held whole by the task of its bucket, however long it is. Columns
+of docs may have any names: those of the result's own columns are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
@@ -43,9 +47,12 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM  # largest offset of a minimiser in its string
 WIDTH = LENGTH + 1 + SPAN + 1  # right context, its length, left context reversed, its length
 CHUNK = 1 << 17
-#: Documents from which splitters are taken; they decide how even the ranges are, nothing else.
-SPLITTER_DOCS = 2000
+#: Documents from which splitters are taken, and grams of one batch; they decide how even the ranges are, nothing else.
+SPLITTER_DOCS, SPLITTER_GRAMS = 2000, 2000
 NO_ID = np.iinfo(np.int64).max
+#: A place is one number: bits of the text's hash, the number of the text among those of one doc_id and hash, the position.
+SALT, NUMBER, SPOT = 20, 12, 31
+_SPOT_MASK = (1 << SPOT) - 1
 
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 _STEPS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
@@ -124,18 +131,19 @@ def _scan(ranges: int, buckets: int):
                 if not len(at):
                     continue
                 which = np.searchsorted(ends, at, side="right")
-                doc, pos = _ids(rows.column("doc_id"))[which], (at - np.r_[0, ends][which]).astype(np.int32)
+                doc, salt = _ids(rows.column("doc_id"))[which], rows.column("salt").to_numpy().astype(np.int32)[which]
+                pos = (at - np.r_[0, ends][which]).astype(np.int32)
                 key = _keys(data, at)
-                order = np.lexsort((pos, doc, key))
-                key, doc, pos = key[order], doc[order], pos[order]
+                order = np.lexsort((pos, salt, doc, key))
+                key, doc, salt, pos = key[order], doc[order], salt[order], pos[order]
                 first = np.r_[True, key[1:] != key[:-1]]
                 size = np.diff(np.r_[np.flatnonzero(first), len(key)])
                 many = np.repeat(size > 1, size)
                 out = []
                 dest = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
-                for d, x in cut_by(dest[first], key[first].astype(np.uint32), doc[first], pos[first], many[first].astype(np.uint8)):
+                for d, x in cut_by(dest[first], key[first].astype(np.uint32), doc[first], salt[first], pos[first], many[first].astype(np.uint8)):
                     out.append((d, 0, pack(*x)))
-                for d, x in cut_by(bucket_of(doc[many], buckets), doc[many], pos[many]):
+                for d, x in cut_by(bucket_of(buckets, doc[many], salt[many].astype(np.int64)), doc[many], salt[many], pos[many]):
                     out.append((d % ranges, d + 1, pack(*x)))
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["dest", "kind", "blob"])
 
@@ -147,42 +155,68 @@ def _matched(buckets: int):
 
     def matched(t: pa.Table) -> pa.Table:
         kinds, blobs = t.column("kind").to_pylist(), t.column("blob").to_pylist()
-        key, doc, pos, many = merge_blobs([b for k, b in zip(kinds, blobs, strict=True) if not k], [np.uint32, np.int64, np.int32, np.uint8])
+        key, doc, salt, pos, many = merge_blobs([b for k, b in zip(kinds, blobs, strict=True) if not k], [np.uint32, np.int64, np.int32, np.int32, np.uint8])
         order = np.argsort(key, kind="stable")
-        key, doc, pos, many = key[order], doc[order], pos[order], many[order]
+        key, doc, salt, pos, many = key[order], doc[order], salt[order], pos[order], many[order]
         edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
         size = np.diff(np.r_[edges, len(key)])
         stay = np.repeat(size > 1, size) & (many == 0)
         out = [(k - 1, b) for k, b in zip(kinds, blobs, strict=True) if k]
-        out += [(d, pack(*x)) for d, x in cut_by(bucket_of(doc[stay], buckets), doc[stay], pos[stay])]
+        doc, salt, pos = doc[stay], salt[stay], pos[stay]
+        out += [(d, pack(*x)) for d, x in cut_by(bucket_of(buckets, doc, salt.astype(np.int64)), doc, salt, pos)]
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()), "blob": pa.array([o[1] for o in out], pa.binary())})
 
     return matched
 
 
 class Bucket:
-    """The rows of a bucket in the order (doc_id, text), with their bytes in one array."""
+    """The rows of a bucket in the order (doc_id, salt, text), with their bytes in one array; twin rows equal the one before in all three."""
 
     def __init__(self, t: pa.Table):
         texts, ids = texts_of(t.column("text")), _ids(t.column("doc_id").combine_chunks())
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        self.ids = ids[self.order] if len(ids) else ids
+        salt = t.column("salt").to_numpy().astype(np.int64)
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], salt[i], texts[i]))
+        self.ids, self.salt = ids[self.order], salt[self.order]
         self.texts = [texts[i] for i in self.order]
         self.starts = np.r_[0, np.cumsum([len(x) for x in self.texts], dtype=np.int64)]
-        same = np.r_[False, self.ids[1:] == self.ids[:-1]] if len(ids) else np.empty(0, bool)
-        at = np.arange(len(ids))
-        self.copy = at - np.maximum.accumulate(np.where(same, 0, at)) if len(ids) else at
-
-    def rows_at(self, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and place of each anchor, in all rows with its doc_id."""
-        lo, hi = np.searchsorted(self.ids, doc), np.searchsorted(self.ids, doc, side="right")
-        n = hi - lo
-        row = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        pos = np.repeat(pos, n).astype(np.int64)
+        same = np.r_[False, (self.ids[1:] == self.ids[:-1]) & (self.salt[1:] == self.salt[:-1])][: len(ids)]
+        self.twin = same & np.array([k > 0 and self.texts[k] == self.texts[k - 1] if same[k] else False for k in range(len(ids))], dtype=bool)
+        number = np.cumsum(~self.twin)
+        self.copy = (self.salt << NUMBER) | (number - np.maximum.accumulate(np.where(same, 0, number))) if len(ids) else number
+        hashed = self._hash(self.ids, self.salt)
+        self.by = np.argsort(hashed, kind="stable")
+        self.hashed = hashed[self.by]
+
+    @staticmethod
+    def _hash(ids: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return mix64(ids.astype(np.int64).view(np.uint64) ^ mix64(salt.astype(np.uint64) + np.uint64(1)))
+
+    def _named(self, doc: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of rows with each doc_id and salt: the place of the asked pair, and the row."""
+        h = self._hash(doc, salt)
+        lo = np.searchsorted(self.hashed, h)
+        n = np.searchsorted(self.hashed, h, side="right") - lo
+        ask = np.repeat(np.arange(len(doc)), n)
+        row = self.by[np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))]
+        ok = (self.ids[row] == doc[ask]) & (self.salt[row] == salt[ask]) & ~self.twin[row]
+        return ask[ok], row[ok]
+
+    def rows_at(self, doc: np.ndarray, salt: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and position of each anchor, in all rows with its doc_id and salt; twins have none."""
+        ask, row = self._named(doc, salt)
+        pos = pos[ask].astype(np.int64)
         ok = pos + GRAM <= np.diff(self.starts)[row]
-        row, pos = row[ok], pos[ok]
-        both = np.unique(np.stack([row, pos]), axis=1) if len(row) else np.empty((2, 0), np.int64)
-        return both[0], both[1]
+        both = np.unique((row[ok] << SPOT) | pos[ok])
+        return both >> SPOT, both & _SPOT_MASK
+
+    def rows_of(self, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The row of each place."""
+        copy = place >> SPOT
+        ask, row = self._named(doc, copy >> NUMBER)
+        hit = self.copy[row] == copy[ask]
+        out = np.zeros(len(doc), dtype=np.int64)
+        out[ask[hit]] = row[hit]
+        return out
 
 
 def contexts(b: Bucket, row: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -217,14 +251,16 @@ def encode_run(rows: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
     return pack(n, tail, doc, place)
 
 
-def decode_run(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def decode_run(blob: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a run, one after the other, with their shared lengths, documents and places."""
     n, tail, doc, place = unpack(blob)
-    rows = np.zeros((len(n), WIDTH), dtype=np.uint8)
-    rows[np.arange(WIDTH) >= n[:, None]] = tail
-    at = np.arange(len(n))
-    for j in range(WIDTH):
-        rows[:, j] = rows[np.maximum.accumulate(np.where(n <= j, at, 0)), j]
-    return rows, n, doc, place
+    tail, rows, row, at = tail.tobytes(), [], b"", 0
+    for k in n.tolist():
+        end = at + WIDTH - k
+        row = row[:k] + tail[at:end]
+        rows.append(row)
+        at = end
+    return b"".join(rows), n, doc, place
 
 
 def loser_tree(runs: list[tuple[bytes, list[int]]], width: int) -> tuple[list[int], list[int]]:
@@ -298,16 +334,13 @@ def _merged_intervals(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[
     return doc[at], lo[at], (reach - base)[np.r_[at[1:] - 1, len(doc) - 1]]
 
 
-_SPOT = 40  # place = copy << _SPOT | position
-
-
 def _local(splitters: np.ndarray):
     def local(key, docs: pa.Table, replies: pa.Table) -> pa.Table:
-        doc, pos = merge_blobs(replies.column("blob").to_pylist(), [np.int64, np.int32])
+        doc, salt, pos = merge_blobs(replies.column("blob").to_pylist(), [np.int64, np.int32, np.int32])
         b = Bucket(docs)
-        row, pos = b.rows_at(doc, pos)
+        row, pos = b.rows_at(doc, salt.astype(np.int64), pos)
         rows = contexts(b, row, pos)
-        doc, place = b.ids[row], (b.copy[row] << _SPOT) | pos
+        doc, place = b.ids[row], (b.copy[row] << SPOT) | pos
         order = np.argsort(rows.view(f"S{WIDTH}").ravel(), kind="stable")
         rows, doc, place, row, pos = rows[order], doc[order], place[order], row[order], pos[order]
         again = shared_lengths(rows) == WIDTH
@@ -315,7 +348,8 @@ def _local(splitters: np.ndarray):
         gone = again & (hi - lo >= LENGTH)
         out = [(-1, int(key[0].as_py()), pack(*_pieces(doc, place - pos, lo, hi, gone)))] if gone.any() else []
         rows, doc, place = rows[~again], doc[~again], place[~again]
-        head = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel()
+        # a range ends where a gram does: strings that are equal share one
+        head = np.ascontiguousarray(rows[:, :GRAM]).view(f"S{GRAM}").ravel()
         edges = np.r_[0, np.searchsorted(head, splitters, side="right"), len(head)]
         trim()
         out += [(d, -1, encode_run(rows[x:y], doc[x:y], place[x:y])) for d, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
@@ -325,7 +359,7 @@ def _local(splitters: np.ndarray):
 
 
 def _pieces(doc, copy, lo, hi, gone):
-    """Intervals (doc_id, copy << _SPOT, start, end), united where they touch."""
+    """Intervals (doc_id, copy << SPOT, start, end), united where they touch."""
     both = np.stack([doc[gone], copy[gone]])
     pairs, which = np.unique(both, axis=1, return_inverse=True) if gone.any() else (both, np.empty(0, np.int64))
     which, lo, hi = _merged_intervals(which.ravel(), lo[gone].astype(np.int64), hi[gone].astype(np.int64))
@@ -334,6 +368,18 @@ def _pieces(doc, copy, lo, hi, gone):
 
 def repeats(rows: np.ndarray, n: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
     """For sorted rows and their shared lengths: (doc, copy, start, end) of strings that an earlier row has too."""
+    fresh = n < WIDTH
+    if not fresh.all():
+        # rows with one whole context: all but the earliest are repeats, whatever else there is
+        group = np.cumsum(fresh) - 1
+        order = np.lexsort((place, doc, group))
+        first = np.r_[True, group[order][1:] != group[order][:-1]]
+        later = order[~first]
+        lo = (place[later] & _SPOT_MASK) - rows[later, -1]
+        hi = (place[later] & _SPOT_MASK) + rows[later, LENGTH]
+        ok = hi - lo >= LENGTH
+        yield doc[later][ok], (place[later] & ~_SPOT_MASK)[ok], lo[ok], hi[ok]
+        rows, n, doc, place = rows[fresh], n[fresh], doc[order[first]], place[order[first]]
     right, left = rows[:, LENGTH].astype(np.int64), rows[:, -1].astype(np.int64)
     n = np.minimum(np.minimum(n.astype(np.int64), LENGTH), np.minimum(right, np.r_[0, right[:-1]]))
     joined = n >= GRAM
@@ -344,22 +390,23 @@ def repeats(rows: np.ndarray, n: np.ndarray, doc: np.ndarray, place: np.ndarray)
     order = np.argsort(np.ascontiguousarray(rows[:, LENGTH + 1 :]).view(f"S{SPAN + 1}").ravel(), kind="stable")
     m = shared_lengths(rows[order][:, LENGTH + 1 : WIDTH - 1]).astype(np.int64)
     m = np.minimum(m, np.minimum(left[order], np.r_[0, left[order][:-1]]))
-    earliest = np.lexsort((place, doc))
+    # offsets at which a row can equal another: as far as its neighbours in either order share with it
+    least = LENGTH - np.maximum(n, np.r_[n[1:], 0])
+    most = np.empty(len(n), np.int64)
+    most[order] = np.maximum(m, np.r_[m[1:], 0])
+    some = np.flatnonzero(least <= most)
+    some = some[np.lexsort((place[some], doc[some]))]
+    least, most = least[some], most[some]
     own = np.empty(len(n), np.int64)
     for off in range(SPAN + 1):
-        block = np.cumsum(n < LENGTH - off)
-        own[order] = np.cumsum(m < off) if off else 0
-        ok = (left >= off) & (right >= LENGTH - off)
-        at = earliest[ok[earliest]]
+        at = some[(least <= off) & (off <= most)]
         if len(at) < 2:
             continue
-        key = block[at] * (len(n) + 1) + own[at]
-        _, first = np.unique(key, return_index=True)
-        later = np.ones(len(at), bool)
-        later[first] = False
-        at = at[later]
+        block = np.cumsum(n < LENGTH - off)
+        own[order] = np.cumsum(m < off) if off else 0
+        at = at[pd.Series(block[at] * (len(n) + 1) + own[at]).duplicated().to_numpy()]
         if len(at):
-            pos = place[at] & ((1 << _SPOT) - 1)
+            pos = place[at] & _SPOT_MASK
             yield doc[at], place[at] - pos, pos - off, pos - off + LENGTH
 
 
@@ -371,7 +418,7 @@ def _merge(buckets: int):
         for k, blob in zip(kinds, blobs, strict=True):
             if k < 0:
                 rows, n, doc, place = decode_run(blob)
-                runs.append((rows.tobytes(), n.tolist()))
+                runs.append((rows, n.tolist()))
                 docs.append(doc)
                 places.append(place)
         if runs:
@@ -383,7 +430,8 @@ def _merge(buckets: int):
             if found:
                 doc, copy, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
                 pieces = _pieces(doc, copy, lo, hi, np.ones(len(doc), bool))
-                out += [(d, pack(*x)) for d, x in cut_by(bucket_of(pieces[0], buckets), *pieces)]
+                salt = pieces[1] >> (SPOT + NUMBER)
+                out += [(d, pack(*x)) for d, x in cut_by(bucket_of(buckets, pieces[0], salt), *pieces)]
             rows = found = None
             trim()
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()), "blob": pa.array([o[1] for o in out], pa.binary())})
@@ -397,8 +445,9 @@ def _cut(fields: list[tuple[str, pa.DataType]]):
     def cut(key, docs: pa.Table, spans: pa.Table) -> pa.Table:
         doc, copy, lo, hi = merge_blobs(spans.column("blob").to_pylist(), [np.int64] * 4)
         b = Bucket(docs)
-        row = np.searchsorted(b.ids, doc) + (copy >> _SPOT)
-        row, lo, hi = _merged_intervals(row, lo, hi)
+        twins = np.flatnonzero(b.twin & (np.diff(b.starts) >= LENGTH))  # all of them stands in the row before
+        row = np.r_[b.rows_of(doc, copy), twins]
+        row, lo, hi = _merged_intervals(row, np.r_[lo, np.zeros(len(twins), np.int64)], np.r_[hi, np.diff(b.starts)[twins]])
         edges = np.searchsorted(row, np.arange(len(b.ids) + 1))
         kept, removed, counts = [], [], []
         for i, text in enumerate(b.texts):
@@ -412,7 +461,7 @@ def _cut(fields: list[tuple[str, pa.DataType]]):
             removed.append(gone)
             counts.append(int(edges[i + 1] - edges[i]))
         trim()
-        out = docs.take(pa.array(b.order, pa.int64())).drop_columns(["bucket"])
+        out = docs.take(pa.array(b.order, pa.int64()))
         for name, values in (("n_bytes", [len(x) for x in b.texts]), ("n_removed", removed), ("n_spans", counts)):
             out = out.append_column(name, pa.array(values, pa.int64()))
         out = out.append_column("kept_sha256", pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()))
@@ -424,21 +473,21 @@ def _cut(fields: list[tuple[str, pa.DataType]]):
 
 
 def _splitters(docs: DataFrame, rows: int, ranges: int) -> np.ndarray:
-    """Quantiles of the first 8 bytes of minimisers in a bounded sample of documents."""
+    """Quantiles of the grams at minimisers in a bounded sample of documents; as many ranges as the sample allows."""
     share = max(1, rows // SPLITTER_DOCS)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").where(F.octet_length("text") <= 1 << 16)
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "salt"), F.lit(share)) == 0).select("text").where(F.octet_length("text") <= 1 << 16)
 
     def heads(batches):
         for batch in batches:
             for part in text_slices(batch):
                 data, ends = _joined(texts_of(part.column("text")))
                 at = anchors(data, ends)
-                head = np.unique(sliding_window_view(data, 8)[at].view(">u8").ravel()) if len(at) else np.empty(0, ">u8")
-                step = max(1, len(head) // 2000)
-                yield pa.RecordBatch.from_arrays([pa.array([pack(head[::step].astype(np.uint64))], pa.binary())], names=["blob"])
+                head = np.unique(np.ascontiguousarray(sliding_window_view(data, GRAM)[at]).view(f"S{GRAM}").ravel()) if len(at) else np.empty(0, f"S{GRAM}")
+                head = head[:: max(1, len(head) // SPLITTER_GRAMS)]
+                yield pa.RecordBatch.from_arrays([pa.array([head.tobytes()], pa.binary())], names=["blob"])
 
-    got = np.sort(np.concatenate([np.empty(0, np.uint64), *(unpack(bytes(r[0]))[0] for r in some.mapInArrow(heads, "blob binary").collect())]))
-    return np.unique(got[np.linspace(0, len(got), ranges + 1)[1:-1].astype(int)]) if len(got) > ranges else got[:0]
+    got = np.unique(np.frombuffer(b"".join(bytes(r[0]) for r in some.mapInArrow(heads, "blob binary").collect()), dtype=f"S{GRAM}"))
+    return got[np.unique(np.linspace(0, len(got) - 1, ranges + 1)[1:-1].astype(int))] if len(got) else got
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -448,15 +497,33 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     docs that have one of these names are replaced.
     """
     extra = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"} | ({"kept_text": "string"} if with_text else {})
-    docs = docs.drop("bucket", "kept_text", *extra).withColumn("doc_id", F.col("doc_id").cast("long"))
-    slim = docs.select("doc_id", "text")
+    docs = docs.drop("kept_text", *extra).withColumn("doc_id", F.col("doc_id").cast("long"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    salt = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 64 - SALT).alias("salt")
+    slim = docs.select("doc_id", "text", salt)
     rows, buckets = buckets_for(slim)
-    ranges = 3 * buckets
-    splitters = _splitters(slim, rows, ranges)
-    dealt = docs.select("*", bucket_column(F.coalesce("doc_id", F.lit(NO_ID)), buckets).alias("bucket"))
+    splitters = _splitters(slim, rows, 3 * buckets)
+    bucket = bucket_column(buckets, F.coalesce("doc_id", F.lit(NO_ID)), F.col("salt")).alias("bucket")
+    # columns of any names travel in one that has a name of its own
+    full = docs.select("doc_id", "text", F.struct(*others).alias("others") if others else F.lit(None).cast("string").alias("others"), salt)
     found = slim.mapInArrow(_scan(buckets, buckets), "dest int, kind int, blob binary").groupBy("dest").applyInArrow(_matched(buckets), "bucket int, blob binary")
-    local = dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_local(splitters), "dest int, bucket int, blob binary")
+    local = slim.select("*", bucket).groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_local(splitters), "dest int, bucket int, blob binary")
     spans = local.groupBy("dest").applyInArrow(_merge(buckets), "bucket int, blob binary")
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in extra.items())])
+    schema = T.StructType([*full.drop("salt").schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in extra.items())])
     fields = [(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
-    return dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut(fields), schema)
+    out = full.select("*", bucket).groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut(fields), schema)
+    back = {c: F.col("others")[c].alias(c) for c in others}
+    return out.select(*[back.get(c, F.col(c)) for c in docs.columns], *extra)
+
+
+def keep_unrepeated(docs: DataFrame) -> DataFrame:
+    """docs with repeats cut from text, n_chars after it where it is; a row goes if a cut leaves white space only. All columns keep their names."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = remove_repeats(docs.select("doc_id", "text", *([F.struct(*others).alias("others")] if others else [])))
+    cut = cut.where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
+    again = F.col("n_removed") > 0
+    made = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.when(again, F.col("kept_text")).otherwise(F.col("text"))}
+    made |= {c: F.col("others")[c] for c in others}
+    if "n_chars" in others:
+        made["n_chars"] = F.when(again, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("others")["n_chars"])
+    return cut.select(*[made[c].alias(c) for c in docs.columns])

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from termweave.llm import suffix_dedup as S
@@ -12,8 +13,9 @@ SCHEMA = "doc_id long, text string"
 
 
 def brute(rows):
-    """By the definition: a byte goes if a 100-byte string over it starts earlier too."""
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode()))
+    """By the definition: a byte goes if a 100-byte string over it starts earlier too. Rows of one doc_id stand by hash, then by text."""
+    salt = lambda t: xxhash.xxh64_intdigest(t, 42) >> 64 - S.SALT
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, salt((r[1] or "").encode()), (r[1] or "").encode()))
     seen, out = set(), []
     for doc_id, text in rows:
         b = (text or "").encode()
@@ -76,8 +78,25 @@ def test_empty_and_clashing(spark):
 
 def test_bucket_matches_spark(spark):
     ids = [0, 1, -1, 2**62, -(2**63), 2**63 - 1, 12345]
-    df = spark.createDataFrame([(i,) for i in ids], "x long").select("x", bucket_column(F.col("x"), 37).alias("b"))
-    assert {r.x: r.b for r in df.collect()} == dict(zip(ids, bucket_of(np.array(ids), 37).tolist()))
+    df = spark.createDataFrame([(i,) for i in ids], "x long").select("x", bucket_column(37, F.col("x")).alias("b"), bucket_column(37, F.col("x"), F.col("x") % 1000).alias("c"))
+    x = np.array(ids)
+    assert {r.x: r.b for r in df.collect()} == dict(zip(ids, bucket_of(37, x).tolist()))
+    assert {r.x: r.c for r in df.collect()} == dict(zip(ids, bucket_of(37, x, np.fmod(x, 1000)).tolist()))
+
+
+def test_rows_without_or_with_one_id(spark):
+    r = random.Random(11)
+    passages = [words(r, 40) for _ in range(4)]
+    texts = [" ".join([words(r, r.randint(0, 30)), r.choice(passages), words(r, r.randint(0, 30))]) for _ in range(60)]
+    rows = [(None, t) for t in texts[:30]] + [(7, t) for t in texts[20:50]] + [(7, texts[25])] * 3 + [(None, texts[3])] * 2 + [(1, texts[55]), (9, texts[56])]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    p = "".join(chr(0x100 + i) for i in range(60))
+    df = spark.createDataFrame([(1, "a", 5, 6, 7, 1), (2, p + "ab", 7, 8, 9, 62), (3, "cc" + p, 9, 1, 2, 62), (4, p, 1, 1, 1, 60)], "doc_id int, text string, bucket int, n_bytes int, others int, n_chars int")
+    got = sorted(map(tuple, S.keep_unrepeated(df).collect()))
+    assert got == [(1, "a", 5, 6, 7, 1), (2, p + "ab", 7, 8, 9, 62), (3, "cc", 9, 1, 2, 2)]
 
 
 def test_loser_tree_is_a_sort():
@@ -102,4 +121,4 @@ def test_front_coding_round_trip():
     r = np.random.default_rng(5)
     rows = np.sort(r.integers(0, 3, (200, S.WIDTH), dtype=np.uint8).view(f"S{S.WIDTH}"), axis=0).view(np.uint8).reshape(200, S.WIDTH)
     out = S.decode_run(S.encode_run(rows, np.arange(200), np.arange(200)))
-    assert (out[0] == rows).all() and (out[2] == np.arange(200)).all()
+    assert out[0] == rows.tobytes() and (out[2] == np.arange(200)).all()
