@@ -504,14 +504,14 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     rows, buckets = buckets_for(slim)
     splitters = _splitters(slim, rows, 3 * buckets)
     bucket = bucket_column(buckets, F.coalesce("doc_id", F.lit(NO_ID)), F.col("salt")).alias("bucket")
-    # columns of any names travel in one that has a name of its own
-    full = docs.select("doc_id", "text", F.struct(*others).alias("others") if others else F.lit(None).cast("string").alias("others"), salt)
+    # columns of any names travel in one that has a name of its own; one exchange serves both uses
+    dealt = docs.select("doc_id", "text", *([F.struct(*others).alias("others")] if others else []), salt).select("*", bucket)
     found = slim.mapInArrow(_scan(buckets, buckets), "dest int, kind int, blob binary").groupBy("dest").applyInArrow(_matched(buckets), "bucket int, blob binary")
-    local = slim.select("*", bucket).groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_local(splitters), "dest int, bucket int, blob binary")
+    local = dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_local(splitters), "dest int, bucket int, blob binary")
     spans = local.groupBy("dest").applyInArrow(_merge(buckets), "bucket int, blob binary")
-    schema = T.StructType([*full.drop("salt").schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in extra.items())])
+    schema = T.StructType([*dealt.drop("salt", "bucket").schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in extra.items())])
     fields = [(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
-    out = full.select("*", bucket).groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut(fields), schema)
+    out = dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut(fields), schema)
     back = {c: F.col("others")[c].alias(c) for c in others}
     return out.select(*[back.get(c, F.col(c)) for c in docs.columns], *extra)
 
