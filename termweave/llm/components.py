@@ -1,4 +1,9 @@
-"""Connected components by alternating star contractions, in joins and aggregates."""
+"""Connected components by alternating star contractions, in joins and aggregates.
+
+The neighbours of a hub are dealt to SALTS tasks. A hub is a node with more than
+HUB and more than one in HUB of all edges, so there are at most 4 * HUB hubs, and
+their list is small enough to be broadcast at any size.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +12,17 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+HUB, SALTS = 200, 64
+
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, rows: int, large: bool) -> DataFrame:
     """large: a node hands its larger neighbours its least neighbour; small: its smaller ones and itself."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > max(HUB, rows // HUB)).select("a", F.lit(True).alias("hub")))
+    spread = F.when(F.col("n") > max(HUB, rows // HUB), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = both.join(hubs, "a", "left").select("a", "b", F.when(F.col("hub"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    joined = dealt.join(least.select("a", "m", F.explode(spread).alias("salt")), ["a", "salt"])
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -33,5 +43,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        edges = materialise(_star(_star(edges, large=True), large=False), "edges")
+        edges = materialise(_star(_star(edges, state[0], large=True), state[0], large=False), "edges")
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

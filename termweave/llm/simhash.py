@@ -10,9 +10,15 @@ Copies share a fingerprint and count once from there on. Each task reduces the
 links it finds to stars, so a group of near copies gives a row a member and not
 one a pair; no link between fingerprints is lost by that.
 
+Under one value, few entries are compared with each other. Many are parted first:
+of DISTANCE + 1 pieces of a fingerprint's other bits one is equal in both of a pair,
+so entries are compared where they share a piece, and parted again while they are many.
+
 Nulls: a null text has no words, and fingerprint zero, which links like any
 other. A null doc_id takes part, but is never the smallest of its component
-unless all are null. Repeated rows stay.
+unless all are null. Repeated rows stay. An empty table gives an empty one. A very
+long text is read whole, in memory that follows its number of words. Columns may
+have any names; keep_one returns them as they are.
 """
 
 from __future__ import annotations
@@ -27,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_of, cut_by, materialise, merge_blobs, pack, partitions, text_slices, texts_of
+from .common import bucket_of, cut_by, materialise, merge_blobs, pack, partitions, text_slices, texts_of, unused
 from .components import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
-#: Up to 2**27 fingerprints, three segments keep a table value near one entry; beyond, two do (and balls are larger).
-SEGMENTS, WIDE = 3, 1 << 27
-#: Entries under one value up to which members are compared at once.
-SMALL = 48
+SEGMENTS = 3
+#: Entries under one value up to which all are compared at once, and up to which one is compared to the others.
+SMALL, MANY = 48, 4096
+#: Rows of one fingerprint are dealt to so many tasks when they get their component.
+SALTS = 32
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -119,6 +126,29 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= DISTANCE
 
 
+def _connected(rest: np.ndarray, bits: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what is near in rest, distinct values that may differ in bits."""
+    if len(rest) > MANY and len(bits) > DISTANCE:
+        for piece in np.array_split(np.array(bits), DISTANCE + 1):
+            value = rest & np.uint64(sum(1 << b for b in piece.tolist()))
+            order = np.argsort(value, kind="stable")
+            edges = np.flatnonzero(np.r_[True, value[order][1:] != value[order][:-1], True])
+            others = [b for b in bits if b not in piece]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b - a > 1:
+                    yield from _connected(rest[order[a:b]], others)
+        return
+    while len(rest):
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
+            x = np.uint64(todo.pop())
+            ok = _near(rest, x)
+            if ok.any():
+                got, rest = rest[ok], rest[~ok]
+                todo += got.tolist()
+                yield np.full(len(got), x, dtype=np.uint64), got
+
+
 def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Verified links among what lies under one value; in large groups only as many as connect the same."""
     order = np.lexsort((fp, 1 - home, key))
@@ -138,18 +168,9 @@ def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarra
         left.append(fp[i[ok]])
         right.append(fp[j[ok]])
     for g in np.flatnonzero(worth & (size > SMALL)).tolist():
-        rest = np.unique(fp[edge[g] : edge[g] + size[g]])
-        while len(rest):
-            todo, rest = [rest[0]], rest[1:]
-            while todo and len(rest):
-                x = todo.pop()
-                ok = _near(rest, x)
-                if ok.any():
-                    got, rest = rest[ok], rest[~ok]
-                    todo += got.tolist()
-                    left.append(np.full(len(got), x, dtype=np.uint64))
-                    right.append(got)
-                todo = [np.uint64(t) for t in todo]
+        for x, y in _connected(np.unique(fp[edge[g] : edge[g] + size[g]]), list(range(64))):
+            left.append(x)
+            right.append(y)
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
@@ -183,26 +204,24 @@ def _met(t: pa.Table) -> pa.Table:
 
 def link_stars(distinct: DataFrame, rows: int) -> DataFrame:
     """distinct(fp) to links (a, b) that connect what is within DISTANCE."""
-    spark = distinct.sparkSession
-    segments = SEGMENTS if rows <= WIDE else 2
-    ranges = max(partitions(spark), rows // 20_000)
-    filed = distinct.select("fp").mapInArrow(_filed(segments, ranges), "dest int, blob binary")
+    ranges = max(partitions(distinct.sparkSession), rows // 20_000)
+    filed = distinct.select("fp").mapInArrow(_filed(SEGMENTS, ranges), "dest int, blob binary")
     return filed.groupBy("dest").applyInArrow(_met, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs(doc_id, text)."""
     marked = materialise(with_fingerprint(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "fp"), "fingerprints")
-    return _grouped(marked)
-
-
-def _grouped(marked: DataFrame) -> DataFrame:
-    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "distinct")
     found = components(link_stars(distinct, distinct.count()))
     joined = distinct.join(found, distinct["fp"] == found["node"], "left")
     linked = joined.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("least"))
-    named = joined.join(linked, "component", "left").select("fp", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = joined.join(linked, "component", "left").where("component IS NOT NULL OR copies > 1")
+    # a row alone is its own component; others meet theirs in as many tasks as there are salts
+    named = named.select(F.col("fp").alias("named_fp"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("least"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    out = marked.withColumn("mine", salt).join(named, (F.col("fp") == F.col("named_fp")) & (F.col("mine") == F.col("salt")), "left")
+    return out.select("doc_id", "fp", F.when(F.col("named_fp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -222,10 +241,12 @@ def kept_rows(docs: DataFrame, marked: DataFrame, found: DataFrame) -> DataFrame
     named = reps.join(found, reps["unit"] == found["node"], "left").groupBy(F.coalesce("component", "unit")).agg(F.min("rep").alias("rep")).select("rep.kept_id", "rep.kept_hash")
     repeats = marked.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count(F.lit(1)).alias("kept_rows")).where("kept_rows > 1")
     keep = named.join(repeats, named["kept_hash"].eqNullSafe(repeats["hash"]) & named["kept_id"].eqNullSafe(repeats["id"]), "left").select("kept_id", "kept_hash", F.coalesce("kept_rows", F.lit(1)).alias("kept_rows"))
-    keep = materialise(keep, "keep")
+    names = [unused(c, docs.columns) for c in keep.columns]
+    kept_id, kept_hash, rows = names
+    keep = materialise(keep.toDF(*names), "keep")
     # kept ids have no proven bound: never broadcast, the same spilling join at every size
-    joined = docs.join(keep.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"]) & (F.xxhash64(docs["text"]) == keep["kept_hash"]))
-    if keep.where("kept_rows > 1").isEmpty():
+    joined = docs.join(keep.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(keep[kept_id]) & (F.xxhash64(docs["text"]) == keep[kept_hash]))
+    if keep.where(F.col(rows) > 1).isEmpty():
         return joined.select(docs.columns)
-    several = joined.where("kept_rows > 1").dropDuplicates(["kept_id", "kept_hash"])
-    return joined.where("kept_rows = 1").select(docs.columns).unionByName(several.select(docs.columns))
+    several = joined.where(F.col(rows) > 1).dropDuplicates([kept_id, kept_hash])
+    return joined.where(F.col(rows) == 1).select(docs.columns).unionByName(several.select(docs.columns))

@@ -104,3 +104,42 @@ def test_keep_one_decides_by_row(spark):
     assert (slow_fp(texts[0]) ^ slow_fp(texts[1])).bit_count() <= 4
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, S.keep_one(df).collect()), key=str) == sorted(want, key=str)
+
+
+def test_many_under_one_value(monkeypatch):
+    """Entries beyond MANY are parted by pieces; the components stay those of all pairs."""
+    monkeypatch.setattr(S, "MANY", 20)
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**43, 60, dtype=np.uint64)
+    fps = sorted({int(x) ^ sum(1 << int(b) for b in r.choice(43, int(d), replace=False)) for x in base for d in r.integers(0, 6, 8)})
+    brute = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4]
+    got = [(int(x), int(y)) for a, b in S._connected(np.array(fps, dtype=np.uint64), list(range(64))) for x, y in zip(a, b)]
+    assert all((a ^ b).bit_count() <= 4 for a, b in got)
+    closed = lambda p: sorted(zip(*(z.tolist() for z in S.stars(np.array([x for x, _ in p], dtype=np.int64), np.array([y for _, y in p], dtype=np.int64)))))
+    assert closed(got) == closed(brute)
+
+
+def test_keep_one_with_clashing_names(spark):
+    rows = [(1, "a text of some words here", 5, 6, 7), (2, "a text of some words here", 8, 9, 1), (2, "a text of some words here", 8, 9, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_rows int, KEPT_ID int, unit int")
+    assert list(map(tuple, S.keep_one(df).collect())) == rows[:1]
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    from termweave.llm import components as C
+
+    monkeypatch.setattr(C, "HUB", 5)
+    r = random.Random(4)
+    edges = [(k, 1000) for k in range(300)] + [(2000 + k, 2000) for k in range(1, 200)] + [(r.randrange(3000, 3100), r.randrange(3000, 3100)) for _ in range(60)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = sorted((x, find(x)) for x in root if sum(x in e and e[0] != e[1] for e in edges))
+    assert sorted(map(tuple, C.components(spark.createDataFrame(edges, "a long, b long")).collect())) == want
