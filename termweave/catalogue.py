@@ -61,8 +61,9 @@ def tm_concordance(spark, d):
 # A quadratic table in SQL over all pairs is too slow; tests hold the operator against brute force.
 @query()
 def tm_fuzzy(spark, d):
+    """Queries are the sources of all entries whose id is divisible by 20; they are searched in all entries."""
     m = P.tm_docs(spark, d)
-    q = m.select(F.col("entry_id").alias("qid"), F.col("source").alias("text"))
+    q = m.where("entry_id % 20 = 0").select(F.col("entry_id").alias("qid"), F.col("source").alias("text"))
     return tm.fuzzy(q, m).select("qid", "entry_id", _r("score"), "rank")
 
 
@@ -143,23 +144,25 @@ def qa_terms(spark, d):
     return qa.terms(s, hits)
 
 
-@query(f"""WITH {P.DOCS_SQL}, {_NUMBERS}, {_MARKS}, w AS (SELECT * FROM number_warnings UNION ALL SELECT * FROM mark_warnings)
+_DOC_LOOKUP = P.matches_sql("(SELECT entry_id AS qid, source AS text FROM tm_docs)", "(SELECT lower(source_term) AS keyword FROM glossary WHERE source_lang = 'src')")
+
+
+@query(f"""WITH {P.GLOSSARY_SQL}, {P.DOCS_SQL}, {_DOC_LOOKUP}, lookup AS (SELECT qid, source_term, target_term FROM hits JOIN glossary ON source_lang = 'src' AND source_term = keyword),
+{_NUMBERS}, {_MARKS}, term_errors AS (SELECT qid AS seg_id, 'terms' AS "check", 'error' AS type, '' AS message FROM lookup JOIN tm_docs ON qid = entry_id
+  WHERE trim(target, chr(10) || chr(9) || ' ') <> '' AND contains(lower(source), lower(source_term)) AND NOT contains(lower(target), lower(target_term))),
+w AS (SELECT * FROM number_warnings UNION ALL SELECT * FROM mark_warnings UNION ALL SELECT * FROM term_errors)
 SELECT entry_id AS seg_id, coalesce(bool_or(type = 'error'), false) AS errors, coalesce(bool_or(type = 'warning'), false) AS warnings FROM tm_docs LEFT JOIN w ON seg_id = entry_id
 WHERE trim(target, chr(10) || chr(9) || ' ') <> '' GROUP BY entry_id""")
 def qa_rollup(spark, d):
     s = _doc_segments(spark, d)
-    none = spark.createDataFrame([], "seg_id long, source_term string, target_term string")
-    return qa.rollup(s, qa.check(s, none))
+    texts = s.select(F.col("seg_id").alias("qid"), F.col("source").alias("text"))
+    hits = glossary.lookup(texts, P.glossary(spark, d), P.SOURCE, P.TARGET).withColumnRenamed("qid", "seg_id")
+    return qa.rollup(s, qa.check(s, hits))
 
 
 @query(f"WITH {P.SEED_SQL} SELECT s, t, n FROM pairs")
 def seed_cooccurrence(spark, d):
-    memory, sides = P.tm(spark, d), []
-    for c, noise in (("source", ()), ("target", seed.NOISE)):
-        found = seed.occurrences(memory, c)
-        kept = seed.significant(found, noise=noise).select("phrase")
-        sides.append(found.join(kept, "phrase", "left_semi").groupBy("entry_id", "phrase").agg(F.lit(1).alias("weight")))
-    return seed.cooccurrence(*sides)
+    return seed.cooccurrence(*seed.sides(P.tm(spark, d)))
 
 
 @query(f"WITH {P.SEED_SQL} SELECT s, t, n, round(confidence, 6) AS confidence FROM links")
@@ -201,24 +204,24 @@ def kg_edges(spark, d):
 _TERM_CALLS = "SELECT l_orderkey * 10 + l_linenumber AS pos, p_name AS term, CASE WHEN (l_orderkey * 10 + l_linenumber) % 3 = 0 THEN upper(p_name) || '!' END AS form, l_quantity > 49 AS ph FROM lineitem JOIN part ON p_partkey = l_partkey"
 
 
-@query(f"""WITH c AS ({_TERM_CALLS}) SELECT 'term:en:' || lower(term) AS id, count(*) AS frequency, bool_or(ph) AS is_phrase, (array_agg(form ORDER BY pos))[1] AS display_form FROM c GROUP BY 1""")
+@query(f"""WITH c AS ({_TERM_CALLS}) SELECT 'term:en:' || lower(term) AS id, count(*) AS frequency, bool_or(ph) AS is_phrase, (array_agg(form ORDER BY pos))[1] AS display_form, string_agg(DISTINCT form, '|' ORDER BY form) AS variants FROM c GROUP BY 1""")
 def kg_terms(spark, d):
     part = P.table(spark, d, "part").select("p_partkey", "p_name")
     x = P.table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     form = F.when((F.col("l_orderkey") * 10 + F.col("l_linenumber")) % 3 == 0, F.concat(F.upper("p_name"), F.lit("!")))
     calls = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("p_name").alias("term"), F.lit("en").alias("lang"), (F.col("l_quantity") > 49).alias("is_phrase"), form.alias("display_form"))
 
-    return graph.upsert_terms(spark.createDataFrame([], NODES), calls).select("id", "frequency", "is_phrase", "display_form")
+    return graph.upsert_terms(spark.createDataFrame([], NODES), calls).select("id", "frequency", "is_phrase", "display_form", F.array_join(F.array_sort("variants"), "|").alias("variants"))
 
 
-@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS pos, 'p' || (l_partkey % 50) AS src, 's' || (l_suppkey % 20) AS dst, round(l_discount * 5 + 0.3, 6) AS confidence FROM lineitem),
+@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS pos, 'p' || l_partkey AS src, 's' || l_suppkey AS dst, round(l_discount * 5 + 0.3, 6) AS confidence FROM lineitem),
 b AS (SELECT pos, src, dst, confidence FROM c UNION ALL SELECT pos, dst, src, confidence FROM c),
 g AS (SELECT src, dst, count(*) AS n, arg_min(confidence, pos) AS c0 FROM b GROUP BY ALL)
 SELECT src, dst, round(CASE WHEN n = 1 THEN c0 ELSE least(0.99::DOUBLE, c0 + 0.05::DOUBLE * (n - 1)) END, 6) AS confidence FROM g""")
 def kg_links(spark, d):
 
     x = P.table(spark, d, "lineitem")
-    calls = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey") % 20).alias("dst"), F.round(F.col("l_discount") * 5 + 0.3, 6).alias("confidence"), F.lit(False).alias("verified"), F.lit("auto").alias("provenance"), F.lit(None).cast("string").alias("context"))
+    calls = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.round(F.col("l_discount") * 5 + 0.3, 6).alias("confidence"), F.lit(False).alias("verified"), F.lit("auto").alias("provenance"), F.lit(None).cast("string").alias("context"))
     ids = calls.select(F.col("src").alias("id")).union(calls.select(F.col("dst").alias("id"))).distinct()
     nodes = graph.insert_absent(spark.createDataFrame([], NODES), ids.withColumn("type", F.lit("term")))
     return graph.upsert_links(nodes, spark.createDataFrame([], EDGES), calls).select("src", "dst", _r("confidence"))
@@ -233,10 +236,10 @@ def kg_entities(spark, d):
     return graph.entities(_sources(spark, d), P.graph(spark, d)[0]).select("qid", "node_id", "rank")
 
 
-@query(f"WITH {P.GRAPH_SQL} SELECT src AS node_id, term, round(confidence, 6) AS confidence FROM edges JOIN nodes ON dst = id WHERE relation = 'translates_to' AND lang = 'tgt'")
+@query(f"WITH {P.GRAPH_SQL} SELECT src AS node_id, term, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, term) AS rank FROM edges JOIN nodes ON dst = id WHERE relation = 'translates_to' AND lang = 'tgt'")
 def kg_translations(spark, d):
     nodes, edges = P.graph(spark, d)
-    return graph.translations(nodes, edges, nodes.select(F.col("id").alias("node_id")), P.TARGET).select("node_id", "term", _r("confidence"))
+    return graph.translations(nodes, edges, nodes.select(F.col("id").alias("node_id")), P.TARGET).select("node_id", "term", _r("confidence"), "rank")
 
 
 @query(f"WITH {P.GRAPH_SQL} SELECT src AS start, dst AS node, 1 AS depth, relation FROM edges WHERE src <> dst")
@@ -245,17 +248,17 @@ def kg_neighbours_1(spark, d):
     return graph.neighbours(edges, nodes.select("id"), 1)
 
 
-_SUPPLY = "e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || (o_orderkey % 500) AS dst FROM orders UNION SELECT DISTINCT 'o' || (l_orderkey % 500), 's' || l_suppkey FROM lineitem), s AS (SELECT DISTINCT 'c' || c_custkey AS id FROM customer WHERE c_nationkey = 3)"
+_SUPPLY = "e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT DISTINCT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem), s AS (SELECT DISTINCT 'c' || c_custkey AS id FROM customer)"
 
 
 @query(f"""WITH {_SUPPLY}, x AS (SELECT id AS start, dst AS node, 1 AS depth FROM s JOIN e ON src = id UNION SELECT id, b.dst, 2 FROM s JOIN e a ON a.src = id JOIN e b ON b.src = a.dst)
 SELECT start, node, min(depth) AS depth FROM x WHERE node <> start GROUP BY ALL""")
 def kg_neighbours_2(spark, d):
     edge = lambda a, b: F.concat(F.lit(a), b)
-    one = P.table(spark, d, "orders").select(edge("c", F.col("o_custkey")).alias("src"), edge("o", F.col("o_orderkey") % 500).alias("dst"))
-    two = P.table(spark, d, "lineitem").select(edge("o", F.col("l_orderkey") % 500).alias("src"), edge("s", F.col("l_suppkey")).alias("dst"))
+    one = P.table(spark, d, "orders").select(edge("c", F.col("o_custkey")).alias("src"), edge("o", F.col("o_orderkey")).alias("dst"))
+    two = P.table(spark, d, "lineitem").select(edge("o", F.col("l_orderkey")).alias("src"), edge("s", F.col("l_suppkey")).alias("dst"))
     edges = one.union(two).distinct().withColumns({"relation": F.lit("r"), "pos": F.lit(0)})
-    starts = P.table(spark, d, "customer").where("c_nationkey = 3").select(edge("c", F.col("c_custkey")).alias("id")).distinct()
+    starts = P.table(spark, d, "customer").select(edge("c", F.col("c_custkey")).alias("id")).distinct()
     return graph.neighbours(edges, starts, 2).select("start", "node", "depth")
 
 
@@ -296,7 +299,15 @@ def inline_hints(spark, d):
     return graph.hints(q, *P.graph(spark, d), P.TARGET).select("qid", "term", _r("confidence"), "rank")
 
 
-@query()
+# no keyword of the glossary has two letters, so nothing comes from there for "th"
+@query(f"""WITH {_HINTS}, g AS (SELECT qid, term, 'kg' AS origin, 1 AS priority, rank AS place FROM hint WHERE rank <= 5 AND starts_with(lower(term), 'th')),
+w AS (SELECT entry_id, list_filter(regexp_split_to_array(target, '\\s+'), lambda x: x <> '') AS w FROM tm),
+h AS (SELECT entry_id, w, list_position(list_transform(w, lambda x: starts_with(lower(x), 'th')), true) AS place FROM w),
+r AS (SELECT DISTINCT array_to_string(w[place:place + 2], ' ') AS suggestion FROM (SELECT * FROM h WHERE place > 0 ORDER BY entry_id LIMIT 11)),
+m AS (SELECT array_to_string(string_split(suggestion, ' ')[1:2], ' ') AS term, place FROM (SELECT suggestion, row_number() OVER (ORDER BY suggestion) AS place FROM r) WHERE place <= 5),
+e AS (SELECT * FROM g UNION ALL SELECT entry_id, term, 'tm', 2, place FROM tm, m),
+f AS (SELECT qid, term, min(priority) AS priority, min_by(origin, (priority, place)) AS origin, min((priority, place)) AS first FROM e GROUP BY qid, term)
+SELECT qid, term, origin, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first, term) AS rank FROM f) WHERE rank <= 3""")
 def suggestions(spark, d):
     return assist.suggestions(_typing(spark, d), P.tm(spark, d), P.glossary(spark, d), *P.graph(spark, d), P.SOURCE, P.TARGET)
 
@@ -328,29 +339,38 @@ def consistency_matches(spark, d):
     return x.groupBy("node_id").agg(F.count(F.lit(1)).alias("segments"), F.count_if("ok").alias("matched"))
 
 
-@query()
+_DOC_ENTITIES = f"{P.GRAPH_SQL}, {P.DOCS_SQL}, {P.matches_sql('(SELECT entry_id AS qid, source AS text FROM tm_docs WHERE (entry_id // 1000000) % 3 <> 0)', _KEYWORDS)}, ents AS (SELECT DISTINCT qid, node_id FROM hits JOIN {_KEYWORDS} USING (keyword))"
+
+
+@query(f"""WITH {_DOC_ENTITIES}, t AS (SELECT src AS node_id, term, confidence, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, term) AS rank FROM edges JOIN nodes ON dst = id WHERE relation = 'translates_to' AND lang = 'tgt'),
+p AS (SELECT e.qid, e.node_id, coalesce(min_by(t.term, rank) FILTER ({_BOUND}), '?') AS used FROM ents e JOIN t USING (node_id) JOIN tm_docs ON entry_id = qid GROUP BY ALL)
+SELECT n.term, used, t.term AS recommended, round(t.confidence, 6) AS confidence, segments FROM (SELECT node_id, string_agg(DISTINCT used, '|' ORDER BY used) AS used, count(DISTINCT used) AS kinds, string_agg(qid::VARCHAR, ',' ORDER BY qid) AS segments FROM p GROUP BY node_id)
+JOIN t USING (node_id) JOIN nodes n ON n.id = node_id WHERE kinds > 1 AND rank = 1""")
 def consistency(spark, d):
-    return assist.consistency(_graded(spark, d), *P.graph(spark, d), P.TARGET)
+    s = P.tm_docs(spark, d).select(F.col("entry_id").alias("qid"), F.col("source").alias("text"), "target", F.when(F.floor(F.col("entry_id") / 1_000_000) % 3 != 0, "done").otherwise("pending").alias("status"))
+    return assist.consistency(s, *P.graph(spark, d), P.TARGET).withColumn("confidence", F.round("confidence", 6))
 
 
 _VIEW = f"""{P.GRAPH_SQL}, vt AS (SELECT * FROM nodes WHERE type = 'term' ORDER BY frequency DESC, id LIMIT 300),
 vn AS (SELECT * FROM vt UNION ALL SELECT * FROM nodes WHERE id IN (SELECT dst FROM edges WHERE relation = 'instantiates_concept' AND src IN (SELECT id FROM vt))),
 ve AS (SELECT * FROM edges WHERE src IN (SELECT id FROM vn) AND dst IN (SELECT id FROM vn)),
-vl AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, relation FROM ve)"""
+vl AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, relation, min_by(confidence, src) AS confidence FROM ve GROUP BY ALL)"""
+_STYLES = ", ".join(f"('{k}', '{c}', {w}::DOUBLE, {str(d).lower()})" for k, (c, w, d) in X.EDGE_STYLES.items())
 
 
-@query(f"WITH {_VIEW} SELECT id, coalesce(term, label, id) AS label, type, coalesce(frequency, 1)::BIGINT AS freq, is_phrase, round(greatest(4, least(24, 4 + 3 * ln(1 + coalesce(frequency, 1)))), 6) AS size FROM vn")
+@query(f"""WITH {_VIEW} SELECT id, coalesce(term, label, id) AS label, type, coalesce(frequency, 1)::BIGINT AS freq, is_phrase, round(greatest(4, least(24, 4 + 3 * ln(1 + coalesce(frequency, 1)))), 6) AS size,
+  CASE WHEN type = 'concept' THEN '{X.CONCEPT_COLOUR}' ELSE '{X.OTHER_COLOUR}' END AS color, coalesce(lang, '') AS lang, 'conversations' AS domain, false AS verified FROM vn""")
 def inspector_nodes(spark, d):
     nodes, edges = P.graph(spark, d)
     chosen = inspect.select_nodes(nodes, edges)
-    return inspect.visual_nodes(chosen, inspect.select_edges(chosen, edges)).select("id", "label", "type", "freq", "is_phrase", _r("size"))
+    return inspect.visual_nodes(chosen, inspect.select_edges(chosen, edges)).select("id", "label", "type", "freq", "is_phrase", _r("size"), "color", "lang", "domain", "verified")
 
 
-@query(f"WITH {_VIEW} SELECT a, b, relation FROM vl")
+@query(f"WITH {_VIEW} SELECT a, b, relation, round(coalesce(confidence, 0.5::DOUBLE), 6) AS confidence, color, width, dashed FROM vl JOIN (VALUES {_STYLES}) v(relation, color, width, dashed) USING (relation)")
 def inspector_links(spark, d):
     nodes, edges = P.graph(spark, d)
     links = inspect.visual_links(inspect.select_edges(inspect.select_nodes(nodes, edges), edges))
-    return links.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "relation")
+    return links.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "relation", _r("confidence"), "color", "width", "dashed")
 
 
 @query(f"""WITH {_VIEW} SELECT 'total_nodes_in_kg' AS metric, count(*) AS value FROM nodes UNION ALL SELECT 'total_edges_in_kg', count(*) FROM edges UNION ALL SELECT 'showing_nodes', count(*) FROM vn
@@ -361,16 +381,17 @@ def inspector_stats(spark, d):
     return inspect.stats(*P.graph(spark, d))
 
 
-_BROKEN = "e AS (SELECT CASE WHEN l_shipdate IS NOT NULL AND l_linenumber = 7 THEN 'auto' ELSE 'p' || l_partkey END AS src, 's' || l_suppkey AS dst, CASE WHEN l_returnflag = 'R' THEN 'subclass_of' ELSE 'translates_to' END AS relation FROM lineitem)"
+_BROKEN = "e AS (SELECT l_orderkey AS pos, CASE WHEN l_shipdate IS NOT NULL AND l_linenumber = 7 THEN 'auto' ELSE 'p' || l_partkey END AS src, 's' || l_suppkey AS dst, CASE WHEN l_returnflag = 'R' THEN 'subclass_of' ELSE 'translates_to' END AS relation FROM lineitem)"
 
 
 @query(f"""WITH {_BROKEN}, x AS (SELECT count(*) FILTER (relation = 'translates_to') AS total, count(*) FILTER (relation = 'translates_to' AND src = 'auto') AS corrupted,
-count(DISTINCT dst) FILTER (relation = 'translates_to' AND src = 'auto') AS targets, count(*) FILTER (relation <> 'translates_to' AND src = 'auto') AS others FROM e)
-SELECT total, corrupted, total - corrupted AS intact, targets, others, round(corrupted::DOUBLE / greatest(1, total) * 100, 6) AS pct, CASE WHEN corrupted > 0 THEN 'CORRUPTED' WHEN total = 0 THEN 'EMPTY' ELSE 'HEALTHY' END AS verdict FROM x""")
+count(DISTINCT dst) FILTER (relation = 'translates_to' AND src = 'auto') AS targets, count(*) FILTER (relation <> 'translates_to' AND src = 'auto') AS others, count(DISTINCT src) FILTER (relation = 'translates_to' AND src = 'auto') AS sources FROM e),
+f AS (SELECT string_agg(dst, ',' ORDER BY dst) AS sample FROM (SELECT dst FROM e WHERE relation = 'translates_to' AND src = 'auto' ORDER BY pos, dst LIMIT 5))
+SELECT sample, sources, total, corrupted, total - corrupted AS intact, targets, others, round(corrupted::DOUBLE / greatest(1, total) * 100, 6) AS pct, CASE WHEN corrupted > 0 THEN 'CORRUPTED' WHEN total = 0 THEN 'EMPTY' ELSE 'HEALTHY' END AS verdict FROM x, f""")
 def integrity_report(spark, d):
     x = P.table(spark, d, "lineitem")
     edges = x.select(F.when(F.col("l_linenumber") == 7, "auto").otherwise(F.concat(F.lit("p"), "l_partkey")).alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.when(F.col("l_returnflag") == "R", "subclass_of").otherwise("translates_to").alias("relation"), F.col("l_orderkey").alias("pos"))
-    return inspect.integrity(edges).select("total", "corrupted", "intact", "targets", "others", _r("pct"), "verdict")
+    return inspect.integrity(edges).select("total", "corrupted", "intact", "targets", "sources", "others", _r("pct"), "verdict", "sample")
 
 
 @query(f"WITH {P.GRAPH_SQL} SELECT 'node' AS kind, type AS name, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', relation, count(*) FROM edges GROUP BY ALL")
@@ -378,10 +399,10 @@ def kg_histogram(spark, d):
     return inspect.histogram(*P.graph(spark, d))
 
 
-@query(f"""WITH {P.GRAPH_SQL} SELECT entry_id FROM (SELECT * FROM tm ORDER BY entry_id LIMIT 50) x
+@query(f"""WITH {P.GRAPH_SQL}, {P.DOCS_SQL} SELECT entry_id FROM (SELECT * FROM tm_docs ORDER BY entry_id LIMIT 50) x
 WHERE len(list_filter(regexp_split_to_array(source, '\\s+'), lambda w: w <> '')) = 2 AND NOT EXISTS (SELECT 1 FROM nodes WHERE contains(lower(id), lower(x.source)))""")
 def discovery(spark, d):
-    return tm.discovery(P.tm(spark, d), P.graph(spark, d)[0]).select("entry_id")
+    return tm.discovery(P.tm_docs(spark, d), P.graph(spark, d)[0]).select("entry_id")
 
 
 @query(f"WITH {P.SEGMENT_SQL} SELECT project_id, count(*) AS total, count(*) FILTER (status = 'done') AS done, (100 * count(*) FILTER (status = 'done') // count(*))::INTEGER AS percent FROM segments GROUP BY ALL")
@@ -400,7 +421,7 @@ def prompt_context(spark, d):
     return assist.prompt(assist.context(s, P.tm(spark, d), P.glossary(spark, d), P.graph(spark, d)[0], P.SOURCE, P.TARGET))
 
 
-@query()
+@query("SELECT doc_id, regexp_replace(text, '(there|the|que|ein)', '<mark>\\1</mark>', 'gi') AS body FROM documents")
 def highlight(spark, d):
     terms = F.array(*[F.lit(w) for w in ("the", "there", "que", "ein")])
     return P.table(spark, d, "documents").select("doc_id", X.highlight(F.col("text"), terms).alias("body"))

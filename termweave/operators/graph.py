@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import nonempty
-from .matching import first_hits, keyword_hits, top_k
+from .matching import containing, first_hits, keyword_hits, top_k
 
 
 def term_id(lang: Column, term: Column) -> Column:
@@ -106,11 +106,12 @@ def promote_pairs(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> tuple
 
 
 def keywords(nodes: DataFrame) -> DataFrame:
-    """(keyword, node_id) of terms, their variants and collocations; of two nodes with one keyword the last (by id) has it."""
+    """(keyword, node_id) of terms, their variants and collocations; of two nodes with one keyword the last made has it, of those made at one time the last by id."""
     forms = F.concat(F.array("term"), F.coalesce("variants", F.array().cast("array<string>")))
-    t = nodes.where("type = 'term'").select("id", F.explode(forms).alias("k"))
-    c = nodes.where("type = 'collocation'").select("id", F.col("phrase").alias("k"))
-    return t.unionAll(c).where("k <> ''").groupBy(F.lower("k").alias("keyword")).agg(F.max("id").alias("node_id"))
+    made = (F.col("created_at") if "created_at" in nodes.columns else F.lit(None).cast("string")).alias("made")
+    t = nodes.where("type = 'term'").select("id", made, F.explode(forms).alias("k"))
+    c = nodes.where("type = 'collocation'").select("id", made, F.col("phrase").alias("k"))
+    return t.unionAll(c).where("k <> ''").groupBy(F.lower("k").alias("keyword")).agg(F.max(F.struct("made", "id")).alias("n")).select("keyword", F.col("n.id").alias("node_id"))
 
 
 def translations(nodes: DataFrame, edges: DataFrame, terms: DataFrame, lang: str) -> DataFrame:
@@ -160,12 +161,11 @@ def related(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, label, neighbours): nodes whose label holds the query, and how many they lead to; queries must be few."""
-    from .tm import small
-
+    """(qid, id, label, neighbours): nodes whose label holds the query, and how many they lead to."""
     label = F.coalesce(nonempty("term"), nonempty("label"), nonempty("id"))
-    q = queries.where(F.length("text") >= 2).select("qid", F.lower("text").alias("q"))
-    hits = nodes.select("id", label.alias("label")).join(small(q), F.contains(F.lower("label"), F.col("q")))
+    q = queries.where(F.length("text") >= 2).select("qid", F.lower("text").alias("pattern"))
+    labels = nodes.select("id", label.alias("label"))
+    hits = containing(labels.select("id", F.lower("label").alias("text")), q).join(labels, "id")
     degree = edges.where("src <> dst").groupBy("src").agg(F.count_distinct("dst").alias("n"))
     return hits.join(degree, F.col("id") == F.col("src"), "left").select("qid", "id", "label", F.coalesce("n", F.lit(0)).cast("long").alias("neighbours"))
 

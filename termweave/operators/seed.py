@@ -7,16 +7,28 @@ arrays of words from any pipeline.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import ngrams, strip_trailing_marks, tokens
+from ..plans.shared import materialise
+from ..schemas import EDGES, NODES
 from .graph import concept_id, term_id
+from .matching import keyword_hits
 
 MIN_FREQ, MAX_PHRASES, LEAST = 3, 15_000, 3
 
 #: Fragments that are no terms of the target language.
 NOISE = ("kot", "ali", "del", "anja", "anje", "ov", "ova", "ev", "eva", "ega", "eni", "emu", "ila", "ilo", "en", "ena", "eno")
+#: Lemmas of function words, pronouns, prepositions and fragments that are no terms of the target language.
+STOP_LEMMAS = (
+    "kot", "ali", "ne", "pa", "še", "se", "je", "bil", "biti", "bi", "ta",
+    "on", "ona", "ono", "oni", "one", "jaz", "ti", "mi", "vi", "kdo", "kar", "ki", "da",
+    "v", "na", "z", "s", "po", "od", "pri", "za", "o", "ob", "do", "brez", "proti", "med", "nad", "pod", "pred", "čez", "skozi", "okrog", "zunaj", "notri", "gor", "dol",
+    "tukaj", "tam", "zdaj", "potem",
+    "del", "delo", "anje", "eni", "ega", "emu", "ilo", "ila", "anj", "anja", "ov", "ova", "ovo", "ev", "eva", "evo", "en", "ena", "eno", "ene", "enega", "enemu", "enim",
+)
 #: Dependency relations that join a phrase's head.
 PHRASE_RELATIONS = ("amod", "nmod", "det", "flat", "compound", "nummod", "advmod", "nmod:poss")
 
@@ -54,6 +66,12 @@ def mode_surface(found: DataFrame) -> DataFrame:
     return c.groupBy("lemma").agg(F.max_by("surface", F.struct(F.col("n"), -F.col("first"))).alias("surface"))
 
 
+def weighted(tm: DataFrame, column: str, kept: DataFrame) -> DataFrame:
+    """(entry_id, phrase, weight): how often each of kept(phrase) is matched in an entry: leftmost, longest, without overlaps."""
+    hits = keyword_hits(tm.select("entry_id", column), "entry_id", column, kept.select(F.col("phrase").alias("keyword")))
+    return hits.groupBy("entry_id", F.col("keyword").alias("phrase")).agg(F.count(F.lit(1)).alias("weight"))
+
+
 def cooccurrence(left: DataFrame, right: DataFrame) -> DataFrame:
     """(s, t, n): pairs of phrases of one entry, with multiplicity, from (entry_id, phrase, weight).
 
@@ -70,28 +88,54 @@ def confidence(pairs: DataFrame, min_freq: int = MIN_FREQ) -> DataFrame:
     return pairs.where(F.col("n") >= min_freq).join(total, "s").select("s", "t", "n", F.least(F.lit(0.95), F.col("n") / F.col("total")).alias("confidence"))
 
 
+def sides(tm: DataFrame, min_freq: int = MIN_FREQ, noise: tuple[str, ...] = NOISE) -> tuple[DataFrame, DataFrame]:
+    """weighted() of the significant phrases of source and target."""
+    return tuple(weighted(tm, c, significant(occurrences(tm, c), min_freq, noise=x)) for c, x in (("source", ()), ("target", noise)))
+
+
 def seed(tm: DataFrame, source_lang: str, target_lang: str, min_freq: int = MIN_FREQ, domain: str = "") -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges (in the columns of schemas.py that have values) from a memory."""
-    sides = {}
-    for name, column, noise in (("s", "source", ()), ("t", "target", NOISE)):
-        found = occurrences(tm, column)
-        kept = significant(found, min_freq, noise=noise)
-        sides[name] = kept, found.join(kept.select("phrase"), "phrase", "left_semi").groupBy("entry_id", "phrase").agg(F.lit(1).alias("weight"))
-    links = confidence(cooccurrence(sides["s"][1], sides["t"][1]), min_freq)
-
-    def terms(kept: DataFrame, lang: str) -> DataFrame:
-        return kept.select(term_id(F.lit(lang), F.col("phrase")).alias("id"), F.lit("term").alias("type"), F.col("phrase").alias("term"), F.lit(None).cast("string").alias("label"), F.lit(lang).alias("lang"), F.contains("phrase", F.lit(" ")).alias("is_phrase"), "frequency", F.lit(domain).alias("domain"))
-
-    concepts = sides["s"][0].select(concept_id(F.col("phrase")).alias("id"), F.lit("concept").alias("type"), F.lit(None).cast("string").alias("term"), F.col("phrase").alias("label"), F.lit(None).cast("string").alias("lang"), F.lit(False).alias("is_phrase"), F.lit(None).cast("long").alias("frequency"), F.lit(domain).alias("domain"))
-    nodes = terms(sides["s"][0], source_lang).unionByName(terms(sides["t"][0], target_lang)).unionByName(concepts)
+    """Nodes and edges (in the columns of schemas.py that have values) from a memory.
+
+    A term's frequency counts its matches; every seeded term is a phrase. Edges are
+    made at one time, so their pos is one number. The two sides are written once.
+    """
+    left, right = (materialise(x, "matches") for x in sides(tm, min_freq))
+    links = confidence(cooccurrence(left, right), min_freq)
+    text = lambda c: F.lit(None).cast("string").alias(c)
+
+    def terms(matched: DataFrame, lang: str) -> DataFrame:
+        kept = matched.groupBy("phrase").agg(F.sum("weight").cast("long").alias("frequency"))
+        return kept.select(term_id(F.lit(lang), F.col("phrase")).alias("id"), F.lit("term").alias("type"), F.col("phrase").alias("term"), text("label"), F.lit(lang).alias("lang"), F.lit(True).alias("is_phrase"), "frequency", F.lit(domain).alias("domain"))
+
+    phrases = left.select("phrase").distinct()
+    concepts = phrases.select(concept_id(F.col("phrase")).alias("id"), F.lit("concept").alias("type"), text("term"), F.col("phrase").alias("label"), text("lang"), F.lit(False).alias("is_phrase"), F.lit(None).cast("long").alias("frequency"), F.lit(domain).alias("domain"))
+    nodes = terms(left, source_lang).unionByName(terms(right, target_lang)).unionByName(concepts)
     s, t = term_id(F.lit(source_lang), F.col("s")), term_id(F.lit(target_lang), F.col("t"))
     there = links.select(s.alias("src"), t.alias("dst"), F.lit("translates_to").alias("relation"), "confidence")
     back = links.select(t.alias("src"), s.alias("dst"), F.lit("translates_to").alias("relation"), "confidence")
-    of = sides["s"][0].select(term_id(F.lit(source_lang), F.col("phrase")).alias("src"), concept_id(F.col("phrase")).alias("dst"), F.lit("instantiates_concept").alias("relation"), F.lit(None).cast("double").alias("confidence"))
-    edges = there.unionByName(back).unionByName(of).withColumns({"verified": F.lit(False), "provenance": F.lit("auto"), "pos": F.xxhash64("src", "dst")})
+    of = phrases.select(term_id(F.lit(source_lang), F.col("phrase")).alias("src"), concept_id(F.col("phrase")).alias("dst"), F.lit("instantiates_concept").alias("relation"), F.lit(None).cast("double").alias("confidence"))
+    edges = there.unionByName(back).unionByName(of).withColumns({"verified": F.lit(False), "provenance": F.lit("auto"), "pos": F.lit(0).cast("long")})
     return nodes, edges
 
 
+def seeding_job(spark: SparkSession, tm_path: str, graph_path: str, source_lang: str = "en", target_lang: str = "sl", min_freq: int = MIN_FREQ, domain: str = "") -> bool:
+    """Reads the memory's TMX files, seeds a graph and saves it; False, and nothing saved, if the memory is empty."""
+    from ..sources import files, sinks
+
+    tm = materialise(files.read_tmx(spark, tm_path), "memory")
+    if tm.isEmpty():
+        return False
+    nodes, edges = seed(tm, source_lang, target_lang, min_freq, domain)
+    sinks.save_graph(padded(nodes, NODES), padded(edges, EDGES), graph_path)
+    return True
+
+
+def padded(df: DataFrame, schema: str) -> DataFrame:
+    """df in the columns of a schema, null where it has none."""
+    fields = T._parse_datatype_string(schema).fields
+    return df.select(*[(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
+
+
 def noun_chunks(words: Column) -> Column:
     """A chunk, array<struct<text, upos>>, as a phrase: without leading determiners and pronouns, lowered, at least
     LEAST characters and not all digits; null if nothing is left."""
@@ -101,7 +145,7 @@ def noun_chunks(words: Column) -> Column:
     return F.when(start.isNotNull() & (F.length(text) >= LEAST) & ~F.regexp_like(text, F.lit(r"(?U)^\d+\z")), text)
 
 
-def dependency_phrases(sentences: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
+def dependency_phrases(sentences: DataFrame, stop: tuple[str, ...] = STOP_LEMMAS) -> DataFrame:
     """sentences(doc_id, words array<struct<id,text,lemma,upos,head,deprel>>) to (doc_id, surface, lemma): each noun with
     the direct children that belong to its phrase, in order; the first of each lemma in a document."""
     x = sentences.select("doc_id", "words", F.explode("words").alias("h")).where(F.col("h.upos").isin("NOUN", "PROPN"))

@@ -1,4 +1,7 @@
-"""Logical stores derived from the driver's tables, as DataFrames and as SQL for the oracle."""
+"""Logical stores derived from the driver's tables, as DataFrames and as SQL for the oracle.
+
+Stores that many queries share are written once for each application and source folder.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +10,11 @@ from pyspark.sql import functions as F
 
 from ..operators import glossary as G
 from ..operators import seed as S
+from .shared import stored
 
 SOURCE, TARGET = "src", "tgt"
+#: Characters that an end of a sentence is freed of.
+BLANK = " \t\r\n"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,40 +23,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's turn and the assistant's next one are a pair."""
-    c = table(spark, sf_dir, "conversations")
-    user = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("source"))
-    reply = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
-    pairs = user.join(reply, ["conv_id", "turn"]).where("source <> '' AND target <> ''")
-    return pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("entry_id"), "source", "target", F.lit("conversations").alias("origin"), F.lit(SOURCE).alias("source_lang"), F.lit(TARGET).alias("target_lang"))
+
+    def build() -> DataFrame:
+        c = table(spark, sf_dir, "conversations")
+        user = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("source"))
+        reply = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
+        pairs = user.join(reply, ["conv_id", "turn"]).where("source <> '' AND target <> ''")
+        return pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("entry_id"), "source", "target", F.lit("conversations").alias("origin"), F.lit(SOURCE).alias("source_lang"), F.lit(TARGET).alias("target_lang"))
+
+    return stored(spark, sf_dir, "tm", build)
 
 
 def tm_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's first 120 characters and its next 120 are a pair, as long as it has both."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 240)
-    return d.select(F.col("doc_id").alias("entry_id"), F.substring("text", 1, 120).alias("source"), F.substring("text", 121, 120).alias("target"), F.lit("documents").alias("origin"), F.lit(SOURCE).alias("source_lang"), F.lit(TARGET).alias("target_lang"))
+    """The sentences of each whole document, two by two; the last of an odd number has an empty target."""
+    ends = F.regexp_extract_all("text", F.lit(r"([^.!?\n]+[.!?]*)"), F.lit(1))
+    s = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.transform(ends, lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "").alias("s"))
+    two = s.select("doc_id", "s", F.posexplode(F.expr("sequence(1, size(s), 2)")).alias("k", "at")).where("size(s) > 0")
+    return two.select((F.col("doc_id") * 1_000_000 + F.col("k")).alias("entry_id"), F.expr("s[at - 1]").alias("source"), F.coalesce(F.get("s", F.col("at")), F.lit("")).alias("target"), F.lit("documents").alias("origin"), F.lit(SOURCE).alias("source_lang"), F.lit(TARGET).alias("target_lang"))
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes with display_form and variants (none here), and edges."""
-    nodes, edges = S.seed(tm(spark, sf_dir), SOURCE, TARGET, domain="conversations")
     nothing = {"display_form": F.lit(None).cast("string"), "variants": F.array().cast("array<string>"), "phrase": F.lit(None).cast("string")}
-    return nodes.withColumns(nothing), edges
+
+    def build(k: int) -> DataFrame:
+        return S.seed(tm(spark, sf_dir), SOURCE, TARGET, domain="conversations")[k]
+
+    return stored(spark, sf_dir, "nodes", lambda: build(0).withColumns(nothing)), stored(spark, sf_dir, "edges", lambda: build(1))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    memory, sides = tm(spark, sf_dir), []
-    for column, noise in (("source", ()), ("target", S.NOISE)):
-        found = S.occurrences(memory, column)
-        kept = S.significant(found, noise=noise).select("phrase")
-        sides.append(found.join(kept, "phrase", "left_semi").groupBy("entry_id", "phrase").agg(F.lit(1).alias("weight")))
-    return S.confidence(S.cooccurrence(*sides))
+    def build() -> DataFrame:
+        return S.confidence(S.cooccurrence(*S.sides(tm(spark, sf_dir))))
+
+    return stored(spark, sf_dir, "links", build)
 
 
 def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source phrase with its most confident target phrase, in both directions."""
-    best = links(spark, sf_dir).groupBy("s").agg(F.min_by("t", F.struct((-F.col("confidence")).alias("c"), "t")).alias("t"))
-    one = best.select(F.pmod(F.xxhash64("s"), F.lit(2**62)).alias("entry_id"), F.col("s").alias("source_term"), F.col("t").alias("target_term"), F.lit(SOURCE).alias("source_lang"), F.lit(TARGET).alias("target_lang"), F.lit("").alias("note"), F.lit("conversations").alias("origin"))
-    return G.with_reverse(one)
+
+    def build() -> DataFrame:
+        best = links(spark, sf_dir).groupBy("s").agg(F.min_by("t", F.struct((-F.col("confidence")).alias("c"), "t")).alias("t"))
+        one = best.select(F.pmod(F.xxhash64("s"), F.lit(2**62)).alias("entry_id"), F.col("s").alias("source_term"), F.col("t").alias("target_term"), F.lit(SOURCE).alias("source_lang"), F.lit(TARGET).alias("target_lang"), F.lit("").alias("note"), F.lit("conversations").alias("origin"))
+        return G.with_reverse(one)
+
+    return stored(spark, sf_dir, "glossary", build)
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +76,22 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("project_id", F.col("entry_id").alias("id"), "source", "target", F.when(F.col("project_id") % 3 != 0, "done").otherwise("pending").alias("status"))
 
 
+def matches_sql(texts: str, dictionary: str, x: str = "") -> str:
+    """WITH-list for every{x} and first hits{x}(qid, keyword, start) of dictionary(keyword) in texts(qid, text); names end in x."""
+    return f"""
+runs{x} AS (SELECT qid, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS r FROM {texts}),
+starts{x} AS (SELECT qid, r, unnest(range(1, len(r) + 1)) AS start FROM runs{x}),
+wide{x} AS (SELECT qid, start, start + n AS stop, array_to_string(r[start:start + n - 1], '') AS span FROM starts{x}, (VALUES (1), (3), (5)) v(n)
+  WHERE start + n - 1 <= len(r) AND regexp_matches(r[start], '^[\\p{{L}}\\p{{N}}_]')),
+words{x} AS (SELECT keyword, row_number() OVER (ORDER BY keyword) AS k FROM (SELECT DISTINCT keyword FROM {dictionary})),
+found{x} AS (SELECT qid, start, stop, k FROM wide{x} JOIN words{x} ON span = keyword),
+folded{x} AS (SELECT qid, list_reduce(list_prepend([0::BIGINT], list([start, stop, k] ORDER BY start, stop DESC)),
+  lambda a, h: CASE WHEN h[1] >= a[1] THEN list_concat([h[2]], list_concat(a[2:], [h[1], h[3]])) ELSE a END) AS f FROM found{x} GROUP BY qid),
+every{x} AS (SELECT qid, keyword, start FROM (SELECT qid, f[2 * i] AS start, f[2 * i + 1] AS k
+  FROM (SELECT qid, f, unnest(range(1, (len(f) - 1) // 2 + 1)) AS i FROM folded{x})) JOIN words{x} USING (k)),
+hits{x} AS (SELECT qid, keyword, min(start) AS start FROM every{x} GROUP BY qid, keyword)"""
+
+
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
 
@@ -71,7 +104,9 @@ o_{side} AS (SELECT DISTINCT entry_id, unnest(list_concat(w, list_concat(
     CASE WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]) ELSE [] END))) AS phrase FROM w_{side}),
 p_{side} AS (SELECT phrase, count(*) AS frequency FROM o_{side} GROUP BY phrase HAVING count(*) >= 3 AND length(phrase) >= 3{noise}
     ORDER BY frequency DESC, min(entry_id), phrase LIMIT 15000),
-k_{side} AS (SELECT entry_id, phrase FROM o_{side} JOIN p_{side} USING (phrase))"""
+{matches_sql(f"(SELECT entry_id AS qid, {side} AS text FROM tm)", f"(SELECT phrase AS keyword FROM p_{side})", "_" + side).strip()},
+k_{side} AS (SELECT qid AS entry_id, keyword AS phrase, count(*) AS weight FROM every_{side} GROUP BY ALL),
+t_{side} AS (SELECT phrase, sum(weight)::BIGINT AS frequency FROM k_{side} GROUP BY phrase)"""
 
 
 #: WITH-lists; each builds on those before it.
@@ -80,7 +115,8 @@ tm AS (SELECT u.conv_id * 1000 + u.turn AS entry_id, u.text AS source, a.text AS
   JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant' AND u.text <> '' AND a.text <> '')"""
 DOCS_SQL = """
-tm_docs AS (SELECT doc_id AS entry_id, substr(text, 1, 120) AS source, substr(text, 121, 120) AS target FROM documents WHERE length(text) >= 240)"""
+sentences AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x <> '') AS s FROM documents),
+tm_docs AS (SELECT doc_id * 1000000 + k AS entry_id, s[2 * k + 1] AS source, coalesce(s[2 * k + 2], '') AS target FROM (SELECT doc_id, s, unnest(range(0, (len(s) + 1) // 2)) AS k FROM sentences))"""
 SEED_SQL = (
     TM_SQL
     + ","
@@ -88,7 +124,7 @@ SEED_SQL = (
     + ","
     + _phrases("target")
     + """,
-pairs AS (SELECT a.phrase AS s, b.phrase AS t, count(*) AS n FROM k_source a JOIN k_target b USING (entry_id) GROUP BY ALL),
+pairs AS (SELECT a.phrase AS s, b.phrase AS t, sum(a.weight * b.weight)::BIGINT AS n FROM k_source a JOIN k_target b USING (entry_id) GROUP BY ALL),
 links AS (SELECT s, t, n, least(0.95::DOUBLE, n::DOUBLE / total) AS confidence FROM (SELECT *, sum(n) OVER (PARTITION BY s) AS total FROM pairs) WHERE n >= 3)"""
 )
 GLOSSARY_SQL = (
@@ -101,30 +137,15 @@ glossary AS (SELECT s AS source_term, t AS target_term, 'src' AS source_lang, 't
 GRAPH_SQL = (
     GLOSSARY_SQL
     + """,
-nodes AS (SELECT 'term:src:' || phrase AS id, 'term' AS type, phrase AS term, NULL AS label, 'src' AS lang, contains(phrase, ' ') AS is_phrase, frequency FROM p_source
-  UNION ALL SELECT 'term:tgt:' || phrase, 'term', phrase, NULL, 'tgt', contains(phrase, ' '), frequency FROM p_target
-  UNION ALL SELECT 'concept:' || replace(phrase, ' ', '_'), 'concept', NULL, phrase, NULL, false, NULL FROM p_source),
+nodes AS (SELECT 'term:src:' || phrase AS id, 'term' AS type, phrase AS term, NULL AS label, 'src' AS lang, true AS is_phrase, frequency FROM t_source
+  UNION ALL SELECT 'term:tgt:' || phrase, 'term', phrase, NULL, 'tgt', true, frequency FROM t_target
+  UNION ALL SELECT 'concept:' || replace(phrase, ' ', '_'), 'concept', NULL, phrase, NULL, false, NULL FROM t_source),
 edges AS (SELECT 'term:src:' || s AS src, 'term:tgt:' || t AS dst, 'translates_to' AS relation, confidence FROM links
   UNION ALL SELECT 'term:tgt:' || t, 'term:src:' || s, 'translates_to', confidence FROM links
-  UNION ALL SELECT 'term:src:' || phrase, 'concept:' || replace(phrase, ' ', '_'), 'instantiates_concept', NULL FROM p_source)"""
+  UNION ALL SELECT 'term:src:' || phrase, 'concept:' || replace(phrase, ' ', '_'), 'instantiates_concept', NULL FROM t_source)"""
 )
 SEGMENT_SQL = (
     TM_SQL
     + """,
 segments AS (SELECT entry_id // 1000 AS project_id, entry_id AS id, source, target, CASE WHEN (entry_id // 1000) % 3 <> 0 THEN 'done' ELSE 'pending' END AS status FROM tm)"""
 )
-
-
-def matches_sql(texts: str, dictionary: str) -> str:
-    """WITH-list for hits(qid, keyword, start) of dictionary(keyword) in texts(qid, text)."""
-    return f"""
-runs AS (SELECT qid, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS r FROM {texts}),
-starts AS (SELECT qid, r, unnest(range(1, len(r) + 1)) AS start FROM runs),
-wide AS (SELECT qid, start, start + n AS stop, array_to_string(r[start:start + n - 1], '') AS span FROM starts, (VALUES (1), (3), (5)) v(n)
-  WHERE start + n - 1 <= len(r) AND regexp_matches(r[start], '^[\\p{{L}}\\p{{N}}_]')),
-words AS (SELECT keyword, row_number() OVER (ORDER BY keyword) AS k FROM (SELECT DISTINCT keyword FROM {dictionary})),
-found AS (SELECT qid, start, stop, k FROM wide JOIN words ON span = keyword),
-folded AS (SELECT qid, list_reduce(list_prepend([0::BIGINT], list([start, stop, k] ORDER BY start, stop DESC)),
-  lambda a, h: CASE WHEN h[1] >= a[1] THEN list_concat([h[2]], list_concat(a[2:], [h[1], h[3]])) ELSE a END) AS f FROM found GROUP BY qid),
-hits AS (SELECT qid, keyword, min(start) AS start FROM (SELECT qid, f[2 * i] AS start, f[2 * i + 1] AS k
-  FROM (SELECT qid, f, unnest(range(1, (len(f) - 1) // 2 + 1)) AS i FROM folded)) JOIN words USING (k) GROUP BY qid, keyword)"""

@@ -207,7 +207,7 @@ def test_files(spark, tmp_path):
     (g / "glossary-SL-EN.tsv").write_text("a\tb\tnote\n\nonly\n")
     (g / "g.csv").write_text("source,target,sl,tl\nhund,dog,de,en\n,x,,\nkat,cat,,\n")
     (g / "bom.tsv").write_bytes("﻿q\tw\n".encode())
-    one_way = {(r.source_term, r.target_term, r.source_lang, r.target_lang) for r in files.read_glossary(spark, str(g)).where("entry_id >= 0").collect()}
+    one_way = {(r.source_term, r.target_term, r.source_lang, r.target_lang) for r in files.read_glossary(spark, str(g)).where("entry_id % 2 = 0").collect()}
     assert one_way == {("one", "ena", "en", "sl"), ("late", "pozno", "en", "sl"), ("tail", "rep", "en", "sl"), ("a", "b", "sl", "en"), ("hund", "dog", "de", "en"), ("kat", "cat", "en", "sl"), ("q", "w", "en", "sl")}
     p = tmp_path / "p"
     p.mkdir()
