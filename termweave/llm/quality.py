@@ -11,9 +11,12 @@ doc_id; only their statistics come to the driver.
 
 Nulls: a null text is empty; empty texts get statistics of zero and the score of
 these. A null doc_id is scored, never learnt from, and not held out. Of labels
-that repeat a doc_id the largest counts; null labels don't. Rows that repeat a
-doc_id are each scored, and learnt from once, by the least of their statistics.
-With a label missing, every score is the smoothed share of label 1.
+that repeat a doc_id the largest counts; null labels don't, nor do labels of
+documents that are not in the table. Rows that repeat a doc_id are each scored, and
+learnt from once, by the least of their statistics. With a label missing, every
+score is the smoothed share of label 1. Empty tables give empty results. A very long
+text is described whole, by one task. Other columns of docs, of any names, are not
+read.
 """
 
 from __future__ import annotations
@@ -200,7 +203,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, and STATISTICS) for each row of docs."""
     stats = materialise(with_statistics(docs), "statistics")
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(~held_out("doc_id", 3, 1))
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    # labels of documents that are not here take no place in the sample
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).join(stats.select("doc_id"), "doc_id", "left_semi")
     ids = [(r.doc_id, r.y) for k in (0, 1) for r in known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PER_CLASS).collect()]
     learnt = stats.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, y int")), "doc_id")
     # one row an id, so that repeats of an id don't come to the driver

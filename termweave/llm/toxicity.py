@@ -3,7 +3,9 @@
 The models are over the bytes of lower-cased words, each context up to ORDER - 1
 bytes back to the word's start. At the longest context each class has counts of
 its own; below it both share continuation counts, so an expression too rare for
-a class backs off to what is equally likely in both, and does not speak.
+a class backs off to what is equally likely in both. There a byte speaks by its
+context alone: a class that has seen other bytes follow it leaves less for this one,
+so what remains of log P(byte | context) is the difference of the backoff weights.
 
 A word says log P(word | toxic) - log P(word | ordinary). A text is scored by the
 length-normalised difference: over all its words, over the best run of SPAN
@@ -16,9 +18,12 @@ Every text is scored whole.
 
 Nulls: a null text is empty, and an empty text gets the score of difference 0. A
 null doc_id is scored, never learnt from, and not held out. Of labels that
-repeat a doc_id the largest counts; null labels don't. Rows that repeat a doc_id
-are each scored, and learnt from once, by the least of their texts. With a class
-missing, every score is the smoothed share of label 1.
+repeat a doc_id the largest counts; null labels don't, nor do labels of documents
+that are not in the table. Rows that repeat a doc_id are each scored, and learnt
+from once, by the least of their texts. With a class missing, every score is the
+smoothed share of label 1. Empty tables give empty results. A very long text is
+scored whole, by one task. Columns may have any names; drop_toxic returns them as
+they are.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices, texts_of
+from .common import text_slices, texts_of, unused
 
 ORDER, SPAN, TOP = 12, 16, 3
 MAX_PER_CLASS, MAX_CHARS = 1000, 20_000
@@ -67,7 +72,7 @@ def _lay(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Model:
-    """log P(byte | context, toxic) - log P(byte | context, ordinary), by gram of the longest order."""
+    """log P(byte | context, toxic) - log P(byte | context, ordinary), by gram of the longest order, and by context where a gram is not known."""
 
     def __init__(self, ordinary: dict[bytes, int], toxic: dict[bytes, int]):
         vocabulary = sorted({*ordinary, *toxic})
@@ -92,30 +97,49 @@ class Model:
             kinds = np.bincount(head[first])[head]
             p_low = (kinds_of[at] - DISCOUNT + DISCOUNT * kinds * p_low) / total
             at, head = longer, numbered(_grams(buffer, starts, n)[before])
+        grams, contexts = _grams(buffer, starts, ORDER)[real], _grams(buffer, starts, ORDER - 1)[before]
         first = np.unique(at, return_index=True)[1]
         head, p_low = head[first], p_low[first]
-        logs = []
+        logs, weights = [], []
         for c in counts:
             n = np.bincount(at, c)
             total = np.bincount(head, n)[head]
             rest = np.bincount(head, np.minimum(n, TOP_DISCOUNT))[head]
             safe = np.maximum(total, 1)
             logs.append(np.log(np.where(total > 0, (np.maximum(n - TOP_DISCOUNT, 0) + rest * p_low) / safe, p_low)))
-        self.grams, says = _grams(buffer, starts, ORDER)[real][first], logs[1] - logs[0]
-        order = np.argsort(self.grams)
-        self.grams, self.says = self.grams[order], says[order]
+            # what a class leaves to the backoff: all of it where it has not seen the context
+            weights.append(np.log(np.where(total > 0, rest / safe, 1.0)))
+        self.grams, self.says = _table(grams[first], logs[1] - logs[0])
+        self.contexts, self.rest = _table(contexts[first], weights[1] - weights[0])
 
     def of(self, vocabulary: list[bytes]) -> np.ndarray:
-        """What each word says; grams that no training word has say nothing."""
+        """What each word says: its grams as they were seen, an unseen byte after a seen context by the backoff weights."""
         if not vocabulary:
             return np.empty(0)
         buffer, starts, real = _lay(vocabulary)
-        g = _grams(buffer, starts, ORDER)
-        at = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
-        says = np.where((self.grams[at] == g) & real, self.says[at], 0.0)
+        says = np.zeros(len(buffer))
+        says[1:] = _looked(self.contexts, self.rest, _grams(buffer, starts, ORDER - 1)[:-1])
+        at, known = _places(self.grams, _grams(buffer, starts, ORDER))
+        says = np.where(real, np.where(known, self.says[at], says), 0.0)
         return np.add.reduceat(says, np.flatnonzero(~real))
 
 
+def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with their value."""
+    keys, first = np.unique(keys, return_index=True)
+    return keys, values[first]
+
+
+def _places(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+def _looked(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    at, known = _places(keys, asked)
+    return np.where(known, values[at], 0.0)
+
+
 class Scorer:
     def __init__(self, model: Model | None, weights: np.ndarray, base: float):
         self.model, self.weights, self.base, self.cache = model, weights, base, {}
@@ -172,6 +196,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     """At most per_class (doc_id, label, text) for each of the labels 0 and 1, chosen by hash, at the driver."""
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(learn)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    # labels of documents that are not here, or too long to learn from, take no place in the sample
+    here = docs.where(F.length("text") <= max_chars).select(F.col("doc_id").cast("long").alias("doc_id"))
+    known = known.join(here, "doc_id", "left_semi")
     picked = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     ids = [(r.doc_id, r.y) for p in picked for r in p.collect()]  # at most 2 * per_class
     spark = docs.sparkSession
@@ -235,5 +262,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that score 0.5 or more."""
-    marked = with_score(docs, trained(docs, labels), "_toxicity_score")
-    return marked.where(F.col("_toxicity_score") < 0.5).select(docs.columns)
+    name = unused("toxicity", docs.columns)
+    marked = with_score(docs, trained(docs, labels), name)
+    return marked.where(F.col(name) < 0.5).select(docs.columns)

@@ -58,4 +58,81 @@ def test_lasso_is_sparse_and_rules_compile(spark):
 def test_shared_backoff():
     m = X.Model({b"the": 50, b"there": 9}, {b"the": 40, b"vile": 12})
     says = dict(zip([b"vile", b"the", b"unseen", b"vilest"], m.of([b"vile", b"the", b"unseen", b"vilest"])))
-    assert says[b"vile"] > 1 and says[b"vilest"] > 0.5 and abs(says[b"the"]) < 1 and says[b"unseen"] == 0
+    assert says[b"vile"] > 1 and says[b"vilest"] > 0.5 and abs(says[b"the"]) < 1
+    # a first byte that neither class has seen speaks by what each leaves to the backoff there
+    assert says[b"unseen"] == pytest.approx(np.log(2 * X.TOP_DISCOUNT / 52) - np.log(X.TOP_DISCOUNT / 59))
+
+
+def _kneser_ney(ordinary, toxic):
+    """log P(byte | context, toxic) - log P(byte | context, ordinary) by its definition, with dictionaries."""
+    seqs = {w: [1, *w, 1] for w in {*ordinary, *toxic}}
+    gram = lambda q, i, n: tuple(q[max(0, i - n + 1) : i + 1])
+    kinds: dict = {}  # of each order: gram -> the grams one byte longer that end in it
+    for n in range(1, X.ORDER):
+        kinds[n] = {}
+        for q in seqs.values():
+            for i in range(1, len(q)):
+                kinds[n].setdefault(gram(q, i, n), set()).add(gram(q, i, n + 1))
+
+    def low(n, q, i):
+        if n == 0:
+            return 1 / 256
+        g = gram(q, i, n)
+        # grams that follow the same context of n - 1 bytes
+        same = {h: k for h, k in kinds[n].items() if (h[:-1], len(h)) == (g[:-1], len(g))}
+        total = sum(map(len, same.values()))
+        return (len(same.get(g, ())) - X.DISCOUNT + X.DISCOUNT * len(same) * low(n - 1, q, i)) / total
+
+    counts = []
+    for c in (ordinary, toxic):
+        mine: dict = {}
+        for w, k in c.items():
+            for i in range(1, len(seqs[w])):
+                h, g = gram(seqs[w], i - 1, X.ORDER - 1), gram(seqs[w], i, X.ORDER)
+                mine.setdefault(h, {}).setdefault(g, 0)
+                mine[h][g] += k
+        counts.append(mine)
+
+    def says(word):
+        q, out = [1, *word, 1], 0.0
+        for i in range(1, len(q)):
+            h, g = gram(q, i - 1, X.ORDER - 1), gram(q, i, X.ORDER)
+            seen = any(g in c.get(h, {}) for c in counts)
+            p = []
+            for c in counts:
+                here = c.get(h, {})
+                total = sum(here.values())
+                rest = sum(min(k, X.TOP_DISCOUNT) for k in here.values())
+                own = max(here.get(g, 0) - X.TOP_DISCOUNT, 0)
+                # of an unseen byte the shared lower orders cancel
+                p.append((own + rest * (low(X.ORDER - 1, q, i) if seen else 1.0)) / total if total else (low(X.ORDER - 1, q, i) if seen else 1.0))
+            out += np.log(p[1]) - np.log(p[0])
+        return out
+
+    return says
+
+
+def test_model_is_kneser_ney():
+    ordinary = {b"cat": 9, b"cater": 4, b"dog": 7, b"a": 30, b"an": 3, b"category": 2}
+    toxic = {b"cat": 2, b"catnip": 8, b"dolt": 6, b"a": 12, b"dogs": 3}
+    model, says = X.Model(ordinary, toxic), _kneser_ney(ordinary, toxic)
+    words = [*ordinary, *toxic, b"cats", b"dot", b"dolts", b"zebra", b"an", b"categories", b"catnap"]
+    assert np.allclose(model.of(words), [says(w) for w in words], atol=1e-9)
+    assert says(b"cats") != 0 and says(b"zebra") != 0
+
+
+def test_foreign_labels_take_no_place(spark, monkeypatch):
+    monkeypatch.setattr(Q, "MAX_PER_CLASS", 40)
+    good, bad = "The calm water of the lake was clear and still. ", "@@ ## 9 9 9 9 ~~ %% 0 0 \n"
+    docs = spark.createDataFrame([(i, (good, bad)[i % 2] * (2 + i % 5)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(60)] + [(10**6 + i, i % 2, i % 2) for i in range(2000)], "doc_id long, quality int, toxic int")
+    assert len({round(r.score, 6) for r in Q.score(docs, labels).collect()}) > 1
+    rows = X.labelled_sample(docs, labels, "toxic", F.lit(True), per_class=40)
+    assert len(rows) == 60
+
+
+def test_drop_toxic_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a text", "mine")], "doc_id long, text string, toxicity string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert list(map(tuple, X.with_score(docs, X.fit([]), "s").drop("s").collect())) == [(1, "a text", "mine")]
+    assert X.drop_toxic(docs, labels).columns == docs.columns
