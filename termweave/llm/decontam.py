@@ -2,17 +2,17 @@
 
 A-Z is lower-cased; a word is a run of digits, letters a-z and everything past
 U+007F. A window is WINDOW consecutive words of an item; an item of fewer words
-is one window. The windows of all items are collected when their words number
-at most MAX_WORDS and broadcast as a table; a larger benchmark is scanned block
-by block, each block within that bound (an item is never divided), and what a
-block finds is written before the next begins.
-
-A task numbers the words of its texts by the block's vocabulary; only where as
-many words as a window has are all known is the window hashed and looked up, and
-each hit is verified on the words themselves.
-
-Nulls: a null text has no words. A null item_id counts as the item ''. Items
-that share an item_id count once. Without items nothing is hit.
+is one window. The hashes of all windows of a block of items are broadcast as one
+sorted array, with the items' words; a block has at most about MAX_WORDS words, some
+30 bytes each, and an item is never divided. A task takes GROUP_BYTES of texts at a
+time and looks its windows up in one block after the other, so the corpus is read
+once however many blocks there are, and one block is held at a time. Each hit is
+verified on the words themselves.
+
+Nulls: a null text has no words, as an empty one. A null item_id counts as the item
+''. Items that share an item_id count once. Without items nothing is hit. Rows that
+repeat are judged one by one. An empty table gives an empty one. A very long text is
+scanned whole, by one task. Columns may have any names; remove_spans keeps them.
 """
 
 from __future__ import annotations
@@ -24,85 +24,100 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_column, materialise, pack, text_slices, texts_of, unpack
+from .common import bucket_column, text_slices, texts_of, unused
 
 WINDOW = 10
-MAX_WORDS = 2_000_000
+MAX_WORDS, GROUP_BYTES = 2_000_000, 32 << 20
 #: Stands for a removed span; its one character past U+007F makes it a word.
 CUT = "\u2042".encode()
 _WORD = re.compile(rb"[^ ]+")
 _FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20) for b in range(256))
-_HITS, _ITEMS = "_decontam_hits", "_decontam_items"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a hash that a first look-up takes.
+_SIEVE = 22
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+def _hashes(every: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, every), dtype=np.uint64, count=len(every))
+
+
+def _runs(h: np.ndarray, m: int) -> np.ndarray:
+    """A hash for each run of m word hashes."""
+    n = len(h) - m + 1
+    out = np.zeros(max(0, n), dtype=np.uint64)
+    for k in range(m if n > 0 else 0):
+        out = (out ^ h[k : k + n]) * _BASE
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Windows:
-    """All windows of some items, by length, with the items of each."""
+    """All windows of some items, by length: their hashes in order, where they stand in the items' words, and the item."""
 
     def __init__(self, items: list[tuple[str, bytes]]):
-        self.vocabulary: dict[bytes, int] = {}
-        self.found: dict[bytes, list[str]] = {}
-        rows: dict[int, set[bytes]] = {}
+        self.items = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.items)}
+        texts, base, rows = [], 0, {}
         for item, text in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], dtype=np.int32)
-            m = min(WINDOW, len(ids))
-            for i in range(len(ids) - m + 1 if m else 0):
-                w = ids[i : i + m].tobytes()
-                rows.setdefault(m, set()).add(w)
-                if item not in (mine := self.found.setdefault(w, [])):
-                    mine.append(item)
-        self.tables = {m: np.unique(_hash(np.frombuffer(b"".join(x), dtype=np.int32).reshape(-1, m))) for m, x in rows.items()}
+            w = words(text)
+            if not w:
+                continue
+            m = min(WINDOW, len(w))
+            size = np.fromiter(map(len, w), dtype=np.int64, count=len(w))
+            start = base + np.cumsum(size + 1) - size - 1
+            h = _runs(_hashes(w), m)
+            rows.setdefault(m, []).append((h, start[: len(h)], (start + size)[m - 1 :], np.full(len(h), number[item], dtype=np.int32)))
+            texts.append(b" ".join(w))
+            base += len(texts[-1]) + 1
+        self.text = b" ".join(texts)
+        self.tables, self.sieves = {}, {}
+        for m, parts in rows.items():
+            h, lo, hi, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.tables[m] = h[order], lo[order], hi[order], item[order]
+            self.sieves[m] = np.zeros(1 << _SIEVE, dtype=bool)
+            self.sieves[m][h >> np.uint64(64 - _SIEVE)] = True
 
     def hits(self, texts: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray, list[str]]]:
         """For each text its number of words, starts and ends of hit windows, and the items."""
-        get, parts, sizes = self.vocabulary.get, [], []
-        for t in texts:
-            w = words(t)
-            sizes.append(len(w))
-            parts += [get(x, 0) for x in w]
-            parts.append(0)  # windows don't cross texts
-        ids = np.array(parts, dtype=np.int32)
-        unknown = np.r_[0, np.cumsum(ids == 0)]
-        firsts = np.cumsum([0, *(n + 1 for n in sizes)])
-        at, length, items = [], [], []
-        for m, table in self.tables.items():
-            here = np.flatnonzero(unknown[m:] == unknown[:-m])
-            for some in np.array_split(here, len(here) // 200_000 + 1):
-                rows = np.lib.stride_tricks.sliding_window_view(ids, m)[some] if len(some) else np.empty((0, m), np.int32)
-                h = _hash(rows)
-                close = table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
-                for i, row in zip(some[close].tolist(), rows[close], strict=True):
-                    if mine := self.found.get(row.tobytes()):
-                        at.append(i)
-                        length.append(m)
-                        items.append(mine)
-        order = np.argsort(np.array(at, dtype=np.int64), kind="stable")
-        at, length = np.array(at, dtype=np.int64)[order], np.array(length, dtype=np.int64)[order]
-        edges = np.searchsorted(at, firsts)
+        split = [words(t) for t in texts]
+        every = [w for x in split for w in x]
+        ends = np.cumsum([len(x) for x in split], dtype=np.int64)
+        hashes = _hashes(every) if self.tables else np.empty(0, np.uint64)
+        found: list[tuple[list[int], list[int], set[int]]] = [([], [], set()) for _ in texts]
+        for m, (table, lo, hi, item) in self.tables.items():
+            h = _runs(hashes, m)
+            some = np.flatnonzero(self.sieves[m][h >> np.uint64(64 - _SIEVE)])
+            first, last = np.searchsorted(table, h[some]), np.searchsorted(table, h[some], side="right")
+            known = last > first
+            some, first, last = some[known], first[known], last[known]
+            text = np.searchsorted(ends, some, side="right")
+            for i, a, b, k in zip(some.tolist(), first.tolist(), last.tolist(), text.tolist(), strict=True):
+                if i + m > ends[k]:  # windows don't cross texts
+                    continue
+                run = b" ".join(every[i : i + m])
+                same = [int(item[j]) for j in range(a, b) if self.text[lo[j] : hi[j]] == run]
+                if same:
+                    starts, lengths, items = found[k]
+                    starts.append(i - int(ends[k]) + len(split[k]))
+                    lengths.append(m)
+                    items.update(same)
         out = []
-        for k, n in enumerate(sizes):
-            a, b = edges[k], edges[k + 1]
-            start = at[a:b] - firsts[k]
-            out.append((n, start, start + length[a:b], sorted({x for o in order[a:b].tolist() for x in items[o]})))
+        for x, (starts, lengths, items) in zip(split, found, strict=True):
+            start = np.array(starts, dtype=np.int64)
+            out.append((len(x), start, start + np.array(lengths, dtype=np.int64), [self.items[k] for k in sorted(items)]))
         return out
 
 
-def _hash(rows: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(rows), dtype=np.uint64)
-    for k in range(rows.shape[1]):
-        h = (h ^ rows[:, k].astype(np.uint64)) * _BASE
-        h ^= h >> np.uint64(29)
-    return h
-
-
 def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     step = np.zeros(n + 1, dtype=np.int64)
     np.add.at(step, lo, 1)
@@ -110,64 +125,55 @@ def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def blocks_of(benchmark: DataFrame, max_words: int = MAX_WORDS) -> list[list[tuple[str, bytes]]] | Iterator:
+def blocks_of(benchmark: DataFrame, max_words: int = MAX_WORDS) -> Iterator[list[tuple[str, bytes]]]:
     """The items in blocks of about max_words words at most, one block at a time at the driver."""
     slim = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     # a text of n characters has at most (n + 1) / 2 words
     most = slim.select(F.sum(F.floor((F.length("text") + 1) / 2))).first()[0] or 0
     count = -(-most // max_words)
     for k in range(count):
-        rows = slim if count == 1 else slim.where(bucket_column(count, F.col("item")) == k)
+        # items of one id are dealt by text too
+        rows = slim if count == 1 else slim.where(bucket_column(count, F.col("item"), F.col("text")) == k)
         yield [(r.item, r.text.encode()) for r in rows.collect()]
 
 
 Finish = Callable[[pa.RecordBatch, list[bytes], list[int], list[tuple], list[list[str]]], pa.RecordBatch]
 
 
+def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about limit bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        for rows in text_slices(batch, min(limit, 4 << 20)):
+            held.append(rows)
+            size += rows.nbytes
+            if size >= limit:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _scan(docs: DataFrame, benchmark: DataFrame, finish: Finish, schema: T.StructType, max_words: int) -> DataFrame:
-    """docs with what every block finds, put into its last form by finish."""
+    """docs with what the blocks find, put into its last form by finish."""
     spark = docs.sparkSession
-    state = T.StructType([*docs.schema.fields, T.StructField(_HITS, T.BinaryType()), T.StructField(_ITEMS, T.ArrayType(T.StringType()))])
-    for block, first, last in _peek(blocks_of(benchmark, max_words)):
-        table = spark.sparkContext.broadcast(Windows(block))
-
-        def mark(batches: Iterator[pa.RecordBatch], table=table, first=first, last=last) -> Iterator[pa.RecordBatch]:
-            windows = table.value
-            for batch in batches:
-                for rows in text_slices(batch):
-                    texts = texts_of(rows.column(rows.schema.get_field_index("text")))
-                    counts, hits, items = [], [], []
-                    before = [(None, None)] * len(texts) if first else list(zip(rows.column(_HITS).to_pylist(), rows.column(_ITEMS).to_pylist(), strict=True))
-                    for (n, lo, hi, mine), (old, old_items) in zip(windows.hits(texts), before, strict=True):
-                        if old:
-                            a, b = unpack(old)
-                            lo, hi = np.r_[a, lo], np.r_[b, hi]
-                        counts.append(n)
-                        hits.append((lo, hi))
-                        items.append(sorted({*mine, *(old_items or ())}))
-                    if not first:
-                        rows = rows.select([c for c in rows.schema.names if c not in (_HITS, _ITEMS)])
-                    if last:
-                        yield finish(rows, texts, counts, hits, items)
-                    else:
-                        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([pack(*h) if len(h[0]) else None for h in hits], pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[*rows.schema.names, _HITS, _ITEMS])
-
-        docs = docs.mapInArrow(mark, schema if last else state)
-        if not last:
-            docs = materialise(docs, "decontam")
-            table.unpersist()
-    return docs
-
-
-def _peek(blocks: Iterator) -> Iterator:
-    """(block, whether it is the first, whether it is the last); one empty block if there is none. Two blocks are held at once."""
-    first, held = True, None
-    for block in blocks:
-        if held is not None:
-            yield held, first, False
-            first = False
-        held = block
-    yield held or [], first, True
+    tables = [spark.sparkContext.broadcast(Windows(block)) for block in blocks_of(benchmark, max_words)] or [spark.sparkContext.broadcast(Windows([]))]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, GROUP_BYTES if len(tables) > 1 else 4 << 20):
+            texts = texts_of(rows.column(rows.schema.get_field_index("text")))
+            counts, hits, items = [0] * len(texts), [(np.empty(0, np.int64),) * 2] * len(texts), [[]] * len(texts)
+            for table in tables:
+                for k, (n, lo, hi, mine) in enumerate(table.value.hits(texts)):
+                    counts[k] = n
+                    if mine:
+                        hits[k] = np.r_[hits[k][0], lo], np.r_[hits[k][1], hi]
+                        items[k] = sorted({*items[k], *mine})
+                if len(tables) > 1:
+                    del table._value  # the next block takes its place; it is loaded again when its turn comes
+            yield finish(rows, texts, counts, hits, items)
+
+    return docs.mapInArrow(mark, schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
@@ -199,7 +205,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WOR
     Each span leaves CUT in its place, a word of no item, so that its ends form no window.
     """
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_decontam_cut", T.BooleanType())])
+    mark = unused("cut", names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.BooleanType())])
 
     def finish(rows, texts, counts, hits, items):
         new, cut, stay = [], [], []
@@ -214,13 +221,13 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WOR
         k = rows.schema.get_field_index("text")
         text = pa.array([x if c else None for x, c in zip(new, cut, strict=True)], pa.string())
         text = pa.compute.if_else(pa.array(cut), text, rows.column(k))
-        rows = rows.set_column(k, "text", text).append_column("_decontam_cut", pa.array(cut))
+        rows = rows.set_column(k, "text", text).append_column(mark, pa.array(cut))
         return rows.filter(pa.array(stay))
 
     out = _scan(docs, benchmark, finish, schema, max_words)
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_decontam_cut"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(mark), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(names)
 
 

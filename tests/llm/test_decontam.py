@@ -69,3 +69,20 @@ def test_spans_go(spark):
     assert tuple(got[3]) == rows[2] and got[4].text is None
     again = D.report(D.remove_spans(d, b), b)
     assert again.where("n_hit > 0").count() == 0
+
+
+def test_columns_of_any_name(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    d = spark.createDataFrame([(1, f"Keep {item} this", True, "x"), (2, "clean", False, "y")], "doc_id long, text string, cut boolean, _decontam_cut string")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = sorted(map(tuple, D.remove_spans(d, b).collect()))
+    assert got == [(1, "Keep \u2042 this", True, "x"), (2, "clean", False, "y")] and D.remove_spans(d, b).columns == d.columns
+
+
+def test_items_of_one_id_fill_many_blocks(spark):
+    r = random.Random(9)
+    items = [(7, " ".join(f"w{r.randrange(500)}" for _ in range(12))) for _ in range(60)] + [(8, items_text) for items_text in ["a b", "c"]]
+    docs = [(k, " x ".join(t for _, t in r.sample(items, 2))) for k in range(30)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert max(map(len, D.blocks_of(b, 50))) < 30
+    assert sorted(map(tuple, D.digest(D.report(d, b, max_words=50)).collect()), key=str) == brute(docs, items)
