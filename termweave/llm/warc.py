@@ -2,17 +2,25 @@
 
 Archives are kept as rows (archive, blob) of at most about ARCHIVE_BYTES each, so
 that any store which Spark writes holds them; archive_files() reads files that
-are there already. Records are gzip members of their own, or plain.
+are there already. Records are plain, or in gzip members of one or more records,
+and one archive may hold both kinds.
 
 The reader goes from record to record. Where a check fails (member CRC, version
 line, Content-Length, record end, block digest), it searches for the next member
-or version line that starts a valid record, goes on from there, and logs the
-bytes between as a gap with the reason. A gap reaches to the end if nothing
-valid follows.
+or version line, whichever comes first, that starts a valid record, goes on from
+there, and logs the bytes between as a gap with the reason. A gap reaches to the
+end if nothing valid follows. What does not parse within a sound member is a gap
+of that member.
+
+Which page refers to which is found on ids and digests; the pages themselves meet
+what they refer to by their own id, and copies of one payload are dealt to SALTS
+tasks.
 
 Nulls: a null payload is empty; a null page_id is written as such, is a response
 unless a row with an id has an equal payload, and is not referred to. Rows that
-repeat a page_id each get a record; those of the largest page_id are responses.
+repeat a page_id each get a record; those of the largest page_id are responses. An
+empty table gives no archive and no rows. A very long page is one record, held whole
+by its task; 2 GB are the most that one value holds. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,10 +40,13 @@ from pyspark.sql import functions as F
 from .common import materialise, text_slices
 
 ARCHIVE_BYTES = 4 << 20
-#: A member that grows beyond this is taken as damaged.
-MEMBER_BYTES = 1 << 30
+#: The most bytes that one Arrow value holds; a member of more is a gap that says so.
+MEMBER_BYTES = (1 << 31) - 1
+SALTS = 32
+_STEP = 1 << 16
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MAGIC = b"\x1f\x8b\x08"
+_START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _DATE = "2020-01-01T00:00:00Z"
 
@@ -71,10 +82,13 @@ def member(record: bytes) -> bytes:
 
 @dataclass
 class Record:
+    """place: where the record starts in its member's bytes; 0 for plain ones."""
+
     offset: int
     length: int
     heads: dict[str, str]
     block: bytes
+    place: int = 0
 
 
 @dataclass
@@ -88,8 +102,8 @@ class Damaged(ValueError):
     pass
 
 
-def _parse(data: bytes, at: int, whole: bool) -> tuple[Record, int]:
-    """The record that starts at a place; where it ends. whole: nothing may follow."""
+def _parse(data: bytes, at: int) -> tuple[Record, int]:
+    """The record that starts at a place; where it ends."""
     if not (m := _VERSION.match(data, at)):
         raise Damaged("no version line")
     end = data.find(b"\r\n\r\n", m.end())
@@ -111,74 +125,82 @@ def _parse(data: bytes, at: int, whole: bool) -> tuple[Record, int]:
     kind, _, want = heads.get("warc-block-digest", "").partition(":")
     if kind.lower() == "sha1" and base32_sha1(block) != want.upper():
         raise Damaged("block digest differs")
-    if whole and stop + 4 != len(data):
-        raise Damaged("bytes after the record")
     return Record(at, stop + 4 - at, heads, block), stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[Record, int]:
-    if data[at : at + 3] != _MAGIC:
-        raise Damaged("no member here")
+def _member(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    """What the member that starts at a place holds; where it ends."""
     unpacker = zlib.decompressobj(31)
     view = memoryview(data)
-    out, used, step = [], at, 1 << 16
+    out, size, used = [], 0, at
     try:
         while not unpacker.eof and used < len(data):
-            out.append(unpacker.decompress(view[used : used + step]))
-            used += step
-            if sum(map(len, out)) > MEMBER_BYTES:
-                raise Damaged("member too large")
+            out.append(unpacker.decompress(view[used : used + _STEP]))
+            size += len(out[-1])
+            used += _STEP
+            if size > MEMBER_BYTES:
+                raise Damaged("member does not fit one value")
     except zlib.error as e:
         raise Damaged(f"member: {str(e)[:60]}") from None
     if not unpacker.eof:
         raise Damaged("member is cut off")
     end = min(used, len(data)) - len(unpacker.unused_data)
-    record, _ = _parse(b"".join(out), 0, whole=True)
-    return Record(at, end - at, record.heads, record.block), end
+    held = list(_through(b"".join(out), _VERSION, _plain))
+    if not any(isinstance(x, Record) for x in held):
+        raise Damaged(held[0].reason if held else "empty member")
+    inside = [Record(at, end - at, x.heads, x.block, x.offset) if isinstance(x, Record) else Gap(at, end - at, f"in member at {x.offset}: {x.reason}") for x in held]
+    return inside, end
 
 
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All records that are whole, and the gaps between them, in order."""
-    packed = data[:3] == _MAGIC or (not _VERSION.match(data) and 0 <= data.find(_MAGIC) < (m.start() if (m := _VERSION.search(data)) else len(data)))
+def _plain(data: bytes, at: int) -> tuple[list[Record], int]:
+    record, end = _parse(data, at)
+    return [record], end
+
 
-    def read(at: int) -> tuple[Record, int]:
-        return _member(data, at) if packed else _parse(data, at, whole=False)
+def _either(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    return _member(data, at) if data[at : at + 3] == _MAGIC else _plain(data, at)
 
-    def following(at: int) -> int:
-        if packed:
-            return data.find(_MAGIC, at)
-        m = _VERSION.search(data, at)
-        return m.start() if m else -1
 
+def _through(data: bytes, start: re.Pattern, read) -> Iterator[Record | Gap]:
+    """What read() finds from place to place; bytes up to the next start that it can read are a gap."""
     at = 0
     while at < len(data):
         try:
-            record, end = read(at)
+            found, end = read(data, at)
         except Damaged as e:
-            bad, why, place = at, str(e), at
-            while True:
-                place = following(place + 1)
-                if place < 0:
-                    yield Gap(bad, len(data) - bad, why)
-                    return
+            place = at
+            while m := start.search(data, place + 1):
+                place = m.start()
                 try:
-                    record, end = read(place)
+                    found, end = read(data, place)
                     break
                 except Damaged:
                     continue
-            yield Gap(bad, place - bad, why)
-        yield record
+            else:
+                yield Gap(at, len(data) - at, str(e))
+                return
+            yield Gap(at, place - at, str(e))
+        yield from found
         at = end
 
 
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """All records that are whole, and the gaps between them, in order."""
+    return _through(data, _START, _either)
+
+
 def with_roles(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages(page_id, url, html) with refers_to: of equal payloads of at least `least` bytes all but the largest page_id refer to it."""
     body = F.coalesce("html", F.lit("")).cast("binary")
-    hashed = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(body).alias("digest"), F.octet_length(body).alias("n"))
-    largest = hashed.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("largest"))
-    joined = hashed.join(largest, "digest", "left")
-    refers = F.when(F.col("page_id").eqNullSafe(F.col("largest")), None).otherwise(F.col("largest"))
-    return joined.select("page_id", "url", "html", refers.alias("refers_to"))
+    every = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(body).alias("digest"))
+    slim = pages.select(F.col("page_id").cast("long"), F.sha1(body).alias("digest"), F.octet_length(body).alias("n")).where(F.col("n") >= least)
+    slim = materialise(slim.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("rows")), "digests")
+    several = slim.groupBy("digest").agg(F.max("page_id").alias("largest"), F.sum("rows").alias("rows")).where("rows > 1 AND largest IS NOT NULL")
+    several = several.select("digest", "largest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = slim.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    refers = dealt.join(several, ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("largest")))
+    refers = materialise(refers.select(F.col("page_id").alias("of"), F.col("digest").alias("with"), F.col("largest").alias("refers_to")), "revisits")
+    return every.join(refers, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("with")), "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(roles: DataFrame, packed: bool = True) -> DataFrame:

@@ -118,3 +118,39 @@ def test_ranges_and_retries(spark, tmp_path, monkeypatch):
     rows = {r["member"]: r for p in parts for b in reader.read(p) for r in b.to_pylist()}
     assert len(rows) == 40 and rows[names[3]]["error"] is None and rows[names[5]]["media"] is None and "lost" in rows[names[5]]["error"]
     assert calls[names[3]] == 3 and calls[names[4]] == 1
+
+
+def test_salvage_of_both_kinds():
+    record = lambda i: W.page_record(i, "u", b"payload %d" % i * 30, None)
+    ids = lambda out: [int(x.heads["warc-record-id"][10:-1]) for x in out if isinstance(x, W.Record)]
+    mixed = W.member(record(1)) + record(2) + W.member(record(3)) + record(4) + record(5)
+    assert ids(W.salvage(mixed)) == [1, 2, 3, 4, 5] and not any(isinstance(x, W.Gap) for x in W.salvage(mixed))
+    # after damage the next record of either kind is found
+    bad = bytearray(W.member(record(1)))
+    bad[20] ^= 0xFF
+    out = list(W.salvage(bytes(bad) + record(2) + b"rubbish" + W.member(record(3))))
+    assert ids(out) == [2, 3] and [(x.offset, x.length) for x in out if isinstance(x, W.Gap)] == [(0, len(bad)), (len(bad) + len(record(2)), 7)]
+    # several records in one member, one of them damaged
+    third = bytearray(record(3))
+    third[-10] ^= 1
+    out = list(W.salvage(W.member(record(1) + record(2) + bytes(third) + record(4)) + W.member(record(5))))
+    assert ids(out) == [1, 2, 4, 5] and [x.place for x in out if isinstance(x, W.Record)] == [0, len(record(1)), len(record(1) + record(2)) + len(third), 0]
+    gap = next(x for x in out if isinstance(x, W.Gap))
+    assert gap.offset == 0 and gap.reason.startswith(f"in member at {len(record(1) + record(2))}: block digest")
+    assert [type(x) for x in W.salvage(W.member(b"no record"))] == [W.Gap]
+
+
+def test_png_by_another_reader():
+    """The stored form is a PNG that any reader opens: checked by the chunk layout and filters of the format, here with numpy alone."""
+    import numpy as np
+
+    payload = M.padded(bytes(range(256)) * 5)
+    png, at, body = M.to_png(payload), 8, b""
+    while at < len(png):
+        (n,) = struct.unpack(">I", png[at : at + 4])
+        kind, data, crc = png[at + 4 : at + 8], png[at + 8 : at + 8 + n], png[at + 8 + n : at + 12 + n]
+        assert zlib.crc32(kind + data) == struct.unpack(">I", crc)[0]
+        body += data if kind == b"IDAT" else b""
+        at += 12 + n
+    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(-1, 65)
+    assert png[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10]) and not lines[:, 0].any() and lines[:, 1:].tobytes() == payload
