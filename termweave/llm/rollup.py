@@ -5,7 +5,8 @@ language and tokenizer version to signed numbers of documents and tokens, and
 written under its batch id in one commit; the totals are the sum over batches.
 A batch id that is committed is not applied again, and an attempt that failed
 leaves nothing that counts, so a batch may be sent any number of times.
-compact() replaces batches by their sum and remembers their ids.
+compact() adds a sum that names the batches in it, by one rename; what it covers is
+ignored from then on, and removed. A crash at any point leaves either state whole.
 
 Changes have the columns op ('insert', 'delete', 'revise'), source, lang,
 tokenizer, tokens (of the text as it is, or was when deleted) and old_tokens
@@ -13,7 +14,8 @@ tokenizer, tokens (of the text as it is, or was when deleted) and old_tokens
 a change stands there, so that equal changes may come as one row. Nulls: null
 source, lang or tokenizer are values of their own; a null count is 0, null times
 is 1; a null or unknown op fails the batch. Rows that repeat within a batch count
-as often as they stand there. An empty batch commits and changes nothing.
+as often as they stand there. An empty batch commits and changes nothing. A very long
+text is counted whole. Columns beside these are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,15 +54,18 @@ class Rollup:
         store, p = self._fs(folder)
         return sorted(s.getPath().getName() for s in store.listStatus(p)) if store.exists(p) else []
 
+    def _state(self) -> tuple[str | None, set[str], list[str]]:
+        """The last sum, the ids in it, and the batches that it does not cover."""
+        names = self._names(self.path)
+        sums = sorted((n for n in names if n.startswith("sum=")), key=lambda n: int(n[4:]))
+        last = sums[-1] if sums else None
+        ids = {x[3:] for x in self._names(f"{self.path}/{last}/ids")} if last else set()
+        return last, ids, [n for n in names if n.startswith("batch=") and n[6:] not in ids]
+
     def committed(self) -> set[str]:
-        """Ids of the batches that count; those inside a compaction too."""
-        out = set()
-        for name in self._names(self.path):
-            if name.startswith("batch="):
-                out.add(name[6:])
-            elif name.startswith("sum="):
-                out |= {x[3:] for x in self._names(f"{self.path}/{name}/ids") if x.startswith("id=")}
-        return out
+        """Ids of the batches that count."""
+        _, ids, batches = self._state()
+        return ids | {n[6:] for n in batches}
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch; False if it was applied before. The batch counts from the rename of its folder on."""
@@ -86,26 +91,31 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens); keys whose documents and tokens are all gone are left out."""
-        kept = [f"{self.path}/{n}" for n in self._names(self.path) if n.startswith("batch=")] + [f"{self.path}/{n}/totals" for n in self._names(self.path) if n.startswith("sum=")]
+        last, _, batches = self._state()
+        kept = [f"{self.path}/{n}" for n in batches] + ([f"{self.path}/{last}/totals"] if last else [])
         rows = self.spark.read.schema(DELTA).parquet(*kept) if kept else self.spark.createDataFrame([], DELTA)
         return rows.groupBy(KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
     def compact(self) -> None:
-        """One sum for all batches, built aside; the batches go when it is there."""
-        before = [n for n in self._names(self.path) if n.startswith(("batch=", "sum="))]
-        ids, aside = self.committed(), shared_path(self.spark, "rollup")
-        self.totals().write.parquet(f"{aside}/totals")
-        for i in sorted(ids):
-            store, p = self._fs(f"{aside}/ids/id={i}")
-            store.mkdirs(p)
-        old, there = self._fs(self.path)
-        fresh = self._fs(f"{self.path}-new")[1]
-        old.delete(fresh, True)
-        old.mkdirs(fresh)
-        old.rename(self._fs(aside)[1], self._fs(f"{self.path}-new/sum={len(before)}")[1])
-        old.rename(there, self._fs(f"{self.path}-old")[1])
-        old.rename(fresh, there)
-        old.delete(self._fs(f"{self.path}-old")[1], True)
+        """One sum for all batches so far, built aside and put in place by one rename; only then do those it covers go."""
+        last, ids, batches = self._state()
+        fresh, attempt = f"{self.path}/sum={int(last[4:]) + 1 if last else 0}", f"{self.path}/_attempt-sum"
+        store, p = self._fs(attempt)
+        store.delete(p, True)
+        self.totals().write.parquet(f"{attempt}/totals")
+        for i in sorted(ids | {n[6:] for n in batches}):
+            store.mkdirs(self._fs(f"{attempt}/ids/id={i}")[1])
+        if not store.rename(p, self._fs(fresh)[1]):
+            raise OSError(f"{fresh} can't be made")
+        self.clean()
+
+    def clean(self) -> None:
+        """Removes what the last sum covers; a crash in between leaves it to the next call."""
+        last, ids, _ = self._state()
+        for n in self._names(self.path):
+            if (n.startswith("sum=") and n != last) or (n.startswith("batch=") and n[6:] in ids):
+                store, p = self._fs(f"{self.path}/{n}")
+                store.delete(p, True)
 
 
 #: Counting rules that need no vocabulary: all words, and words with a letter or digit.

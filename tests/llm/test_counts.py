@@ -118,3 +118,23 @@ def test_bpe_counts(spark):
     docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "doc_id long, text string")
     got = dict(map(tuple, R.bpe_counts(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN).collect()))
     assert got == {1: 2, 2: 0, 3: 0}
+
+
+def test_compaction_survives_a_crash(spark, tmp_path, monkeypatch):
+    book = R.Rollup(spark, f"file://{tmp_path}/book")
+    rows = lambda n: spark.createDataFrame([("insert", "a", "en", "t", n, None)], COLUMNS)
+    assert book.commit("b1", rows(5)) and book.commit("b2", rows(7))
+    # before the rename: an attempt that lies about counts nothing
+    spark.createDataFrame([("a", "en", "t", 9, 99)], R.DELTA).write.parquet(f"{tmp_path}/book/_attempt-sum/totals")
+    assert list(map(tuple, book.totals().collect())) == [("a", "en", "t", 2, 12)]
+    # after the rename: what it covers is still there, and ignored
+    with monkeypatch.context() as m:
+        m.setattr(R.Rollup, "clean", lambda self: None)
+        book.compact()
+    assert {"batch=b1", "batch=b2", "sum=0"} <= set(book._names(book.path))
+    assert list(map(tuple, book.totals().collect())) == [("a", "en", "t", 2, 12)]
+    assert book.committed() == {"b1", "b2"} and not book.commit("b1", rows(5))
+    assert book.commit("b3", rows(1))
+    book.compact()
+    assert [n for n in book._names(book.path) if "=" in n] == ["sum=1"] and not book.commit("b3", rows(1))
+    assert list(map(tuple, book.totals().collect())) == [("a", "en", "t", 3, 13)]
