@@ -14,9 +14,13 @@ documents stand in a seeded order, one after the other; as many blocks as the
 quota says are taken from it, round after round, so every word is taken
 quota // words or one time more, and no document more than CAP times its size.
 
-Nulls: a null text has no words; null sources are one source, the last. A null
-doc_id is allowed. Repeated rows are documents of their own (their copy number
-breaks the tie). Empty tables give an empty result.
+What is taken of a document is taken // size whole passes over its words, and of one
+more pass the first taken % size words.
+
+Nulls: a null text has no words; null sources are one source, the last. Rows are
+dealt to shards by doc_id and text, so a null or repeated doc_id is no hot key.
+Repeated rows are documents of their own. Empty tables give an empty result. A very
+long text is counted whole. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -78,8 +82,10 @@ def apportion(units: DataFrame, votes: str, blocks: Column, within: list[str], o
 
 
 def mix(docs: DataFrame, columns: list[str] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for each row of docs, with the columns asked for."""
-    sized = materialise(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count("text").alias("size")), "sizes")
+    """(doc_id, source, size, source_size, target, taken) for each row of docs; the columns asked for come in a struct `kept`."""
+    carried = F.struct(*columns) if columns else F.lit(None).cast("string")
+    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count("text").alias("size"), F.xxhash64("doc_id", "text").alias("row"), carried.alias("kept"))
+    sized = materialise(sized, "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     plan = targets(per_source).withColumn("shards", F.ceil(F.col("rows") / SHARD_ROWS).cast("int"))
     plan = plan.withColumn("unit", F.xxhash64(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))).withColumn("all", F.lit(1))
@@ -87,18 +93,24 @@ def mix(docs: DataFrame, columns: list[str] = ()) -> DataFrame:
     plan = materialise(apportion(plan, "target", total, ["all"], [F.col("source").cast("binary").asc_nulls_last()]), "plan")
     # a handful of numbers a source; joined by hash, as sources have no proven bound
     dealt = sized.join(plan.select(F.col("source").alias("plan_source"), "source_size", "target", "shards", F.col("quota").alias("source_quota")), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.col("shards").cast("long")))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(SEED)), F.col("shards").cast("long")))
     units = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     units = units.withColumn("unit", F.xxhash64(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "shard"))
     quotas = apportion(units, "shard_size", F.col("source_quota"), ["source"], [F.col("shard")]).select(F.col("source").alias("s"), F.col("shard").alias("h"), "shard_size", "quota")
-    seeded = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    seeded = Window.partitionBy("source", "shard").orderBy(F.xxhash64("row", F.lit(SEED + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("before", F.coalesce(F.sum("size").over(seeded), F.lit(0)))
     out = placed.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")))
     words = F.least(F.col("quota") * BLOCK, CAP * F.col("shard_size"))
     rounds = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0).cast("long")
     rest = words - rounds * F.col("shard_size") - F.col("before")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["kept"] if columns else []))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes words of, with all their columns in `kept`: passes whole readings of the text, and of one more the first head_words words."""
+    out = mix(docs, docs.columns).where("taken > 0")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", F.floor(F.col("taken") / F.greatest("size", F.lit(1))).cast("long").alias("passes"), (F.col("taken") % F.greatest("size", F.lit(1))).alias("head_words"), "kept")
 
 
 #: The result but for taken, whose choice of documents is the operator's own.

@@ -82,3 +82,19 @@ def test_sql(spark):
     want = duckdb.sql(M.TARGET_SQL.replace("FROM documents", f"FROM '{path}'")).fetchall()
     got = M.mix(spark.read.parquet(path)).select("doc_id", "size", "source_size", "target").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_columns_asked_for(spark):
+    df = spark.createDataFrame([(k, "ab"[k % 2], " ".join("w" * (k % 5)), k) for k in range(40)], "doc_id int, source string, text string, size int")
+    got = M.mixed(df).collect()
+    assert got and all(r.kept.text == " ".join("w" * (r.doc_id % 5)) and r.kept.size == r.doc_id and r.passes * r["size"] + r.head_words == r.taken and r.head_words < r["size"] for r in got)
+
+
+def test_rows_without_ids_fill_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_ROWS", 20)
+    data = [(None, "a", " ".join(["w"] * (1 + k % 7)) + f" x{k}") for k in range(200)] + [(5, "b", f"y{k} z") for k in range(100)]
+    got = M.mix(spark.createDataFrame(data, "doc_id long, source string, text string")).collect()
+    assert len(got) == 300
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= M.BLOCK * 1.5 and all(r.taken <= 3 * r["size"] for r in mine)
