@@ -81,11 +81,13 @@ def clean_text(spark, d):
     return P.table(spark, d, "pages").select("page_id", X.clean_text("html").alias("body"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents)
-SELECT doc_id, len(w)::BIGINT AS words, greatest(0, len(w) - 1)::BIGINT AS pairs, coalesce(w[1] || ' ' || w[2] || ' ' || w[3], '') AS first_three FROM t""")
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+(?:[\\p{L}\\p{N}_]|[''-])*[\\p{L}\\p{N}_]+') AS w FROM documents)
+SELECT doc_id, len(w)::BIGINT AS words, md5(array_to_string(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END, '|')) AS pairs,
+  md5(array_to_string(CASE WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [] END, '|')) AS triples FROM t""")
 def ngrams(spark, d):
-    w = P.table(spark, d, "documents").select("doc_id", X.tokens("text").alias("w"))
-    return w.select("doc_id", F.size("w").cast("long").alias("words"), F.size(X.ngrams(F.col("w"), 2)).cast("long").alias("pairs"), F.coalesce(F.get(X.ngrams(F.slice("w", 1, 3), 3), 0), F.lit("")).alias("first_three"))
+    w = P.table(spark, d, "documents").select("doc_id", X.phrase_words(F.coalesce("text", F.lit(""))).alias("w"))
+    all_of = lambda n: F.md5(F.array_join(X.ngrams(F.col("w"), n), "|").cast("binary"))
+    return w.select("doc_id", F.size("w").cast("long").alias("words"), all_of(2).alias("pairs"), all_of(3).alias("triples"))
 
 
 _LOOKUP = P.matches_sql("(SELECT entry_id AS qid, source AS text FROM tm)", "(SELECT lower(source_term) AS keyword FROM glossary WHERE source_lang = 'src')")

@@ -70,9 +70,29 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def phrase_words(c: Column | str) -> Column:
+    """Lowered words of two or more characters, with hyphens and apostrophes inside."""
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"({WORD}+(?:{WORD}|['-])*{WORD}+)"), F.lit(1))
+
+
+def text_ngrams(c: Column | str, n: int) -> Column:
+    """Runs of n of phrase_words()."""
+    return ngrams(phrase_words(c), n)
+
+
+def vocabulary(c: Column | str, least: int = 3) -> Column:
+    """The distinct words of a text that have at least `least` characters."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(rf"({WORD}{{{least},}})"), F.lit(1)))
+
+
+def timestamp(at: Column | None = None) -> Column:
+    """An ISO time without zone, to the microsecond; now unless a time is given."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
 def scan_phrases(c: Column | str) -> Column:
     """Distinct runs of 4, 3 and 2 words, and single words of more than 3 characters."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+[\w'-]*\w+)"), F.lit(1))
+    words = phrase_words(c)
     single = F.filter(words, lambda w: F.length(w) > 3)
     return F.array_sort(F.array_distinct(F.concat(ngrams(words, 4), ngrams(words, 3), ngrams(words, 2), single)))
 

@@ -109,3 +109,10 @@ def integrity(edges: DataFrame, sample: int = 5) -> DataFrame:
 def repaired(edges: DataFrame) -> DataFrame:
     """Edges without the corrupted ones, to write in place of them after a copy is kept."""
     return edges.where("NOT (relation = 'translates_to' AND src = 'auto') OR relation IS NULL")
+
+
+def document(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(value): visual_nodes() and visual_links() as one JSON document {nodes, links}; a view is limited, so it fits a row."""
+    one = lambda df, order, name: df.agg(F.array_sort(F.collect_list(F.struct(*order, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")))).alias(name)).select(F.transform(name, lambda x: x["j"]).alias(name))
+    both = one(nodes, ("id",), "n").join(F.broadcast(one(links, ("source", "target"), "l")), how="cross")
+    return both.select(F.concat(F.lit('{"nodes": ['), F.array_join("n", ", "), F.lit('], "links": ['), F.array_join("l", ", "), F.lit("]}")).alias("value"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -52,9 +52,9 @@ def _pair(file: str) -> tuple:
     return found(1), found(2)
 
 
-def _lines(files: DataFrame, bare: bool) -> DataFrame:
-    """Lines of two or more columns, both filled; bare: only lines without < and >."""
-    x = files.select("file", F.posexplode(F.split("body", "\n")).alias("place", "line"))
+def _lines(files: DataFrame, bare: bool, first: Column | int = 0) -> DataFrame:
+    """Lines of two or more columns, both filled, in places from first on; bare: only lines without < and >."""
+    x = files.select("file", F.lit(first).alias("first"), F.posexplode(F.split("body", "\n")).alias("place", "line")).withColumn("place", F.col("first") + F.col("place"))
     if bare:
         x = x.where(~F.contains("line", F.lit("<")) & ~F.contains("line", F.lit(">")))
     cells = F.split("line", "\t")
@@ -82,33 +82,26 @@ def _csv_rows(files: DataFrame) -> DataFrame:
     return x.select("file", "place", *[F.col("r")[k].alias(n) for k, n in enumerate(names)]).where("source_term <> '' AND target_term <> ''")
 
 
-def _tbx_entries(files: DataFrame) -> DataFrame:
-    """Entries with an en and an sl term; a malformed entry, or one whose tag has attributes, is passed over."""
+#: An entry whose tag has no attributes.
+_ENTRY = r"(?s)<termEntry>(.*?)</termEntry>"
+_LANG_SET = r"""(?s)<langSet\s[^>]*?lang\s*=\s*["']([^"']+)["'][^>]*>(.*?)</langSet>"""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def parse(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import xml.etree.ElementTree as ET
 
-        def entry(body: str) -> list | None:
-            try:
-                node = ET.fromstring(f"<entry>{body}</entry>")
-            except ET.ParseError:
-                return None
-            terms = {}
-            for s in node.findall("langSet"):
-                lang, term = s.get("{http://www.w3.org/XML/1998/namespace}lang") or s.get("lang"), s.find(".//term")
-                if lang and term is not None and term.text:
-                    terms[lang] = term.text.strip()
-            note = node.find(".//descrip")
-            if "en" not in terms or "sl" not in terms:
-                return None
-            return [terms["en"], terms["sl"], (note.text or "").strip() if note is not None else ""]
+def _first_text(c: Column | str, tag: str) -> Column:
+    """What stands right after the first opening tag of that name, as characters."""
+    return strip(html_unescape(F.regexp_extract(c, rf"<{tag}(?:\s[^>]*)?>([^<]*)", 1)))
 
-        for s in parts:
-            yield s.map(entry)
 
-    x = files.select("file", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)<termEntry>(.*?)</termEntry>"), F.lit(1))).alias("place", "entry")).withColumn("t", parse("entry")).where("t IS NOT NULL")
-    return x.select("file", "place", F.col("t")[0].alias("source_term"), F.col("t")[1].alias("target_term"), F.lit("en").alias("source_lang"), F.lit("sl").alias("target_lang"), F.col("t")[2].alias("note"))
+def _tbx_entries(files: DataFrame) -> DataFrame:
+    """Entries with an en and an sl term; one that is no XML, or whose tag has attributes, is passed over. Of several sets of a language the last with a term counts."""
+    x = files.select("file", F.posexplode(F.regexp_extract_all("body", F.lit(_ENTRY), F.lit(1))).alias("place", "entry"))
+    read = F.from_xml(F.concat(F.lit("<entry>"), "entry", F.lit("</entry>")), "broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    x = x.withColumn("read", read).where("read IS NOT NULL AND read.broken IS NULL").withColumn("note", _first_text("entry", "descrip"))
+    sets = F.arrays_zip(F.regexp_extract_all("entry", F.lit(_LANG_SET), F.lit(1)).alias("lang"), F.regexp_extract_all("entry", F.lit(_LANG_SET), F.lit(2)).alias("body"))
+    each = x.select("file", "place", "note", F.posexplode(sets).alias("at", "s")).select("file", "place", "note", "at", "s.lang", _first_text("s.body", "term").alias("term")).where("term <> ''")
+    last = lambda lang: F.max_by(F.when(F.col("lang") == lang, F.col("term")), F.when(F.col("lang") == lang, F.col("at")))
+    both = each.groupBy("file", "place", "note").agg(last("en").alias("source_term"), last("sl").alias("target_term")).where("source_term IS NOT NULL AND target_term IS NOT NULL")
+    return both.select("file", "place", "source_term", "target_term", F.lit("en").alias("source_lang"), F.lit("sl").alias("target_lang"), "note")
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
@@ -118,7 +111,7 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     f = _whole(spark, path, "*")
     tbx, csv_ = F.contains("body", F.lit("<termEntry")), F.endswith("file", F.lit(".csv"))
     first = f.where(tbx)
-    lines = _lines(first, bare=True).withColumn("place", F.col("place") + 1_000_000)
+    lines = _lines(first, bare=True, first=F.size(F.regexp_extract_all("body", F.lit(_ENTRY), F.lit(1))))
     tsv = f.where(~tbx & ~csv_ & F.contains("body", F.lit("\t")) & ~F.contains("body", F.lit("<")))
     every = _tbx_entries(first).unionByName(lines).unionByName(_csv_rows(f.where(~tbx & csv_))).unionByName(_lines(tsv, bare=False)).withColumn("origin", F.col("file"))
     return with_reverse(_numbered(every).select("entry_id", "source_term", "target_term", "source_lang", "target_lang", "note", "origin"))
@@ -138,9 +131,9 @@ def _struct(ddl: str) -> str:
     return ", ".join(":".join(c.split(maxsplit=1)) for c in ddl.split(", "))
 
 
-def read_projects(spark: SparkSession, path: str) -> DataFrame:
+def read_projects(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """All readable projects, the last saved first."""
-    x = _whole(spark, path, "*.json").select(F.from_json("body", PROJECT, {"mode": "PERMISSIVE"}).alias("p")).select("p.*")
+    x = _whole(spark, path, pattern).select(F.from_json("body", PROJECT, {"mode": "PERMISSIVE"}).alias("p")).select("p.*")
     return x.where("id IS NOT NULL AND filename IS NOT NULL AND saved_at IS NOT NULL").orderBy(F.desc("saved_at"), "id")
 
 
@@ -173,3 +166,11 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
     return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.posexplode(paragraphs("content")).alias("id", "source"))
+
+
+def read_project(spark: SparkSession, path: str, project_id: str) -> DataFrame:
+    """The project of that id, read from its own file or stored folder alone; no row if it is missing or broken."""
+    store = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/project={project_id}")
+    if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
+        return spark.read.schema(PROJECT).parquet(f"{path}/project={project_id}")
+    return read_projects(spark, path, f"{project_id}.json").where(F.col("id") == project_id)

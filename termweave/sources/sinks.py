@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import xml.etree.ElementTree as ET
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from ..functions.text import escape_xml
+from ..functions.text import escape_xml, strip
 from ..schemas import EDGE_JSON, NODE_JSON
 
 
@@ -63,3 +71,82 @@ def back_up(spark, path: str, stamp: str) -> str:
     a, b = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(copy)
     jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
     return copy
+
+
+def append_pairs(pairs: DataFrame, path: str) -> None:
+    """Rows of the memory, or of the glossary, added to its Parquet store."""
+    pairs.write.mode("append").parquet(path)
+
+
+def write_tmx(tm: DataFrame, path: str, source_lang: str) -> None:
+    """The memory as TMX documents in a folder, one a partition; every header has the language given, that of the first pair ever written."""
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<tmx version="1.4">', f'  <header creationtool="termweave" srclang="{source_lang}"/>', "  <body>"]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda x: pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["value"])
+        yield line(head)
+        for batch in batches:
+            yield line([f"    {v}" for v in batch.column(0).to_pylist()])
+        yield line(["  </body>", "</tmx>"])
+
+    tmx_units(tm).select("value").mapInArrow(whole, "value string").write.mode("overwrite").text(path)
+
+
+def write_glossary(glossary: DataFrame, path: str, mode: str = "append") -> None:
+    """Entries as lines of text files in a folder, added to those that are there."""
+    glossary_lines(glossary).write.mode(mode).text(path)
+
+
+def export_docx(files: DataFrame, segments: DataFrame) -> DataFrame:
+    """files(project_id, content) with the paragraphs of each document replaced: (project_id, content).
+
+    A paragraph whose stripped text is the source of a segment gets its target, if that is filled; of several
+    segments of one source the last. The rest of the file is kept as it is. A file that is no DOCX is left out.
+    """
+    last = segments.groupBy("project_id", F.col("source").alias("key")).agg(F.max_by("target", "id").alias("target")).where(strip("target") != "")
+    pairs = last.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "target"))).alias("pairs"))
+
+    @F.pandas_udf(BinaryType())
+    def replaced(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for contents, maps in parts:
+            yield pd.Series([_docx(c, dict(m) if m is not None else {}) for c, m in zip(contents, maps, strict=True)])
+
+    x = files.join(pairs, "project_id", "left").select("project_id", replaced("content", "pairs").alias("content"))
+    return x.where("content IS NOT NULL")
+
+
+def _docx(content: bytes, pairs: dict[str, str]) -> bytes | None:
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    out = io.BytesIO()
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+            for member in old.infolist():
+                data = old.read(member)
+                if member.filename == "word/document.xml":
+                    root = ET.fromstring(data)
+                    for p in root.find(f"{w}body").findall(f"{w}p"):
+                        text = "".join(t.text or "" for t in p.iter(f"{w}t")).strip()
+                        if text in pairs:
+                            for child in [c for c in p if c.tag != f"{w}pPr"]:
+                                p.remove(child)
+                            t = ET.SubElement(ET.SubElement(p, f"{w}r"), f"{w}t")
+                            t.text = pairs[text]
+                            t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+                    data = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+                new.writestr(member, data)
+    except (zipfile.BadZipFile, ET.ParseError, AttributeError):
+        return None
+    return out.getvalue()
+
+
+def repair_graph(spark, path: str, stamp: str) -> str | None:
+    """Where edges lost their source: a copy of the stored graph is kept, then the sound edges take the place of all; the copy's path. A sound graph is left alone."""
+    from ..operators.inspect import integrity, repaired
+
+    nodes, edges = load_graph(spark, path)
+    if integrity(edges).first().verdict != "CORRUPTED":
+        return None
+    copy = back_up(spark, path, stamp)
+    _, kept = load_graph(spark, copy)
+    repaired(kept).write.mode("overwrite").parquet(f"{path}/edges")
+    return copy

@@ -231,6 +231,19 @@ def test_stream(spark, tmp_path):
     q.stop()
     nodes, edges = learner.graph(spark, 0)
     assert nodes.count() == 3 and edges.where("verified").count() == 2
+    more = lambda n, *p: learner.apply(spark.createDataFrame([(10 * n + k, a, b, "en", "sl") for k, (a, b) in enumerate(p)], schema), n)
+    state = lambda: sorted((r.id, r.frequency) for r in learner.graph(spark)[0].collect())
+    more(1, ("dog", "pes"), ("cat", "mačka"))
+    more(1, ("dog", "pes"), ("cat", "mačka"))  # a batch that is repeated
+    before = state()
+    assert dict(before)["term:en:dog"] == 2 and dict(before)["term:en:cat"] == 1
+    learner.compact(spark)
+    assert state() == before and not (tmp_path / "graph" / "log=0").exists()
+    more(2, ("dog", "kuža"))
+    learner.compact(spark)
+    assert dict(state())["term:en:dog"] == 3 and [p.name for p in sorted((tmp_path / "graph").iterdir())] == ["base=2"]
+    e = {(r.src, r.dst): r.confidence for r in learner.graph(spark)[1].where("relation = 'translates_to'").collect()}
+    assert e["term:en:dog", "term:sl:pes"] == pytest.approx(0.99) and e["term:en:dog", "term:sl:kuža"] == 1.0
 
 
 def test_terms_of_many_words(spark):
@@ -242,3 +255,241 @@ def test_terms_of_many_words(spark):
     for mode in ("unicode", "ascii_compat"):
         found = G.lookup(texts, terms, "en", "de", mode=mode).collect()
         assert sorted((r.qid, r.target_term) for r in found) == [(1, "b"), (2, "a"), (2, "c")]
+
+
+def _small_graph(spark):
+    nodes, edges = _graph(spark)
+    pairs = [(1, "ring", "prstan", "en", "sl"), (2, "ring", "obroč", "en", "sl"), (3, "cat", "mačka", "en", "sl")]
+    return graph.promote_pairs(nodes, edges, spark.createDataFrame(pairs, "pos long, source string, target string, source_lang string, target_lang string"))
+
+
+def test_graph_views(spark):
+    nodes, edges = _small_graph(spark)
+    q = spark.createDataFrame([(1, "Ring"), (2, "nothing")], "qid long, term string")
+    r = graph.tooltip(nodes, edges, q, "en", "sl").collect()
+    assert [(x.qid, x.node_id, x.frequency, x.translations, x.concept) for x in r] == [(1, "term:en:ring", 2, "prstan, obroč", "concept:ring")]
+    same = spark.createDataFrame([("term:sl:prstan", "term:sl:obroč", "related_to", 9)], "src string, dst string, relation string, pos long")
+    ids = spark.createDataFrame([("term:sl:prstan",)], "id string")
+    assert [tuple(x) for x in graph.related(nodes, same, ids).collect()] == [("term:sl:prstan", "obroč")]
+    n, e = graph.subgraph(nodes, edges, spark.createDataFrame([("term:en:cat",), ("term:sl:mačka",)], "id string"))
+    assert n.count() == 2 and sorted((x.src, x.dst) for x in e.collect()) == [("term:en:cat", "term:sl:mačka"), ("term:sl:mačka", "term:en:cat")]
+    v = graph.add_variants(nodes, spark.createDataFrame([("term:en:cat", "cats"), ("term:en:cat", "cats")], "id string, variant string")).where("id = 'term:en:cat'").first()
+    assert v.variants == ["cats"]
+    found = graph.entities(spark.createDataFrame([(1, "two cats")], "qid long, text string"), graph.add_variants(nodes, spark.createDataFrame([("term:en:cat", "cats")], "id string, variant string")))
+    assert [x.node_id for x in found.collect()] == ["term:en:cat"]
+    segments = graph.insert_absent(nodes, spark.createDataFrame([("segment:1", "tm_segment", "a cat", "mačka")], "id string, type string, source_text string, target_text string"))
+    at = spark.createDataFrame([("term:en:cat", "segment:1", "appears_in_segment", 1)], "src string, dst string, relation string, pos long")
+    assert [tuple(x) for x in graph.examples(segments, at, spark.createDataFrame([("term:en:cat",)], "node_id string")).collect()] == [("term:en:cat", "a cat", "mačka", 1)]
+
+
+def test_two_nodes_of_one_keyword(spark):
+    rows = [("term:en:a", "term", "same", "2021"), ("term:en:z", "term", "Same", "2020")]
+    nodes = spark.createDataFrame(rows, "id string, type string, term string, created_at string").withColumns({"variants": F.lit(None).cast("array<string>"), "phrase": F.lit(None).cast("string")})
+    assert [tuple(r) for r in graph.keywords(nodes).collect()] == [("same", "term:en:a")]
+
+
+def test_inspector_views(spark):
+    nodes, edges = _small_graph(spark)
+    chosen = inspect.select_nodes(nodes, edges)
+    inner = inspect.select_edges(chosen, edges)
+    shown, links = inspect.visual_nodes(chosen, inner), inspect.visual_links(inner)
+    assert {r.id: r.verified for r in shown.collect()}["term:en:cat"] and shown.where("color = '#3b82f6'").count() == 2
+    n, e = inspect.view(shown, links, lang="en")
+    assert sorted(r.id for r in n.collect()) == ["concept:cat", "concept:ring", "term:en:cat", "term:en:ring"] and e.where("relation <> 'instantiates_concept'").isEmpty()
+    n, _ = inspect.view(shown, links, text="mač")
+    assert sorted(r.id for r in n.where("type = 'term'").collect()) == ["term:sl:mačka"]
+    assert {r.id for r in inspect.around(links, "term:en:cat").collect()} == {"term:sl:mačka", "concept:cat"}
+    assert [tuple(r) for r in inspect.detail(links, shown, "term:en:cat").collect()] == [("mačka", 1.0)]
+    assert inspect.stats(nodes, edges).where("metric = 'verified_nodes'").first().value == 5
+    d = json.loads(inspect.document(shown, links).first().value)
+    assert len(d["nodes"]) == shown.count() and {x["source"] for x in d["links"]} <= {x["id"] for x in d["nodes"]}
+
+
+def test_repair(spark, tmp_path):
+    nodes, edges = _small_graph(spark)
+    path = str(tmp_path / "g")
+    sinks.save_graph(nodes, edges, path)
+    assert sinks.repair_graph(spark, path, "1") is None and not (tmp_path / "g.backup-1").exists()
+    bad = spark.createDataFrame([("auto", "term:sl:x", "translates_to")], "src string, dst string, relation string")
+    sinks.save_graph(nodes, edges.unionByName(bad, allowMissingColumns=True), path)
+    copy = sinks.repair_graph(spark, path, "2")
+    assert sinks.load_graph(spark, copy)[1].where("src = 'auto'").count() == 1
+    assert sinks.load_graph(spark, path)[1].where("src = 'auto'").isEmpty() and sinks.load_graph(spark, path)[1].count() == edges.count()
+
+
+def test_search_of_substrings(spark):
+    nodes, edges = _small_graph(spark)
+    q = spark.createDataFrame([(1, "RI"), (2, "ač"), (3, "x")], "qid long, text string")
+    assert sorted((r.qid, r.id, r.neighbours) for r in graph.search(nodes, edges, q).collect()) == [(1, "concept:ring", 0), (1, "term:en:ring", 3), (2, "term:sl:mačka", 2)]
+    texts = spark.createDataFrame([("a", "one two"), ("b", "two"), ("c", None), ("d", "")], "id string, text string")
+    patterns = spark.createDataFrame([(1, "two"), (2, "o"), (3, None), (4, "e t")], "qid long, pattern string")
+    assert sorted(map(tuple, matching.containing(texts, patterns).collect())) == [("a", 1), ("a", 2), ("a", 4), ("b", 1), ("b", 2)]
+
+
+def test_dictionary_in_blocks(spark):
+    import random
+
+    r = random.Random(7)
+    words = ["ab", "cd", "Ef", "gh", "i9", "č"]
+    terms = sorted({" ".join(r.choice(words) for _ in range(r.randint(1, 8))).lower() for _ in range(60)})
+    texts = [(k, r.choice([" ", ", "]).join(r.choice(words) for _ in range(r.randint(0, 60)))) for k in range(30)]
+    d, t = spark.createDataFrame([(x,) for x in terms], "keyword string"), spark.createDataFrame(texts, "qid long, text string")
+
+    def brute(text):
+        import re
+
+        runs, at, out = re.findall(r"\w+|\W+", text.lower()), 0, []
+        while at < len(runs):
+            best = max((n for n in range(1, 16) if at + n <= len(runs) and "".join(runs[at : at + n]) in terms), default=0)
+            out += [("".join(runs[at : at + best]), at + 1)] if best else []
+            at += best or 1
+        return out
+
+    want = sorted((k, w, p) for k, x in texts for w, p in brute(x))
+    for limit in (8 << 20, 200):
+        assert sorted(map(tuple, matching.keyword_hits(t, "qid", "text", d, limit=limit).collect())) == want
+
+
+def test_reversed_glossary(spark):
+    from termweave.operators import glossary as G
+
+    one = spark.createDataFrame([(0, "a", "x", "en", "sl", "", ""), (1, "b", "X", "en", "sl", "", ""), (2, "b", "x", "en", "sl", "", ""), (3, "one two three four five six", "ena dve tri", "en", "sl", "", "")], schemas.GLOSSARY)
+    both = G.with_reverse(one)
+    q = spark.createDataFrame([(1, "an x and b, One two three four five six: ena dve tri")], "qid long, text string")
+    assert sorted((r.source_term, r.target_term) for r in G.lookup(q, both, "en", "sl").collect()) == [("b", "X"), ("one two three four five six", "ena dve tri")]
+    assert sorted((r.source_term, r.target_term) for r in G.lookup(q, both, "sl", "en").collect()) == [("ena dve tri", "one two three four five six"), ("x", "a")]
+
+
+def test_blocks_of_both_sides(spark, monkeypatch):
+    """Fuzzy and concordance search give the same rows whatever the blocks."""
+    import random
+
+    r = random.Random(5)
+    text = lambda: " ".join(r.choice(["red", "ring", "small", "a", "blue", "the"]) for _ in range(r.randint(1, 9)))
+    m = spark.createDataFrame([(k, text(), text(), "", "", "") for k in range(80)], schemas.TM)
+    q = spark.createDataFrame([(k, text()) for k in range(40)] + [(99, "red  Ring x")], "qid long, text string")
+    want = [sorted((x.qid, x.entry_id, x["rank"]) for x in f(q, m).collect()) for f in (lambda a, b: tm.fuzzy(a, b, 70.0), tm.concordance)]
+    real = matching.by_blocks
+    monkeypatch.setattr(tm, "by_blocks", lambda *a, **k: real(*a, **k | {"rows": 7}))
+    got = [sorted((x.qid, x.entry_id, x["rank"]) for x in f(q, m).collect()) for f in (lambda a, b: tm.fuzzy(a, b, 70.0), tm.concordance)]
+    assert got == want and all(want)
+    entries = {x.entry_id: x for x in m.collect()}
+
+    def relevance(words, size, e):
+        ratio = len(e.source) / size
+        share = sum(w in e.source or w in e.target for w in words) / len(words) * 100
+        return share * (0 if ratio > 10 else 0.3 if ratio > 4 else 0.6 if ratio > 2 else 1)
+
+    for x in q.collect():
+        words = [w for w in x.text.lower().split() if len(w) > 1]
+        top = sorted((-v, k) for k, e in entries.items() if words and (v := relevance(words, len(x.text), e)) > 20)[:5]
+        assert [k for _, k in top] == [k for i, k, _ in sorted((a for a in got[1] if a[0] == x.qid), key=lambda a: a[2])]
+
+
+def test_seed_graph(spark, tmp_path):
+    rows = [(k, "red ring red ring", "prstan rdeč", "", "en", "sl") for k in range(4)] + [(9, "blue sky", "nebo", "", "en", "sl")]
+    nodes, edges = seed.seed(spark.createDataFrame(rows, schemas.TM), "en", "sl")
+    # matches are leftmost, longest: "red ring red" and "ring" in each entry
+    assert {(r.term, r.frequency) for r in nodes.where("type = 'term'").collect()} == {("red ring red", 4), ("ring", 4), ("prstan rdeč", 4)}
+    assert {(r.src, r.dst, r.confidence) for r in edges.where("relation = 'translates_to' AND src LIKE 'term:en%'").collect()} == {(f"term:en:{t}", "term:sl:prstan rdeč", 0.95) for t in ("red ring red", "ring")}
+    (tmp_path / "tm").mkdir()
+    unit = "<tu><tuv><seg>red ring</seg></tuv><tuv><seg>prstan</seg></tuv></tu>"
+    (tmp_path / "tm" / "a.tmx").write_text(f'<tmx><header srclang="en"/><body>{unit * 3}</body></tmx>')
+    assert seed.seeding_job(spark, str(tmp_path / "tm"), str(tmp_path / "graph"))
+    n, e = sinks.load_graph(spark, str(tmp_path / "graph"))
+    assert {r.id for r in n.collect()} == {"term:en:red ring", "term:sl:prstan", "concept:red_ring"} and e.count() == 3
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "b.tmx").write_text("<tmx><body></body></tmx>")
+    assert not seed.seeding_job(spark, str(tmp_path / "none"), str(tmp_path / "other")) and not (tmp_path / "other").exists()
+
+
+def test_noun_chunks(spark):
+    w = "array<struct<text:string,upos:string>>"
+    rows = [([("The", "DET"), ("Red", "ADJ"), ("ring", "NOUN"), (".", "PUNCT")],), ([("it", "PRON")],), ([("42", "NUM")],), ([("1234", "NUM")],)]
+    got = [r.x for r in spark.createDataFrame(rows, f"words {w}").select(seed.noun_chunks(F.col("words")).alias("x")).collect()]
+    assert got == ["red ring ", None, None, None]
+    assert "biti" in seed.STOP_LEMMAS and len(set(seed.STOP_LEMMAS)) == len(seed.STOP_LEMMAS)
+
+
+def test_panel_and_messages(spark):
+    memory = spark.createDataFrame([(1, "small red ring", "majhen rdeč prstan", "", "", ""), (2, "a red ring there", "rdeč prstan tam", "", "", "")], schemas.TM)
+    terms = spark.createDataFrame([(1, "ring", "prstan", "en", "sl", "", "")], schemas.GLOSSARY)
+    q = spark.createDataFrame([(1, "small red ring")], "qid long, text string")
+    got = sorted((r.section, r["rank"], r.source) for r in assist.panel(q, memory, terms, "en", "sl").collect())
+    assert got == [("concordance", 1, "a red ring there"), ("glossary", 1, "ring"), ("memory", 1, "small red ring")]
+    like = assist.unlike_fuzzy(tm.fuzzy(q, memory), tm.concordance(q, memory))
+    assert [r.source for r in like.collect()] == ["a red ring there"]
+    assert assist.system_message("en", "sl").startswith("You are a professional translator expert in sl. Translate from en to sl.\n\nSTRICT RULES:\n1. ")
+    assert "standard Slovenian. CRITICAL" in assist.system_message("English", "Slovenian")
+    m = assist.messages(spark.createDataFrame([(1, "p")], "qid long, prompt string"), "en", "sl").first()
+    assert m.user == "p" and m.plain == f"System: {m.system}\nUser: p\nAssistant:"
+    s = spark.createDataFrame([(2, "b", "", "pending"), (1, "small red ring", None, "pending"), (3, "c", "x", "pending"), (4, "d", "", "done")], "qid long, text string, target string, status string")
+    d = assist.draft(s, assist.context(s.select("qid", "text"), memory, terms, None, "en", "sl"), F.concat(F.lit(" t"), "qid", F.lit(" ")))
+    assert [(r.qid, r.draft) for r in d.collect()] == [(1, "t1"), (2, "t2")]
+    assert [r.target for r in assist.drafted(s, d).orderBy("qid").collect()] == ["t1", "t2", "x", ""]
+    nodes, edges = _small_graph(spark)
+    h = {r.term for r in assist.highlight_terms(spark.createDataFrame([(1, "ring")], "qid long, text string"), terms, nodes, edges, "en", "sl").collect()}
+    assert {"ring", "prstan", "obroč"} <= h
+
+
+def test_confirm(spark):
+    s = spark.createDataFrame([("p", 0, "s0", " ", "pending"), ("p", 1, "s1", "t1", "pending"), ("p", 2, "s2", "t2", "pending"), ("q", 0, "z", "t", "pending")], "project_id string, id int, source string, target string, status string")
+    done, pairs = projects.confirm(s, spark.createDataFrame([("p", 0), ("p", 1)], "project_id string, id int"), "en", "sl")
+    assert sorted((r.project_id, r.id, r.status, r.next_id) for r in done.collect()) == [("p", 0, "pending", 1), ("p", 1, "done", 2), ("p", 2, "pending", None), ("q", 0, "pending", None)]
+    assert [tuple(r)[1:] for r in pairs.collect()] == [("s1", "t1", "en", "sl")]
+    assert {r.next_id for r in assist.next_open(s.where("project_id = 'p'")).collect()} == {1, 2, None}
+    assert sorted(r.word for r in projects.vocabulary(spark.createDataFrame([("p", "the cat, the mačka", "je")], "project_id string, source string, target string")).collect()) == ["cat", "mačka", "the"]
+
+
+def test_writers(spark, tmp_path):
+    m = spark.createDataFrame([(1, 'a "b" <c>', "č & d", "", "en", "sl"), (2, "two", "dve", "", "en", "sl")], schemas.TM).coalesce(1)
+    sinks.write_tmx(m, str(tmp_path / "out"), "en")
+    (tmp_path / "tm").mkdir()
+    for k, p in enumerate(sorted((tmp_path / "out").glob("part-*"))):
+        (tmp_path / "tm" / f"{k}.tmx").write_text(p.read_text())
+    assert sorted((r.source, r.target) for r in files.read_tmx(spark, str(tmp_path / "tm")).collect()) == [('a "b"', "č & d"), ("two", "dve")]
+    for k in range(2):
+        sinks.append_pairs(m.select(F.col("entry_id") + 10 * k, "source"), str(tmp_path / "store"))
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 4
+    g = spark.createDataFrame([(1, "a", "b", "en", "sl", "n", ""), (2, "", "x", "en", "sl", "", "")], schemas.GLOSSARY)
+    sinks.write_glossary(g, str(tmp_path / "g"))
+    sinks.write_glossary(g, str(tmp_path / "g"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "g")).collect()] == ["a\tb\tn"] * 2
+    assert [r.value[:9] for r in sinks.tmx_units(m).orderBy("entry_id").collect()] == ["<tu><tuv "] * 2 and sinks.graph_lines(*_small_graph(spark)).count() == 7 + 11
+
+
+def test_project_store(spark, tmp_path):
+    s = spark.createDataFrame([("p", 0, "s1", "x ", "done"), ("q", 0, "s2", "", "pending")], "project_id string, id int, source string, target string, status string")
+    heads = spark.createDataFrame([(k, "f", "en->sl", 0, "2020") for k in "pq"], "id string, filename string, lang_pair string, active_index int, saved_at string")
+    path = str(tmp_path / "projects")
+    sinks.save_projects(projects.as_documents(s, heads), path)
+    assert files.read_project(spark, path, "p").first().done == 1 and files.read_project(spark, path, "zz").collect() == []
+    sinks.save_projects(projects.as_documents(s.withColumn("status", F.lit("done")), heads).where("id = 'q'"), path)
+    assert files.read_project(spark, path, "q").first().done == 1 and files.read_project(spark, path, "p").count() == 1
+    assert sinks.delete_project(spark, path, "p") and not sinks.delete_project(spark, path, "p")
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "a.json").write_text(json.dumps({"id": "a", "filename": "f", "lang_pair": "en->sl", "saved_at": "1", "segments": []}))
+    assert files.read_project(spark, str(tmp_path / "json"), "a").first().filename == "f"
+
+
+def test_docx_export(spark, tmp_path):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:pPr/><w:r><w:t>One </w:t></w:r><w:r><w:t>two</w:t></w:r></w:p><w:p><w:r><w:t>three</w:t></w:r></w:p></w:body></w:document>')
+        z.writestr("word/styles.xml", "<s/>")
+    docs = spark.createDataFrame([("p", bytearray((tmp_path / "d.docx").read_bytes())), ("bad", bytearray(b"x"))], "project_id string, content binary")
+    s = spark.createDataFrame([("p", 0, "One two", "old"), ("p", 1, "One two", "ena & dve"), ("p", 2, "three", " ")], "project_id string, id int, source string, target string")
+    got = sinks.export_docx(docs, s).collect()
+    assert [r.project_id for r in got] == ["p"]
+    (tmp_path / "new").mkdir()
+    (tmp_path / "new" / "n.docx").write_bytes(bytes(got[0].content))
+    assert [r.source for r in files.read_docx(spark, str(tmp_path / "new")).orderBy("id").collect()] == ["ena & dve", "three"]
+    assert zipfile.ZipFile(tmp_path / "new" / "n.docx").read("word/styles.xml") == b"<s/>"
+
+
+def test_more_text(spark):
+    assert one(spark, X.text_ngrams(F.lit("A well-known don't x ab"), 2)) == ["well-known don't", "don't ab"]
+    assert sorted(one(spark, X.vocabulary(F.lit("the mačka, je the")))) == ["mačka", "the"]
+    assert one(spark, X.timestamp(F.lit("2024-01-02 03:04:05.5").cast("timestamp"))) == "2024-01-02T03:04:05.500000"
+    a, b = X.language_pair(F.lit("en->sl"))
+    assert (one(spark, a), one(spark, b)) == ("en", "sl")
