@@ -35,6 +35,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by two public vocabularies, in rollup.TOKENIZERS."""
     return rollup.history(table(spark, sf_dir, "documents"))
 
 
@@ -57,4 +58,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_mixing, op4_licenses, op5_simhash, op6_token_counts, op7_warc, op8_media, op9_toxicity, op10_suffix_dedup)}
 #: The others have no SQL: tests/llm holds them against brute force, round trips or held-out accuracy.
-SQL: dict[str, str] = {"op4_licenses": licenses.SQL, "op6_token_counts": rollup.SQL, "op7_warc": warc.SQL}
+SQL: dict[str, str] = {"op4_licenses": licenses.SQL, "op7_warc": warc.SQL}

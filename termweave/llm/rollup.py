@@ -20,15 +20,16 @@ text is counted whole. Columns beside these are not read, whatever their names.
 
 from __future__ import annotations
 
+import base64
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, shared_path, text_slices
-from .mixing import word_count
 
 KEYS = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -118,62 +119,89 @@ class Rollup:
                 store.delete(p, True)
 
 
-#: Counting rules that need no vocabulary: all words, and words with a letter or digit.
-def _terms(text: Column | str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0)).cast("long")
+#: Where the vocabularies are, and the tokenizer version that each file stands for.
+TOKENIZERS = "/opt/tokenizers"
+VERSIONS = {"byte-bpe-50k": "byte_bpe_50k.tiktoken", "byte-bpe-multi-50k": "byte_bpe_multi_50k.tiktoken"}
+#: Fixed value: how byte-level vocabularies of this family cut a text before they merge.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space that is longer is cut out by hand, as the pattern's look-ahead does not bear it.
+LONG = 4096
+_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
 
 
-COUNTERS: dict[str, Callable[[Column | str], Column]] = {"words-1": word_count, "terms-1": _terms}
+class Counter:
+    """Token counts by one vocabulary in tiktoken's format."""
 
+    def __init__(self, vocabulary: bytes, pattern: str = PATTERN):
+        import tiktoken
 
-def bpe_counts(docs: DataFrame, vocabulary: str, pattern: str, name: str = "tokens") -> DataFrame:
-    """(doc_id, tokens) by a public byte-level vocabulary in tiktoken's format, a file that every worker can open."""
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        self.coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
+    def count(self, text: str) -> int:
+        total, at = 0, 0
+        for m in _BLANKS.finditer(text):
+            # the last blank before another character belongs to what follows
+            end = m.end() - (m.end() < len(text))
+            total += len(self.coder.encode_ordinary(text[at : m.start()])) + len(self.coder._encode_single_piece(text[m.start() : end]))
+            at = end
+        return total + len(self.coder.encode_ordinary(text[at:]))
 
-        import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        for batch in batches:
-            for rows in text_slices(batch):
-                counts = [len(coder.encode_ordinary(t or "")) for t in rows.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(counts, pa.int64())], names=["doc_id", name])
+def vocabularies(folder: str = TOKENIZERS, versions: dict[str, str] = VERSIONS) -> dict[str, bytes]:
+    """The files' bytes, read at the driver; some 1 MB each, so tasks get them by broadcast and need no such folder."""
+    out = {}
+    for name, file in versions.items():
+        with open(f"{folder}/{file}", "rb") as f:
+            out[name] = f.read()
+    return out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(add, f"doc_id long, {name} long")
 
+def token_counts(docs: DataFrame, known: dict[str, bytes], pattern: str = PATTERN) -> DataFrame:
+    """docs with text left out, and by version in the order of known: tokens of the text, and of the text freed of white space at its ends."""
+    table = docs.sparkSession.sparkContext.broadcast(list(known.values()))
+    rest = [c for c in docs.columns if c != "text"]
 
-def history(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The totals after three batches: all documents come under both counters; those whose words
-    and terms differ get their words counted as terms; of equal texts all but one row go. That one
-    has the smallest (doc_id, source, lang), nulls first; a row that repeats counts as a copy."""
-    spark = docs.sparkSession
-    counted = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), word_count("text").alias("words"), _terms("text").alias("terms"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
-    counted = materialise(counted, "counts")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = [Counter(v, pattern) for v in table.value]
+        for batch in batches:
+            for rows in text_slices(batch):
+                first, then = [], []
+                for t in rows.column(rows.schema.get_field_index("text")).to_pylist():
+                    t = t or ""
+                    bare = t.strip()
+                    first.append([c.count(t) for c in counters])
+                    then.append(first[-1] if bare == t else [c.count(bare) for c in counters])
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, then)]
+                yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in rest), *lists], names=[*rest, "tokens", "bare_tokens"])
+
+    fields = [docs.schema[c] for c in rest] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("tokens", "bare_tokens")]
+    return docs.mapInArrow(add, T.StructType(fields))
+
+
+def history(docs: DataFrame, known: dict[str, bytes] | None = None, path: str | None = None) -> DataFrame:
+    """The totals after three batches: all documents come, counted by every version; those that begin or end in
+    white space are freed of it, and their counts revised; of equal texts all but one row go. That one has the
+    smallest (doc_id, source, lang), nulls first; a row that repeats counts as a copy."""
+    spark, known = docs.sparkSession, vocabularies() if known is None else known
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), digest, "text")
+    counted = materialise(token_counts(slim, known), "counts")
     # copies of a text in one source and language are one row before they meet the row that stays
-    groups = counted.groupBy("digest", "source", "lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id")).alias("least"), F.first("terms").alias("terms"))
+    groups = counted.groupBy("digest", "source", "lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id")).alias("least"), F.first("bare_tokens").alias("bare_tokens"))
     stays = groups.groupBy("digest").agg(F.min(F.struct("least", "source", "lang")).alias("stay"))
     gone = groups.join(stays, "digest").withColumn("times", F.col("n") - F.struct("least", "source", "lang").eqNullSafe(F.col("stay")).cast("long"))
-    copies = gone.where("times > 0")
+    versions = F.array(*[F.lit(v) for v in known]) if known else F.array().cast("array<string>")
 
-    def rows(df: DataFrame, op: str, tokenizer: str, tokens: str, old: str | None = None) -> DataFrame:
+    def rows(df: DataFrame, op: str, tokens: str, old: str | None = None) -> DataFrame:
         times = F.col("times") if "times" in df.columns else F.lit(1).cast("long")
-        return df.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(tokens).alias("tokens"), (F.col(old) if old else F.lit(0).cast("long")).alias("old_tokens"), times.alias("times"))
+        each = df.select("source", "lang", times.alias("times"), F.explode(F.arrays_zip(versions.alias("v"), F.col(tokens).alias("t"), F.col(old or tokens).alias("o"))).alias("x"))
+        return each.select(F.lit(op).alias("op"), "source", "lang", F.col("x.v").alias("tokenizer"), F.col("x.t").alias("tokens"), (F.col("x.o") if old else F.lit(0).cast("long")).alias("old_tokens"), "times")
 
     book = Rollup(spark, path or shared_path(spark, "rollup"))
-    arrive = rows(counted, "insert", "words-1", "words").unionAll(rows(counted, "insert", "terms-1", "terms"))
-    revise = rows(counted.where("words <> terms"), "revise", "words-1", "terms", "words")
-    leave = rows(copies, "delete", "words-1", "terms").unionAll(rows(copies, "delete", "terms-1", "terms"))
+    arrive = rows(counted, "insert", "tokens")
+    revise = rows(counted.where(F.col("tokens") != F.col("bare_tokens")), "revise", "bare_tokens", "tokens")
+    leave = rows(gone.where("times > 0"), "delete", "bare_tokens")
     for batch, changes in (("1-arrive", arrive), ("2-revise", revise), ("3-leave", leave), ("2-revise", revise)):
         book.commit(batch, changes)
     return book.totals()
-
-
-SQL = r"""
-WITH d AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS terms,
-  min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents)
-SELECT source, lang, tokenizer, count(*) AS docs, sum(terms)::BIGINT AS tokens
-FROM d, (VALUES ('words-1'), ('terms-1')) t(tokenizer) WHERE doc_id = first GROUP BY ALL
-"""

@@ -20,7 +20,6 @@ def same(a, b):
 def test_sql(spark):
     docs = spark.read.parquet(SMALL)
     assert same(sorted(map(tuple, L.scan(docs).collect()), key=str), rows_of(L.SQL))
-    assert sorted(map(tuple, R.history(docs).collect()), key=str) == rows_of(R.SQL)
 
 
 def slow(text):
@@ -103,21 +102,45 @@ def test_rollup_times(spark, tmp_path):
     assert list(map(tuple, book.totals().collect())) == [("a", "en", "t", 2, 9)]
 
 
+def coders():
+    return {name: R.Counter(v).coder for name, v in R.vocabularies().items()}
+
+
+def brute_history(rows):
+    """(source, lang, tokenizer, docs, tokens) of what stays: of equal texts the least (doc_id, source, lang), nulls first."""
+    first = lambda v: (v is not None, v)
+    stay = {}
+    for d, t, s, g in rows:
+        k = (first(d), first(s), first(g))
+        stay[t or ""] = min(stay.get(t or "", k), k)
+    out = {}
+    for name, coder in coders().items():
+        for t, (_, (_, s), (_, g)) in stay.items():
+            n, k = out.get((s, g, name), (0, 0))
+            out[s, g, name] = n + 1, k + len(coder.encode_ordinary(t.strip()))
+    return sorted(((*k, *v) for k, v in out.items()), key=str)
+
+
 def test_history_of_copies(spark):
-    """Nulls, ties, rows that repeat, and an empty table."""
-    rows = [(1, "a b", "x", "en"), (1, "a b", "x", "en"), (2, "a b", None, None), (3, None, "x", "en"), (None, "", None, "en"), (4, "- c", "x", "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    stay = [("x", "en", 2, 2 + 1), (None, "en", 1, 0)]  # doc 1 once, doc 4 with one term; of the empty texts the one with null id
-    want = sorted(((s, g, t, n, k) for s, g, n, k in stay for t in R.COUNTERS), key=str)
-    assert sorted(map(tuple, R.history(docs).collect()), key=str) == want
+    """Nulls, ties, rows that repeat, white space at the ends, and an empty table."""
+    rows = [(1, "a b", "x", "en"), (1, "a b", "x", "en"), (2, "a b", None, None), (3, None, "x", "en"), (None, "", None, "en"), (4, "  - c, don't \n", "x", "en"), (5, "  - c, don't \n", "y", "en"), (6, " ", "x", "en")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, lang string, tokens int")
+    assert sorted(map(tuple, R.history(docs).collect()), key=str) == brute_history(rows)
     assert R.history(docs.where("false")).collect() == []
 
 
-def test_bpe_counts(spark):
-    tokenizers = pytest.importorskip("public_tokenizers")
-    docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "doc_id long, text string")
-    got = dict(map(tuple, R.bpe_counts(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN).collect()))
-    assert got == {1: 2, 2: 0, 3: 0}
+def test_history_of_the_table(spark):
+    docs = spark.read.parquet(SMALL)
+    rows = [(r.doc_id, r.text, r.source, r.lang) for r in docs.collect()]
+    assert sorted(map(tuple, R.history(docs).collect()), key=str) == brute_history(rows)
+
+
+def test_token_counts_of_long_texts():
+    for name, v in R.vocabularies().items():
+        c = R.Counter(v)
+        for t in ("hello world", "", "x" + " " * 9000 + "y", "\n" * 5000, "a\u3000" + "\t" * 6000 + "\u00e9 b", " " * 4096 + "z" + " " * 5000, "w " * 20_000):
+            assert c.count(t) == len(c.coder.encode_ordinary(t)), (name, t[:9])
+        assert c.count("x" + " " * 2_000_000 + "y") > 1 and c.count("ab" * 500_000) > 1
 
 
 def test_compaction_survives_a_crash(spark, tmp_path, monkeypatch):
