@@ -7,15 +7,19 @@ under its name when it is whole, so a repeated task replaces what it wrote.
 
 The source "termweave_media" lists the folder and plans byte ranges, without
 reading directories; a task reads its archive's central directory and takes the
-members whose header lies in its range. Members are read and checked one by
-one, by offset; one that fails is read again from a new handle, and after RETRIES
-comes out with its error instead of a payload. Batches of about BATCH_BYTES go
+members whose header lies in its range. Opening and the directory are tried RETRIES
+times too; an archive that stays unreadable is one row with its error, of its first
+range. Members are read and checked one by one, by offset; one that fails is read
+again from a new handle, and after RETRIES comes out with its error instead of a
+payload. Batches of about BATCH_BYTES go
 through Arrow.
 
 The folder must be one that pyarrow opens (local or shared mounts, HDFS, S3).
 
-Nulls: a null text is empty (payload of 64 bytes 0); a null doc_id stays null.
-Repeated rows are members of their own.
+Nulls: a null text is empty (payload of 64 bytes 0), as an empty one; a null doc_id
+stays null. Repeated rows and equal ids are members of their own. An empty table
+gives no archives and no rows. A very long text is one picture, held whole by its
+task. Other columns, of any names, are not read.
 """
 
 from __future__ import annotations
@@ -139,9 +143,19 @@ class MediaReader(DataSourceReader):
         if not partition.path:
             return
         store, _ = open_folder(self.folder)
-        file = store.open_input_file(partition.path)
-        with zipfile.ZipFile(file) as z:
-            members = [m for m in z.infolist() if partition.start <= m.header_offset < partition.end]
+        name, members = partition.path.rpartition("/")[2], None
+        for _ in range(RETRIES):
+            try:
+                file = store.open_input_file(partition.path)
+                with zipfile.ZipFile(file) as z:
+                    members = [m for m in z.infolist() if partition.start <= m.header_offset < partition.end]
+                break
+            except (OSError, ValueError, struct.error, zipfile.BadZipFile) as e:
+                error = f"{type(e).__name__}: {e}"[:200]
+        if members is None:
+            if not partition.start:
+                yield _batch([(name, 0, None, None, error)])
+            return
         rows, held = [], 0
         for m in sorted(members, key=lambda m: m.header_offset):
             media, error = None, None
@@ -155,7 +169,7 @@ class MediaReader(DataSourceReader):
                         file = store.open_input_file(partition.path)
                     except OSError:
                         continue
-            rows.append((partition.path.rpartition("/")[2], m.header_offset, m.filename, media, error))
+            rows.append((name, m.header_offset, m.filename, media, error))
             held += len(media or b"")
             if held >= BATCH_BYTES or len(rows) >= 5000:
                 yield _batch(rows)
@@ -239,7 +253,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_path(spark, "media")
     write_archives(docs, folder)
-    whole = F.when(F.col("error").isNull(), F.col("media")).otherwise(F.raise_error(F.concat("member", F.lit(": "), "error")).cast("binary"))
+    whole = F.when(F.col("error").isNull(), F.col("media")).otherwise(F.raise_error(F.concat(F.coalesce("member", "archive"), F.lit(": "), "error")).cast("binary"))
     out = features(read_media(spark, folder).select("member", whole.alias("media")))
     part = F.split("member", "[/.]")
     return out.select(part[1].try_cast("long").alias("doc_id"), part[2].cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

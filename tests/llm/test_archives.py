@@ -154,3 +154,21 @@ def test_png_by_another_reader():
         at += 12 + n
     lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(-1, 65)
     assert png[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10]) and not lines[:, 0].any() and lines[:, 1:].tobytes() == payload
+
+
+def test_archive_that_does_not_open(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("0/0/3.png", M.to_png(M.padded(b"abc")))
+    (tmp_path / "b.zip").write_bytes(b"rubbish" * 400)
+    monkeypatch.setattr(M, "RANGE_BYTES", 1000)
+    reader, tries, real = M.MediaReader(str(tmp_path)), [], M.zipfile.ZipFile
+
+    def flaky(file, *a):
+        tries.append(1)
+        if len(tries) == 1:
+            raise OSError("lost")
+        return real(file, *a)
+
+    monkeypatch.setattr(M.zipfile, "ZipFile", flaky)
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["archive"], r["member"], r["error"] is None) for r in rows] == [("a.zip", "0/0/3.png", True), ("b.zip", None, False)]
