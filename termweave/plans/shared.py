@@ -30,7 +30,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes what materialise() wrote for these; only when nothing that is still to run reads them."""
+    for df in tables:
+        spark, p = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
