@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialise, shared_dir, shared_path  # noqa: F401
+from ..plans.shared import materialise, remove, shared_dir, shared_path  # noqa: F401
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6")

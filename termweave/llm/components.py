@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, remove
 
 HUB, SALTS = 200, 64
 
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of longs, in any direction, to (node, component): the least node that each reaches.
 
     Nodes without an edge to another are left out. Null ends are dropped. Each
-    round is written to the shared folder, so a lost executor costs one round.
+    round is written to the shared folder, so a lost executor costs one round; the
+    rounds before it go. The result is written there too.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, seen = materialise(edges, "edges"), None
@@ -43,5 +44,9 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        edges = materialise(_star(_star(edges, state[0], large=True), state[0], large=False), "edges")
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        old, edges = edges, materialise(_star(_star(edges, state[0], large=True), state[0], large=False), "edges")
+        remove(old)
+    found = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = materialise(found, "components")
+    remove(edges)
+    return found

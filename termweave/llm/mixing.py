@@ -83,23 +83,28 @@ def apportion(units: DataFrame, votes: str, blocks: Column, within: list[str], o
 
 def mix(docs: DataFrame, columns: list[str] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for each row of docs; the columns asked for come in a struct `kept`."""
-    carried = F.struct(*columns) if columns else F.lit(None).cast("string")
-    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count("text").alias("size"), F.xxhash64("doc_id", "text").alias("row"), carried.alias("kept"))
-    sized = materialise(sized, "sizes")
+    every = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count("text").alias("size"), F.xxhash64("doc_id", "text").alias("row"), *([F.struct(*columns).alias("kept")] if columns else []))
+    sized = materialise(every.drop("kept"), "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     plan = targets(per_source).withColumn("shards", F.ceil(F.col("rows") / SHARD_ROWS).cast("int"))
     plan = plan.withColumn("unit", F.xxhash64(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))).withColumn("all", F.lit(1))
     total = F.floor(F.sum("target").over(Window.partitionBy("all")) / BLOCK + F.lit(0.5)).cast("long")
     plan = materialise(apportion(plan, "target", total, ["all"], [F.col("source").cast("binary").asc_nulls_last()]), "plan")
     # a handful of numbers a source; joined by hash, as sources have no proven bound
-    dealt = sized.join(plan.select(F.col("source").alias("plan_source"), "source_size", "target", "shards", F.col("quota").alias("source_quota")), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(SEED)), F.col("shards").cast("long")))
-    units = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
-    units = units.withColumn("unit", F.xxhash64(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "shard"))
-    quotas = apportion(units, "shard_size", F.col("source_quota"), ["source"], [F.col("shard")]).select(F.col("source").alias("s"), F.col("shard").alias("h"), "shard_size", "quota")
-    seeded = Window.partitionBy("source", "shard").orderBy(F.xxhash64("row", F.lit(SEED + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("before", F.coalesce(F.sum("size").over(seeded), F.lit(0)))
-    out = placed.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")))
+    shares = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "shards", F.col("quota").alias("source_quota"))
+
+    def deal(rows: DataFrame) -> DataFrame:
+        x = rows.join(shares, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
+        x = x.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(SEED)), F.col("shards").cast("long")))
+        return x.withColumn("unit", F.xxhash64(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "shard"))
+
+    units = deal(sized).groupBy("unit", "source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
+    quotas = apportion(units, "shard_size", F.col("source_quota"), ["source"], [F.col("shard")]).select(F.col("unit").alias("u"), F.col("source").alias("s"), F.col("shard").alias("h"), "shard_size", "quota")
+    quotas = materialise(quotas, "quotas")
+    # rows meet their shard's quota and take their place in it by one key, so what they carry moves once
+    placed = deal(every if columns else sized).join(quotas, (F.col("unit") == F.col("u")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")))
+    seeded = Window.partitionBy("unit", "source", "shard").orderBy(F.xxhash64("row", F.lit(SEED + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumn("before", F.coalesce(F.sum("size").over(seeded), F.lit(0)))
     words = F.least(F.col("quota") * BLOCK, CAP * F.col("shard_size"))
     rounds = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0).cast("long")
     rest = words - rounds * F.col("shard_size") - F.col("before")
