@@ -75,7 +75,26 @@ def test_stages(spark, folder):
 
 
 def test_run(spark, folder):
-    assert __spark_entry__.queries()["pipeline"](spark, folder).count() > 50
+    """run() gives what the stages give that test_stages holds against plain versions."""
+    got = sorted(map(str, __spark_entry__.queries()["pipeline"](spark, folder).collect()))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, docs, folder)
+        docs = spark.createDataFrame(kept.collect(), kept.schema)
+    assert len(got) > 50 and got == sorted(map(str, docs.collect()))
+
+
+def test_columns_of_any_name_and_null_ids(spark, folder):
+    names = ["bucket", "n_bytes", "others", "kept_rows", "cut", "toxicity", "unit", "size", "kept", "salt", "taken"]
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows = [(k if k % 3 else None, text(20), "en", "a", None, *range(k, k + len(names))) for k in range(12)] + [(7, text(9), "en", None, 1, *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns[-len(names) :] == names and sorted(map(tuple, docs.collect()), key=str) == sorted(rows, key=str), name
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert out and all(tuple(x.kept) in rows for x in out)
 
 
 def test_toxicity_model_is_needed(spark, folder):
