@@ -57,6 +57,28 @@ def upsert_terms(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     return x.select(*[made.get(c, keep(c)).alias(c) for c in nodes.columns])
 
 
+def upsert_collocations(nodes: DataFrame, calls: DataFrame) -> DataFrame:
+    """calls(pos, phrase, lang, domain, frequency): the first makes a collocation with its frequency, each further one adds 1."""
+    c = calls.select("pos", "phrase", "lang", "domain", F.coalesce("frequency", F.lit(1)).cast("long").alias("frequency"), collocation_id(F.col("lang"), F.col("phrase")).alias("id"))
+    first = c.groupBy("id").agg(F.min_by(F.struct("phrase", "lang", "domain", "frequency"), "pos").alias("_first"), F.count(F.lit(1)).alias("_calls"))
+    x = nodes.join(first, "id", "full_outer")
+    fresh = F.col("type").isNull()
+    made = {c: F.when(fresh, F.col(f"_first.{c}")).otherwise(F.col(c)) for c in ("phrase", "lang", "domain")}
+    made |= {
+        "type": F.coalesce("type", F.lit("collocation")),
+        "frequency": F.when(fresh, F.col("_first.frequency") + F.col("_calls") - 1).otherwise(F.col("frequency") + F.coalesce("_calls", F.lit(0))),
+    }
+    return x.select(*[made.get(c, F.col(c)).alias(c) for c in nodes.columns])
+
+
+def insert_domains(nodes: DataFrame, edges: DataFrame, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """domains(id, label, parent): absent ones are made, and each is a subclass of its parent, where there is such a node."""
+    nodes = insert_absent(nodes, domains.withColumn("type", F.lit("domain")))
+    under = domains.where("parent <> ''").join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi")
+    under = under.select(F.col("id").alias("src"), F.col("parent").alias("dst")).distinct().join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    return nodes, edges.unionByName(_padded(under.withColumn("relation", F.lit("subclass_of")), edges))
+
+
 def add_variants(nodes: DataFrame, variants: DataFrame) -> DataFrame:
     """variants(id, variant) appended where absent."""
     v = variants.groupBy("id").agg(F.array_sort(F.collect_set("variant")).alias("_v"))

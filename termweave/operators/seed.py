@@ -88,28 +88,35 @@ def confidence(pairs: DataFrame, min_freq: int = MIN_FREQ) -> DataFrame:
     return pairs.where(F.col("n") >= min_freq).join(total, "s").select("s", "t", "n", F.least(F.lit(0.95), F.col("n") / F.col("total")).alias("confidence"))
 
 
-def sides(tm: DataFrame, min_freq: int = MIN_FREQ, noise: tuple[str, ...] = NOISE) -> tuple[DataFrame, DataFrame]:
-    """weighted() of the significant phrases of source and target."""
-    return tuple(weighted(tm, c, significant(occurrences(tm, c), min_freq, noise=x)) for c, x in (("source", ()), ("target", noise)))
+def sides(tm: DataFrame, min_freq: int = MIN_FREQ, noise: tuple[str, ...] = NOISE, found: tuple[DataFrame | None, DataFrame | None] = (None, None)) -> tuple[DataFrame, DataFrame]:
+    """weighted() of the significant phrases of source and target, as an annotator found them (entry_id, phrase), or of runs of words."""
+    both = (("source", (), found[0]), ("target", noise, found[1]))
+    return tuple(weighted(tm, c, significant(occurrences(tm, c) if own is None else own, min_freq, noise=x)) for c, x, own in both)
 
 
-def seed(tm: DataFrame, source_lang: str, target_lang: str, min_freq: int = MIN_FREQ, domain: str = "") -> tuple[DataFrame, DataFrame]:
+def seed(tm: DataFrame, source_lang: str, target_lang: str, min_freq: int = MIN_FREQ, domain: str = "", found: tuple[DataFrame | None, DataFrame | None] = (None, None)) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges (in the columns of schemas.py that have values) from a memory.
 
+    found: phrases of source and target from an annotator, (entry_id, phrase) a side, such as
+    noun_chunks() or dependency_phrases() give. Where a side has surface and pos too, its phrases are
+    lemmas, and the most frequent surface is shown. Without, runs of words are taken.
     A term's frequency counts its matches; every seeded term is a phrase. Edges are
     made at one time, so their pos is one number. The two sides are written once.
     """
-    left, right = (materialise(x, "matches") for x in sides(tm, min_freq))
+    left, right = (materialise(x, "matches") for x in sides(tm, min_freq, found=found))
     links = confidence(cooccurrence(left, right), min_freq)
     text = lambda c: F.lit(None).cast("string").alias(c)
 
-    def terms(matched: DataFrame, lang: str) -> DataFrame:
-        kept = matched.groupBy("phrase").agg(F.sum("weight").cast("long").alias("frequency"))
-        return kept.select(term_id(F.lit(lang), F.col("phrase")).alias("id"), F.lit("term").alias("type"), F.col("phrase").alias("term"), text("label"), F.lit(lang).alias("lang"), F.lit(True).alias("is_phrase"), "frequency", F.lit(domain).alias("domain"))
+    def terms(matched: DataFrame, lang: str, own: DataFrame | None) -> DataFrame:
+        kept = matched.groupBy("phrase").agg(F.sum("weight").cast("long").alias("frequency")).withColumn("surface", F.lit(None).cast("string"))
+        if own is not None and {"surface", "pos"} <= {*own.columns}:
+            shown = mode_surface(own.select(F.col("phrase").alias("lemma"), "surface", "pos")).withColumnRenamed("lemma", "phrase")
+            kept = kept.drop("surface").join(shown, "phrase", "left")
+        return kept.select(term_id(F.lit(lang), F.col("phrase")).alias("id"), F.lit("term").alias("type"), F.col("phrase").alias("term"), text("label"), F.lit(lang).alias("lang"), F.lit(True).alias("is_phrase"), "frequency", F.lit(domain).alias("domain"), F.when(F.lower("surface") != F.lower("phrase"), F.col("surface")).alias("display_form"))
 
     phrases = left.select("phrase").distinct()
-    concepts = phrases.select(concept_id(F.col("phrase")).alias("id"), F.lit("concept").alias("type"), text("term"), F.col("phrase").alias("label"), text("lang"), F.lit(False).alias("is_phrase"), F.lit(None).cast("long").alias("frequency"), F.lit(domain).alias("domain"))
-    nodes = terms(left, source_lang).unionByName(terms(right, target_lang)).unionByName(concepts)
+    concepts = phrases.select(concept_id(F.col("phrase")).alias("id"), F.lit("concept").alias("type"), text("term"), F.col("phrase").alias("label"), text("lang"), F.lit(False).alias("is_phrase"), F.lit(None).cast("long").alias("frequency"), F.lit(domain).alias("domain"), text("display_form"))
+    nodes = terms(left, source_lang, found[0]).unionByName(terms(right, target_lang, found[1])).unionByName(concepts)
     s, t = term_id(F.lit(source_lang), F.col("s")), term_id(F.lit(target_lang), F.col("t"))
     there = links.select(s.alias("src"), t.alias("dst"), F.lit("translates_to").alias("relation"), "confidence")
     back = links.select(t.alias("src"), s.alias("dst"), F.lit("translates_to").alias("relation"), "confidence")

@@ -44,10 +44,13 @@ def tm_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes with display_form and variants (none here), and edges."""
-    nothing = {"display_form": F.lit(None).cast("string"), "variants": F.array().cast("array<string>"), "phrase": F.lit(None).cast("string")}
+    nothing = {"variants": F.array().cast("array<string>"), "phrase": F.lit(None).cast("string")}
+
+    made: list[DataFrame] = []
 
     def build(k: int) -> DataFrame:
-        return S.seed(tm(spark, sf_dir), SOURCE, TARGET, domain="conversations")[k]
+        made.extend(() if made else S.seed(tm(spark, sf_dir), SOURCE, TARGET, domain="conversations"))
+        return made[k]
 
     return stored(spark, sf_dir, "nodes", lambda: build(0).withColumns(nothing)), stored(spark, sf_dir, "edges", lambda: build(1))
 

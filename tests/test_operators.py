@@ -493,3 +493,27 @@ def test_more_text(spark):
     assert one(spark, X.timestamp(F.lit("2024-01-02 03:04:05.5").cast("timestamp"))) == "2024-01-02T03:04:05.500000"
     a, b = X.language_pair(F.lit("en->sl"))
     assert (one(spark, a), one(spark, b)) == ("en", "sl")
+
+
+def test_seed_from_an_annotator(spark):
+    rows = [(k, "the red ring", "lep hiša in lepa hiša", "", "en", "sl") for k in range(3)]
+    left = spark.createDataFrame([(k, "red ring") for k in range(3)], "entry_id long, phrase string")
+    right = spark.createDataFrame([(0, "lep hiša", "lepa hiša", 1), (1, "lep hiša", "lepe hiše", 2), (2, "lep hiša", "lepa hiša", 3)], "entry_id long, phrase string, surface string, pos long")
+    nodes, edges = seed.seed(spark.createDataFrame(rows, schemas.TM), "en", "sl", found=(left, right))
+    got = {(r.id, r.frequency, r.display_form) for r in nodes.where("type = 'term'").collect()}
+    assert got == {("term:en:red ring", 3, None), ("term:sl:lep hiša", 3, "lepa hiša")}
+    assert edges.where("relation = 'translates_to'").count() == 2
+
+
+def test_collocations_and_domains(spark):
+    nodes, edges = _graph(spark)
+    calls = spark.createDataFrame([(2, "Red  ring", "en", "d", 5), (1, "red ring", "en", "d", 3), (3, "cat", "sl", "", None)], "pos long, phrase string, lang string, domain string, frequency long")
+    nodes = graph.upsert_collocations(nodes, calls)
+    assert sorted((r.id, r.phrase, r.frequency) for r in nodes.collect()) == [("coll:en:red_ring", "red ring", 4), ("coll:sl:cat", "cat", 1)]
+    nodes = graph.upsert_collocations(nodes, calls.where("pos = 3"))
+    assert {r.id: r.frequency for r in nodes.collect()} == {"coll:en:red_ring": 4, "coll:sl:cat": 2}
+    assert [r.node_id for r in graph.entities(spark.createDataFrame([(1, "A red ring.")], "qid long, text string"), nodes).collect()] == ["coll:en:red_ring"]
+    d = spark.createDataFrame([("domain:a", "A", ""), ("domain:b", "B", "domain:a"), ("domain:c", "C", "domain:zz")], "id string, label string, parent string")
+    for _ in range(2):
+        nodes, edges = graph.insert_domains(nodes, edges, d)
+    assert nodes.where("type = 'domain'").count() == 3 and [(r.src, r.dst, r.relation) for r in edges.collect()] == [("domain:b", "domain:a", "subclass_of")]
