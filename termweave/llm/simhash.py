@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = joined.join(linked, "component", "left").where("component IS NOT NULL OR copies > 1")
     # a row alone is its own component; others meet theirs in as many tasks as there are salts
     named = named.select(F.col("fp").alias("named_fp"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("least"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    # of a written table: the same for a row however often it is read; ids may be null
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     out = marked.withColumn("mine", salt).join(named, (F.col("fp") == F.col("named_fp")) & (F.col("mine") == F.col("salt")), "left")
     return out.select("doc_id", "fp", F.when(F.col("named_fp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
