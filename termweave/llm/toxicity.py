@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices, texts_of, unused
+from .common import text_slices, texts_of, trim, unused
 
 ORDER, SPAN, TOP = 12, 16, 3
 MAX_PER_CLASS, MAX_CHARS = 1000, 20_000
@@ -250,7 +250,9 @@ def with_score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFram
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
-    return fit(labelled_sample(docs, labels, "toxic", ~held_out("doc_id", 5, 0)))
+    scorer = fit(labelled_sample(docs, labels, "toxic", ~held_out("doc_id", 5, 0)))
+    trim()  # what the fit took of the driver's memory
+    return scorer
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
