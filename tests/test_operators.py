@@ -517,3 +517,18 @@ def test_collocations_and_domains(spark):
     for _ in range(2):
         nodes, edges = graph.insert_domains(nodes, edges, d)
     assert nodes.where("type = 'domain'").count() == 3 and [(r.src, r.dst, r.relation) for r in edges.collect()] == [("domain:b", "domain:a", "subclass_of")]
+
+
+def test_cleaning_is_that_of_its_sql(spark, tmp_path):
+    """Unfinished, other and nested entities, white space of all kinds, tags across lines."""
+    import duckdb
+
+    from termweave import catalogue
+
+    spaces = "".join(map(chr, [9, 10, 11, 12, 13, 0x1C, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x3000, 0xFEFF]))
+    html = ["a &amp b &am c &amp;lt; &amp;amp; &lt;b&gt; &eacute; &#8217; &nbsp;x &quot;&#39;&copy;&middot; &copy", *(f"{x}a{x}{x}b<i\nj>{x}" for x in spaces), f"{spaces} a", "<>", "&am<b>p;lt;", "", None]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = sorted(map(tuple, catalogue.QUERIES["clean_text"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(catalogue.SQL["clean_text"]).fetchall())
