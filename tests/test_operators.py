@@ -532,3 +532,18 @@ def test_cleaning_is_that_of_its_sql(spark, tmp_path):
     con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     got = sorted(map(tuple, catalogue.QUERIES["clean_text"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.sql(catalogue.SQL["clean_text"]).fetchall())
+
+
+def test_only_hits_of_prefixes_leave_the_tasks(spark):
+    """Many words an entry are no rows; prefixes of several lengths and blocks, case, the cap and ties of places."""
+    rows = [(k, "x", f"Theory {'the ' * 3}ΣΟΣ thé{k} a th", "", "", "") for k in range(30)] + [(99, "x", "", "", "", ""), (98, "x", None, "", "", "")]
+    m = spark.createDataFrame(rows, schemas.TM)
+    q = spark.createDataFrame([(1, "th"), (2, "THÉ"), (3, "thé29"), (4, "t"), (5, "σος"), (6, "theoryx"), (7, None)], "qid long, prefix string")
+    for limit in (8, 1 << 20):
+        found = tm.prefix(q, m, limit=limit)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.qid, set()).add(r.suggestion)
+        assert got == {1: {"Theory the the"}, 2: {f"thé{k} a th" for k in range(11)}, 3: {"thé29 a th"}, 5: {f"ΣΟΣ thé{k} a" for k in range(11)}}
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert tm.prefix(q.where("false"), m).collect() == []
