@@ -12,9 +12,11 @@ length-normalised difference: over all its words, over the best run of SPAN
 words in it, and over its TOP most toxic words. A logistic calibration, fitted on
 rows that the models have not seen, makes a probability of the three.
 
-Models are fitted on at most MAX_PER_CLASS labelled texts of each class, of up to
-MAX_CHARS characters each, chosen by hash of doc_id; that bounds the broadcast.
-Every text is scored whole.
+Every labelled text outside the held-out fold is learnt from, whole: tasks count the
+words of two thirds of them, and the rest, on which each class weighs the same, give the
+calibration by sums that tasks add up. The driver holds the distinct words of these
+texts, and the tasks get only grams that a class has seen more than TOP_DISCOUNT times,
+as the others say no more than their context does. Every text is scored whole.
 
 Nulls: a null text is empty, and an empty text gets the score of difference 0. A
 null doc_id is scored, never learnt from, and not held out. Of labels that
@@ -28,6 +30,7 @@ they are.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices, texts_of, trim, unused
+from .common import materialise, remove, text_slices, texts_of, trim, unused
 
 ORDER, SPAN, TOP = 12, 16, 3
 MAX_PER_CLASS, MAX_CHARS = 1000, 20_000
@@ -44,6 +47,8 @@ MAX_PER_CLASS, MAX_CHARS = 1000, 20_000
 DISCOUNT, TOP_DISCOUNT = 0.75, 2.5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 1_500_000
+#: Words that a task counts before it tells.
+COUNTED = 400_000
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b == 0x27 else 0x20 for b in range(256))
 
 
@@ -71,24 +76,61 @@ def _lay(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buffer, starts, np.arange(len(buffer)) != starts
 
 
+def _distinct(vocabulary: pa.Array, counts: tuple[np.ndarray, ...], some: int = 50_000) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct ends of the words' beginnings, as the last ORDER bytes, the last one first, with the place in
+    the word (ORDER at most) and how often each class has them; from some words at a time."""
+    parts = []
+    for k in range(0, len(vocabulary), some):
+        words = vocabulary[k : k + some].to_pylist()
+        buffer, starts, real = _lay(words)
+        place, sizes = np.flatnonzero(real), [len(w) + 1 for w in words]
+        depth = place - starts[place]
+        keys, first, inverse = np.unique(_grams(buffer, starts, ORDER)[real], return_index=True, return_inverse=True)
+        mine = np.stack([np.where(depth[first] >= j, buffer[place[first] - np.minimum(j, depth[first])], 0).astype(np.uint8) for j in range(ORDER)], axis=1)
+        parts.append((keys, mine, np.minimum(depth[first], ORDER).astype(np.int8), *(np.bincount(inverse, np.repeat(c[k : k + some], sizes)) for c in counts)))
+    keys, windows, depth, *counted = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return windows[first], depth[first], [np.bincount(inverse, c) for c in counted]
+
+
+def _window_grams(windows: np.ndarray, depth: np.ndarray, n: int) -> np.ndarray:
+    """_grams() of what _distinct() gives."""
+    out = np.zeros(len(depth), dtype=np.uint64)
+    for k in range(n - 1, -1, -1):
+        out = np.where(depth >= k, (out ^ windows[:, k].astype(np.uint64)) * _BASE, out)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Model:
     """log P(byte | context, toxic) - log P(byte | context, ordinary), by gram of the longest order, and by context where a gram is not known."""
 
     def __init__(self, ordinary: dict[bytes, int], toxic: dict[bytes, int]):
         vocabulary = sorted({*ordinary, *toxic})
-        buffer, starts, real = _lay(vocabulary)
-        sizes = [len(w) + 2 for w in vocabulary]
-        counts = [np.repeat([c.get(w, 0) for w in vocabulary], sizes).astype(np.float64)[real] for c in (ordinary, toxic)]
+        self._build(pa.array(vocabulary, pa.binary()), *(np.array([c.get(w, 0) for w in vocabulary], dtype=np.float64) for c in (ordinary, toxic)))
+
+    @classmethod
+    def counted(cls, vocabulary: pa.Array, ordinary: np.ndarray, toxic: np.ndarray) -> Model:
+        """From distinct words and how often each class has them."""
+        model = cls.__new__(cls)
+        model._build(vocabulary, ordinary.astype(np.float64), toxic.astype(np.float64))
+        return model
+
+    def _build(self, vocabulary: pa.Array, *counts: np.ndarray) -> None:
+        # bytes that agree as far back as ORDER sees are one, with the sum of their counts
+        windows, depth, counts = _distinct(vocabulary, counts)
+        gram = lambda n: _window_grams(windows, depth, n)
+        context = lambda n: _window_grams(windows[:, 1:], depth - 1, n)
 
         def numbered(grams: np.ndarray) -> np.ndarray:
             return np.unique(grams, return_inverse=True)[1].astype(np.int32)
 
         # the context of a byte: the gram of one byte less that ends a byte before
-        before = np.flatnonzero(real) - 1
-        at, head = numbered(_grams(buffer, starts, 1)[real]), np.zeros(len(before), dtype=np.int32)
-        p_low = np.full(len(before), 1 / 256)
+        at, head = numbered(gram(1)), np.zeros(len(depth), dtype=np.int32)
+        p_low = np.full(len(depth), 1 / 256)
         for n in range(1, ORDER):
-            longer = numbered(_grams(buffer, starts, n + 1)[real])
+            longer = numbered(gram(n + 1))
             # continuation counts: how many grams one byte longer end in this one
             size = int(longer.max()) + 1
             kinds_of = np.bincount(np.unique(at.astype(np.int64) * size + longer) // size).astype(np.float64)
@@ -96,21 +138,19 @@ class Model:
             total = np.bincount(head[first], kinds_of)[head]
             kinds = np.bincount(head[first])[head]
             p_low = (kinds_of[at] - DISCOUNT + DISCOUNT * kinds * p_low) / total
-            at, head = longer, numbered(_grams(buffer, starts, n)[before])
-        grams, contexts = _grams(buffer, starts, ORDER)[real], _grams(buffer, starts, ORDER - 1)[before]
-        first = np.unique(at, return_index=True)[1]
-        head, p_low = head[first], p_low[first]
-        logs, weights = [], []
-        for c in counts:
-            n = np.bincount(at, c)
+            at, head = longer, numbered(context(n))
+        says, rests = 0.0, 0.0
+        for n, sign in zip(counts, (-1, 1), strict=True):
             total = np.bincount(head, n)[head]
             rest = np.bincount(head, np.minimum(n, TOP_DISCOUNT))[head]
             safe = np.maximum(total, 1)
-            logs.append(np.log(np.where(total > 0, (np.maximum(n - TOP_DISCOUNT, 0) + rest * p_low) / safe, p_low)))
+            says = says + sign * np.log(np.where(total > 0, (np.maximum(n - TOP_DISCOUNT, 0) + rest * p_low) / safe, p_low))
             # what a class leaves to the backoff: all of it where it has not seen the context
-            weights.append(np.log(np.where(total > 0, rest / safe, 1.0)))
-        self.grams, self.says = _table(grams[first], logs[1] - logs[0])
-        self.contexts, self.rest = _table(contexts[first], weights[1] - weights[0])
+            rests = rests + sign * np.log(np.where(total > 0, rest / safe, 1.0))
+        # grams that no class has seen more often say what their context leaves, and contexts without others leave the same in both
+        own = np.maximum(*counts) > TOP_DISCOUNT
+        self.grams, self.says = _table(gram(ORDER)[own], says[own])
+        self.contexts, self.rest = _table(context(ORDER - 1)[rests != 0], rests[rests != 0])
 
     def of(self, vocabulary: list[bytes]) -> np.ndarray:
         """What each word says: its grams as they were seen, an unseen byte after a seen context by the backoff weights."""
@@ -120,7 +160,8 @@ class Model:
         says = np.zeros(len(buffer))
         says[1:] = _looked(self.contexts, self.rest, _grams(buffer, starts, ORDER - 1)[:-1])
         at, known = _places(self.grams, _grams(buffer, starts, ORDER))
-        says = np.where(real, np.where(known, self.says[at], says), 0.0)
+        says[known] = self.says[at[known]]
+        says = np.where(real, says, 0.0)
         return np.add.reduceat(says, np.flatnonzero(~real))
 
 
@@ -131,13 +172,15 @@ def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _places(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
     return at, keys[at] == asked
 
 
 def _looked(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
     at, known = _places(keys, asked)
-    return np.where(known, values[at], 0.0)
+    return np.where(known, values[at], 0.0) if len(values) else np.zeros(len(asked))
 
 
 class Scorer:
@@ -193,9 +236,8 @@ def held_out(doc_id: Column | str, folds: int, fold: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int = MAX_PER_CLASS, max_chars: int = MAX_CHARS) -> list:
-    """At most per_class (doc_id, label, text) for each of the labels 0 and 1, chosen by hash, at the driver."""
-    known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(learn)
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    """At most per_class (doc_id, label, text) for each of the labels 0 and 1, chosen by hash, at the driver: to look at, or for fit(). No query learns from it."""
+    known = _known(labels, label, learn)
     # labels of documents that are not here, or too long to learn from, take no place in the sample
     here = docs.where(F.length("text") <= max_chars).select(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.join(here, "doc_id", "left_semi")
@@ -210,7 +252,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
 
 def fit(rows: list[tuple[int, int, str]]) -> Scorer:
-    """Models from two thirds of the rows, the calibration from the last third."""
+    """trained() of rows in hand."""
     y = np.array([r[1] for r in rows], dtype=np.int64)
     base = float((y.sum() + 1) / (len(y) + 2))
     turn = np.zeros(len(y), dtype=np.int64)
@@ -249,8 +291,97 @@ def with_score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFram
     return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
+def _known(labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """(doc_id, y): the largest label of each id."""
+    known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(learn)
+    return known.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def _turn(seed: int) -> Column:
+    """Of three parts that ids fall in, the first is for the calibration."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(3)) == 0
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, text) to (word, ordinary, toxic), words of one task together as far as they fit."""
+
+    def told() -> pa.RecordBatch:
+        every = sorted({*counts[0], *counts[1]})
+        return pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *(pa.array([c.get(w, 0) for w in every], pa.int64()) for c in counts)], names=["word", "ordinary", "toxic"])
+
+    counts: list[Counter] = [Counter(), Counter()]
+    for batch in batches:
+        for rows in text_slices(batch):
+            for y, text in zip(rows.column(0).to_pylist(), texts_of(rows.column(1)), strict=True):
+                counts[y].update(words(text))
+        if len(counts[0]) + len(counts[1]) > COUNTED:
+            yield told()
+            counts = [Counter(), Counter()]
+    yield told()
+
+
+def _featured(scorer: Scorer):
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = scorer.value
+        for batch in batches:
+            for rows in text_slices(batch):
+                x = np.clip(mine.features(texts_of(rows.column(1))), -6, 6)
+                yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x[:, k]) for k in range(3))], names=["y", "x1", "x2", "x3"])
+
+    return features
+
+
+def _calibrated(rows: DataFrame, ridge: float = 1e-2) -> np.ndarray:
+    """logistic() of rows(y, x1, x2, x3), each class of the same weight; an iteration brings one row of sums to the driver."""
+    n, toxic = rows.select(F.count(F.lit(1)), F.sum("y")).first()
+    x = [F.lit(1.0), F.col("x1"), F.col("x2"), F.col("x3")]
+    weight = F.when(F.col("y") == 1, n / 2 / toxic).otherwise(n / 2 / (n - toxic))
+    w, penalty = np.zeros(4), np.r_[1e-9, np.full(3, ridge)]
+    for _ in range(60):
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sum((F.lit(float(a)) * b for a, b in zip(w, x, strict=True)), F.lit(0.0))))))
+        stated = rows.select(*(c.alias(f"c{k}") for k, c in enumerate(x)), (weight * (p - F.col("y"))).alias("g"), (weight * (p * (1 - p) + 1e-9)).alias("h"))
+        sums = stated.select(*(F.sum(F.col(f"c{k}") * F.col("g")) for k in range(4)), *(F.sum(F.col(f"c{j}") * F.col(f"c{k}") * F.col("h")) for j in range(4) for k in range(4))).first()
+        step = np.linalg.solve(np.reshape(sums[4:], (4, 4)) + np.diag(penalty), np.array(sums[:4]) + penalty * w)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
-    scorer = fit(labelled_sample(docs, labels, "toxic", ~held_out("doc_id", 5, 0)))
+    """Models from the words of two thirds of all learnt texts, the calibration from the others."""
+    spark, learn = docs.sparkSession, ~held_out("doc_id", 5, 0)
+    here = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").where(learn)
+    # labels of documents that are not here count nowhere; ids only
+    ids = materialise(_known(labels, "toxic", learn).join(here.select("doc_id"), "doc_id", "left_semi"), "labelled")
+    parts, seed = {}, 0
+    for seed in range(16):  # noqa: B007  few rows may leave a part without a class
+        parts = {(r.y, r.first): r.n for r in ids.groupBy("y", _turn(seed).alias("first")).agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows at most
+        if len(parts) == 4 or not parts:
+            break
+    many = [parts.get((k, True), 0) + parts.get((k, False), 0) for k in (0, 1)]
+    scorer = Scorer(None, np.zeros(4), (many[1] + 1) / (sum(many) + 2))
+    if len(parts) == 4 and min(many) >= 3:
+
+        def texts(part: Column) -> DataFrame:
+            rows = here.where(part).join(ids.where(part).hint("merge"), "doc_id")
+            # one row an id
+            return rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y", "text")
+
+        counted = texts(~_turn(seed)).mapInArrow(_counted, "word binary, ordinary long, toxic long")
+        got = counted.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow()
+        count = [got.column(k).to_numpy() for k in (1, 2)]
+        if all(c.any() for c in count):
+            word = got.column(0).combine_chunks()
+            del got
+            scorer.model = Model.counted(word, *count)
+            table = spark.sparkContext.broadcast(scorer)
+            features = texts(_turn(seed)).mapInArrow(_featured(table), "y int, x1 double, x2 double, x3 double")
+            rows = materialise(features, "features")
+            scorer = Scorer(scorer.model, _calibrated(rows), scorer.base)
+            table.unpersist()
+            remove(rows)
+    remove(ids)
     trim()  # what the fit took of the driver's memory
     return scorer
 

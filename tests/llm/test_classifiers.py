@@ -136,3 +136,18 @@ def test_drop_toxic_keeps_columns_of_any_name(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert list(map(tuple, X.with_score(docs, X.fit([]), "s").drop("s").collect())) == [(1, "a text", "mine")]
     assert X.drop_toxic(docs, labels).columns == docs.columns
+
+
+def test_every_labelled_text_is_learnt_from_whole(spark, monkeypatch):
+    """More texts of a class than a sample would hold, and texts beyond 20,000 characters."""
+    monkeypatch.setattr(X, "COUNTED", 50)
+    seen = []
+    monkeypatch.setattr(X.Model, "counted", classmethod(lambda cls, w, a, b: seen.append({k: (int(m), int(n)) for k, m, n in zip(w.to_pylist(), a, b)}) or cls({b"plain": 9}, {b"vile": 9})))
+    rows = [(i, f"plain w{i}", 0) for i in range(1500)] + [(2000 + i, "vile " * 5000 + f"v{i}", 1) for i in range(30)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    assert X.trained(docs, labels).model is not None
+    learnt = {r.doc_id for r in docs.where(~X.held_out("doc_id", 5, 0) & ~X._turn(0)).select("doc_id").collect()}
+    want = {b"plain": (sum(i < 1500 for i in learnt), 0), b"vile": (0, 5000 * sum(i >= 2000 for i in learnt))}
+    want |= {f"w{i}".encode() if i < 1500 else f"v{i - 2000}".encode(): (int(i < 1500), int(i >= 2000)) for i in learnt}
+    assert len(learnt) > 700 and seen == [want]
