@@ -23,7 +23,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard of five-word shingles 0.8 or more) keeps the smallest doc_id."""
+    """Of each group of near copies keeps the smallest doc_id: those SimHash finds, verified by the Jaccard of
+    five-word shingles (0.8 or more), and what its few bits lose between such texts."""
     return near.keep_one(docs)
 
 

@@ -1,6 +1,9 @@
-"""Near copies by the Jaccard coefficient of five-word shingles.
+"""Near copies by SimHash, verified by the Jaccard coefficient of five-word shingles.
 
-Texts whose sets of shingles reach THRESHOLD are linked. Candidates share a band
+Texts whose sets of shingles reach THRESHOLD are linked. Each set has a SimHash
+fingerprint, and groups of fingerprints that differ in few bits (as simhash finds them)
+are candidates first; each is verified on the whole sets. Few bits lose sets near the
+threshold, so what SimHash leaves apart is completed: further candidates share a band
 of minhashes: of pairs at exactly 0.8, 1 - (1 - 0.8**ROWS)**BANDS = 0.99997 meet in
 one, and more above. Each candidate is verified on the whole sets (32-bit hashes).
 
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, mix64, partitions, remove, text_slices, texts_of
 from .components import components
-from .simhash import kept_rows, stars
+from .simhash import kept_rows, link_stars, majority, stars
 
 WORDS, SEED = 5, 42
 #: The threshold is 4 / 5, kept whole so that its comparison is exact.
@@ -71,7 +74,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, unit, n, hashes, keys) of each row."""
+    """(doc_id, text_hash, unit, fp, n, hashes, keys) of each row."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,11 +83,12 @@ def _marked(docs: DataFrame) -> DataFrame:
                 unit = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
                 short = [np.unique(s.astype(np.uint32)) for s in sets]
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sets).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                columns = [rows.column("doc_id"), rows.column("text_hash"), pa.array(unit), pa.array([len(s) for s in short], pa.int64()), pa.array([s.tobytes() for s in short], pa.binary()), keys]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "unit", "n", "hashes", "keys"])
+                fp = majority(np.concatenate(sets), [len(s) for s in sets]).view(np.int64)
+                columns = [rows.column("doc_id"), rows.column("text_hash"), pa.array(unit), pa.array(fp), pa.array([len(s) for s in short], pa.int64()), pa.array([s.tobytes() for s in short], pa.binary()), keys]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "unit", "fp", "n", "hashes", "keys"])
 
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return source.mapInArrow(add, "doc_id long, text_hash long, unit long, n long, hashes binary, keys array<long>")
+    return source.mapInArrow(add, "doc_id long, text_hash long, unit long, fp long, n long, hashes binary, keys array<long>")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -191,29 +195,62 @@ def _within_groups(named: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_copies(marked: DataFrame) -> DataFrame:
-    """(node, component) of units that are linked to others."""
+    """(node, component) of units that are linked to others: by SimHash where marked has fp, completed by bands."""
+    sets = marked.select("unit", "hashes").groupBy("unit").agg(F.first("hashes").alias("hashes"))
+    links, found = None, None
+    if "fp" in marked.columns:
+        alike = simhash_groups(marked)
+        if not alike.isEmpty():
+            links, found = _joined_groups(alike, sets, None, None)
+        remove(alike)
     bands = materialise(marked.select("unit", "n", F.explode("keys").alias("key")).distinct(), "bands")
+    links, done = _joined_groups(bands, sets, links, found)
+    remove(bands, links)
+    return done
+
+
+def simhash_groups(marked: DataFrame) -> DataFrame:
+    """(unit, n, key) of units whose fingerprints are linked: key is the least fingerprint of their component."""
+    units = materialise(marked.where("n > 0").select("unit", "n", "fp").distinct(), "units")
+    distinct = materialise(units.select("fp").distinct(), "distinct")
+    found = components(link_stars(distinct, distinct.count()))
+    named = units.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("unit", "n", F.coalesce("component", "fp").alias("key"))
+    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    out = materialise(named.join(several, "key").select("unit", "n", "key"), "alike")
+    remove(units, distinct, found)
+    return out
+
+
+def _joined_groups(bands: DataFrame, sets: DataFrame, links: DataFrame | None, found: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(links, components) with those of bands(unit, n, key) among units of one key, each verified, added to those there; what was there goes."""
     # each band of a group has a centre of its own, so a member is compared to many of the others
     drawn = F.struct(F.xxhash64("unit", "key").alias("turn"), "unit", "n")
     centres = bands.groupBy("key").agg(F.min(drawn).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("c.unit").alias("centre"), F.col("c.n").alias("m"))
     centres = materialise(centres, "centres")
     met = materialise(bands.join(centres, "key"), "met")
-    remove(bands, centres)
-    sets = marked.select("unit", "hashes").groupBy("unit").agg(F.first("hashes").alias("hashes"))
+    remove(centres)
     sets = materialise(sets.join(met.select("unit").distinct(), "unit", "left_semi"), "sets")
 
     tried = met.where((F.col("unit") != F.col("centre")) & _sized("n", "m")).select(F.col("centre").alias("a"), F.col("unit").alias("b")).distinct()
-    links = materialise(_verified(tried, sets), "links")
+    if found is not None:
+        # what is linked already needs no second proof
+        own = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+        tried = tried.join(own("a"), "a", "left").join(own("b"), "b", "left").where(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b")
+    proven = _verified(tried, sets)
+    new = materialise(proven if links is None else links.unionByName(proven), "links")
+    old, links = [x for x in (links, found) if x is not None], new
     found = components(links)
     named = met.select("key", "unit").join(found.withColumnRenamed("node", "unit"), "unit", "left")
     named = materialise(named.select("key", "unit", F.coalesce("component", "unit").alias("own")), "named")
-    remove(met)
+    remove(met, *old)
     more = _within_groups(named, sets)
     if not more.isEmpty():
-        first, found = found, components(links.unionByName(more))
-        remove(first)
-    remove(sets, links, named, more)
-    return found
+        first, every = found, materialise(links.unionByName(more), "links")
+        found = components(every)
+        remove(first, links)
+        links = every
+    remove(sets, named, more)
+    return links, found
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -59,12 +59,17 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
             mine = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[WORDS - 1 :], strict=True)]
         hashes += mine
         sizes.append(len(mine))
+    return majority(np.array(hashes, dtype=np.uint64), sizes)
+
+
+def majority(h: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """The fingerprint of each run of so many hashes; of none zero."""
     n = np.array(sizes, dtype=np.int64)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    out = np.zeros(len(sizes), dtype=np.uint64)
     some = np.flatnonzero(n)
     if not len(some):
         return out
-    h, start = np.array(hashes, dtype=np.uint64), (np.cumsum(n) - n)[some]
+    start = (np.cumsum(n) - n)[some]
     n = n[some]
     # runs of at most 255 of one text: their counts fit the byte lanes of one integer
     runs = -(-n // 255)

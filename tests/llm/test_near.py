@@ -82,3 +82,22 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     rows = corpus(3)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, df, "").collect()) == kept(rows)
+
+
+def test_simhash_links_without_bands(spark):
+    """Fingerprints alone lead to near copies, and what they lead to is verified."""
+    r = random.Random(4)
+    base = [f"w{r.randrange(10**6)}" for _ in range(900)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:450], "other", *base[451:]])), (2, " ".join(base + base[:3])), (3, " ".join(f"v{k}" for k in range(700))), (4, ""), (5, "one"), (6, None)]
+    marked = N.materialise(N._marked(spark.createDataFrame(rows, "doc_id long, text string")), "marked")
+    unit = {x.doc_id: x.unit for x in marked.collect()}
+    alike = {}
+    for x in N.simhash_groups(marked).collect():
+        alike.setdefault(x.key, set()).add(x.unit)
+    assert [unit[0], unit[1], unit[2]] and {unit[0], unit[1], unit[2]} in alike.values()
+    alone = marked.withColumn("keys", N.F.expr("array(unit)"))
+    found = {x.node: x.component for x in N.near_copies(alone).collect()}
+    assert len({found[unit[k]] for k in (0, 1, 2)}) == 1 and unit[3] not in found
+    # one fingerprint given to sets that have nothing in common links nothing
+    forced = marked.where("doc_id IN (0, 3, 5)").withColumn("fp", N.F.lit(7).cast("long")).withColumn("keys", N.F.expr("array(unit)"))
+    assert N.near_copies(forced).collect() == []
