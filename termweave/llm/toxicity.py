@@ -14,9 +14,11 @@ rows that the models have not seen, makes a probability of the three.
 
 Every labelled text outside the held-out fold is learnt from, whole: tasks count the
 words of two thirds of them, and the rest, on which each class weighs the same, give the
-calibration by sums that tasks add up. The driver holds the distinct words of these
-texts, and the tasks get only grams that a class has seen more than TOP_DISCOUNT times,
-as the others say no more than their context does. Every text is scored whole.
+calibration by sums that tasks add up. The ends of the words' beginnings are dealt by the
+LOW bytes before the last one, so a shard has all that orders above LOW count; the driver
+adds up the orders to LOW, and builds a model of few words itself. It and the tasks get only
+grams that a class has seen more than TOP_DISCOUNT times, as the others say no more than
+their context does. Every text is scored whole.
 
 Nulls: a null text is empty, and an empty text gets the score of difference 0. A
 null doc_id is scored, never learnt from, and not held out. Of labels that
@@ -39,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, remove, text_slices, texts_of, trim, unused
+from .common import bucket_of, cut_by, materialise, merge_blobs, pack, partitions, remove, text_slices, texts_of, trim, unused
 
 ORDER, SPAN, TOP = 12, 16, 3
 MAX_PER_CLASS, MAX_CHARS = 1000, 20_000
@@ -49,6 +51,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 1_500_000
 #: Words that a task counts before it tells.
 COUNTED = 400_000
+#: Distinct words of which the driver builds the model; and, of more, those that a task deals at once and the bytes whose ends one shard should hold.
+AT_DRIVER, DEALT, SHARD_BYTES = 50_000, 100_000, 2 << 20
+#: Grams above this order are counted within a shard.
+LOW = 3
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b == 0x27 else 0x20 for b in range(256))
 
 
@@ -90,8 +96,13 @@ def _distinct(vocabulary: pa.Array, counts: tuple[np.ndarray, ...], some: int =
         parts.append((keys, mine, np.minimum(depth[first], ORDER).astype(np.int8), *(np.bincount(inverse, np.repeat(c[k : k + some], sizes)) for c in counts)))
     keys, windows, depth, *counted = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
+    return _merged(keys, windows, depth, counted)
+
+
+def _merged(keys: np.ndarray, windows: np.ndarray, depth: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Windows of one key as one, with the sums of their counts."""
     _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    return windows[first], depth[first], [np.bincount(inverse, c) for c in counted]
+    return windows[first], depth[first], [np.bincount(inverse, c) for c in counts]
 
 
 def _window_grams(windows: np.ndarray, depth: np.ndarray, n: int) -> np.ndarray:
@@ -103,6 +114,49 @@ def _window_grams(windows: np.ndarray, depth: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _numbered(grams: np.ndarray) -> np.ndarray:
+    return np.unique(grams, return_inverse=True)[1].astype(np.int32)
+
+
+def _lower(windows: np.ndarray, depth: np.ndarray, p_low: np.ndarray, orders: range, last: np.ndarray | None = None) -> np.ndarray:
+    """The shared probability of each window's last byte at the highest of the orders, from that below the lowest.
+    last: the continuation counts at the highest order, where windows reach no farther back than it."""
+    at = _numbered(_window_grams(windows, depth, orders[0]))
+    for n in orders:
+        # the context of a byte: the gram of one byte less that ends a byte before
+        head = _numbered(_window_grams(windows[:, 1:], depth - 1, n - 1))
+        # continuation counts: how many grams one byte longer end in this one
+        if last is not None and n == orders[-1]:
+            longer, kinds_of = at, np.bincount(at, last)
+        else:
+            longer = _numbered(_window_grams(windows, depth, n + 1))
+            size = int(longer.max()) + 1
+            kinds_of = np.bincount(np.unique(at.astype(np.int64) * size + longer) // size).astype(np.float64)
+        first = np.unique(at, return_index=True)[1]
+        total = np.bincount(head[first], kinds_of)[head]
+        kinds = np.bincount(head[first])[head]
+        p_low = (kinds_of[at] - DISCOUNT + DISCOUNT * kinds * p_low) / total
+        at = longer
+    return p_low
+
+
+def _told(windows: np.ndarray, depth: np.ndarray, counts: list[np.ndarray], p_low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Grams of the longest order with what they say, and contexts with what they leave, by the shared probability of the order below."""
+    context = _window_grams(windows[:, 1:], depth - 1, ORDER - 1)
+    head = _numbered(context)
+    says, rests = 0.0, 0.0
+    for n, sign in zip(counts, (-1, 1), strict=True):
+        total = np.bincount(head, n)[head]
+        rest = np.bincount(head, np.minimum(n, TOP_DISCOUNT))[head]
+        safe = np.maximum(total, 1)
+        says = says + sign * np.log(np.where(total > 0, (np.maximum(n - TOP_DISCOUNT, 0) + rest * p_low) / safe, p_low))
+        # what a class leaves to the backoff: all of it where it has not seen the context
+        rests = rests + sign * np.log(np.where(total > 0, rest / safe, 1.0))
+    # grams that no class has seen more often say what their context leaves, and contexts without others leave the same in both
+    own = np.maximum(*counts) > TOP_DISCOUNT
+    return *_table(_window_grams(windows, depth, ORDER)[own], says[own]), *_table(context[rests != 0], rests[rests != 0])
+
+
 class Model:
     """log P(byte | context, toxic) - log P(byte | context, ordinary), by gram of the longest order, and by context where a gram is not known."""
 
@@ -117,40 +171,18 @@ class Model:
         model._build(vocabulary, ordinary.astype(np.float64), toxic.astype(np.float64))
         return model
 
+    @classmethod
+    def tabled(cls, grams: np.ndarray, says: np.ndarray, contexts: np.ndarray, rest: np.ndarray) -> Model:
+        """From what shards have told."""
+        model = cls.__new__(cls)
+        (model.grams, model.says), (model.contexts, model.rest) = _table(grams, says), _table(contexts, rest)
+        return model
+
     def _build(self, vocabulary: pa.Array, *counts: np.ndarray) -> None:
         # bytes that agree as far back as ORDER sees are one, with the sum of their counts
         windows, depth, counts = _distinct(vocabulary, counts)
-        gram = lambda n: _window_grams(windows, depth, n)
-        context = lambda n: _window_grams(windows[:, 1:], depth - 1, n)
-
-        def numbered(grams: np.ndarray) -> np.ndarray:
-            return np.unique(grams, return_inverse=True)[1].astype(np.int32)
-
-        # the context of a byte: the gram of one byte less that ends a byte before
-        at, head = numbered(gram(1)), np.zeros(len(depth), dtype=np.int32)
-        p_low = np.full(len(depth), 1 / 256)
-        for n in range(1, ORDER):
-            longer = numbered(gram(n + 1))
-            # continuation counts: how many grams one byte longer end in this one
-            size = int(longer.max()) + 1
-            kinds_of = np.bincount(np.unique(at.astype(np.int64) * size + longer) // size).astype(np.float64)
-            first = np.unique(at, return_index=True)[1]
-            total = np.bincount(head[first], kinds_of)[head]
-            kinds = np.bincount(head[first])[head]
-            p_low = (kinds_of[at] - DISCOUNT + DISCOUNT * kinds * p_low) / total
-            at, head = longer, numbered(context(n))
-        says, rests = 0.0, 0.0
-        for n, sign in zip(counts, (-1, 1), strict=True):
-            total = np.bincount(head, n)[head]
-            rest = np.bincount(head, np.minimum(n, TOP_DISCOUNT))[head]
-            safe = np.maximum(total, 1)
-            says = says + sign * np.log(np.where(total > 0, (np.maximum(n - TOP_DISCOUNT, 0) + rest * p_low) / safe, p_low))
-            # what a class leaves to the backoff: all of it where it has not seen the context
-            rests = rests + sign * np.log(np.where(total > 0, rest / safe, 1.0))
-        # grams that no class has seen more often say what their context leaves, and contexts without others leave the same in both
-        own = np.maximum(*counts) > TOP_DISCOUNT
-        self.grams, self.says = _table(gram(ORDER)[own], says[own])
-        self.contexts, self.rest = _table(context(ORDER - 1)[rests != 0], rests[rests != 0])
+        p_low = _lower(windows, depth, np.full(len(depth), 1 / 256), range(1, ORDER))
+        self.grams, self.says, self.contexts, self.rest = _told(windows, depth, counts, p_low)
 
     def of(self, vocabulary: list[bytes]) -> np.ndarray:
         """What each word says: its grams as they were seen, an unseen byte after a seen context by the backoff weights."""
@@ -320,6 +352,82 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield told()
 
 
+_PACKED = [np.uint64, np.uint32, np.int8, np.float64, np.float64]
+
+
+def _packed(windows: np.ndarray, depth: np.ndarray, counts: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.ascontiguousarray(windows[:, :8]).view(np.uint64).ravel(), np.ascontiguousarray(windows[:, 8:]).view(np.uint32).ravel(), depth, *counts]
+
+
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    front, back, depth, *counts = merge_blobs(blobs, _PACKED)
+    return np.concatenate([front[:, None].view(np.uint8), back[:, None].view(np.uint8)], axis=1), depth, counts
+
+
+def _dealt(shards: int):
+    """(word, ordinary, toxic) to (shard, blob) of their windows, by the LOW bytes before the last."""
+
+    def deal(words: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(words)
+        windows, depth, counts = _distinct(t.column(0).combine_chunks(), tuple(t.column(k).to_numpy().astype(np.float64) for k in (1, 2)))
+        to = bucket_of(shards, _window_grams(windows[:, 1:], depth - 1, LOW).view(np.int64))
+        rows = [(k, pack(*x)) for k, x in cut_by(to, *_packed(windows, depth, counts))]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["shard", "blob"])
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= DEALT:
+                yield deal(held)
+                held = []
+        if held:
+            yield deal(held)
+
+    return every
+
+
+def _joined(shard: pa.Table) -> pa.Table:
+    """A shard's windows as one blob, and how many grams one byte longer it has for each of order LOW."""
+    windows, depth, counts = _unpacked(shard.column("blob").to_pylist())
+    windows, depth, counts = _merged(_window_grams(windows, depth, ORDER), windows, depth, counts)
+    _, first = np.unique(_window_grams(windows, depth, LOW + 1), return_index=True)
+    low, deep = windows[first, :LOW], np.minimum(depth[first], LOW)
+    low, deep, (kinds,) = _merged(_window_grams(low, deep, LOW), low, deep, [np.ones(len(deep))])
+    return pa.table({"blob": pa.array([pack(*_packed(windows, depth, counts))], pa.binary()), "low": pa.array([pack(*low.T, deep, kinds)], pa.binary())})
+
+
+def _below(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of order LOW with their shared probability, from what every shard has of them."""
+    *low, depth, kinds = merge_blobs(blobs, [np.uint8] * LOW + [np.int8, np.float64])
+    windows = np.stack(low, axis=1)
+    windows, depth, (kinds,) = _merged(_window_grams(windows, depth, LOW), windows, depth, [kinds])
+    return _table(_window_grams(windows, depth, LOW), _lower(windows, depth, np.full(len(depth), 1 / 256), range(1, LOW + 1), kinds))
+
+
+def _sharded(words: DataFrame, size: int) -> Model:
+    """Model.counted() of words(word, ordinary, toxic) of size bytes: the driver gets continuation counts of order LOW and what is told."""
+    spark = words.sparkSession
+    shards = max(partitions(spark), -(-size // SHARD_BYTES))
+    dealt = words.mapInArrow(_dealt(shards), "shard int, blob binary")
+    held = materialise(dealt.groupBy("shard").applyInArrow(_joined, "blob binary, low binary"), "grams")
+    below = spark.sparkContext.broadcast(_below([r.low for r in held.select("low").collect()]))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                windows, depth, counts = _unpacked([blob])
+                p_low = _looked(*below.value, _window_grams(windows, depth, LOW))
+                told = _told(windows, depth, counts, _lower(windows, depth, p_low, range(LOW + 1, ORDER)))
+                yield pa.RecordBatch.from_arrays([pa.array([pack(*told)], pa.binary())], names=["told"])
+
+    told = [r.told for r in held.select("blob").mapInArrow(tell, "told binary").collect()]
+    below.unpersist()
+    remove(held)
+    return Model.tabled(*merge_blobs(told, [np.uint64, np.float64] * 2))
+
+
 def _featured(scorer: Scorer):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = scorer.value
@@ -369,18 +477,21 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
             return rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y", "text")
 
         counted = texts(~_turn(seed)).mapInArrow(_counted, "word binary, ordinary long, toxic long")
-        got = counted.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow()
-        count = [got.column(k).to_numpy() for k in (1, 2)]
-        if all(c.any() for c in count):
-            word = got.column(0).combine_chunks()
-            del got
-            scorer.model = Model.counted(word, *count)
+        found = materialise(counted.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "words")
+        n, size, *count = found.select(F.count(F.lit(1)), F.sum(F.octet_length("word")), F.sum("ordinary"), F.sum("toxic")).first()
+        if n and all(count):
+            if n <= AT_DRIVER:
+                got = found.toArrow()
+                scorer.model = Model.counted(got.column(0).combine_chunks(), *(got.column(k).to_numpy() for k in (1, 2)))
+            else:
+                scorer.model = _sharded(found, size)
             table = spark.sparkContext.broadcast(scorer)
             features = texts(_turn(seed)).mapInArrow(_featured(table), "y int, x1 double, x2 double, x3 double")
             rows = materialise(features, "features")
             scorer = Scorer(scorer.model, _calibrated(rows), scorer.base)
             table.unpersist()
             remove(rows)
+        remove(found)
     remove(ids)
     trim()  # what the fit took of the driver's memory
     return scorer

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,28 @@ def test_every_labelled_text_is_learnt_from_whole(spark, monkeypatch):
     want = {b"plain": (sum(i < 1500 for i in learnt), 0), b"vile": (0, 5000 * sum(i >= 2000 for i in learnt))}
     want |= {f"w{i}".encode() if i < 1500 else f"v{i - 2000}".encode(): (int(i < 1500), int(i >= 2000)) for i in learnt}
     assert len(learnt) > 700 and seen == [want]
+
+
+def test_shards_build_the_same_model(spark, monkeypatch):
+    """More words than the driver takes: none comes to it, and the model is that of all words at once."""
+    r = np.random.default_rng(3)
+    rows = [(bytes(r.choice(list(b"abcdeno\xc3\xa9"), r.integers(1, 18))), int(r.integers(0, 9)), int(r.integers(0, 9)) * int(k % 3 == 0)) for k in range(3000)]
+    rows = list({w: (w, a, b) for w, a, b in rows if a + b}.values())
+    words = spark.createDataFrame(rows, "word binary, ordinary long, toxic long").repartition(5)
+    monkeypatch.setattr(X, "DEALT", 100)
+    monkeypatch.setattr(X, "SHARD_BYTES", 1000)
+    whole = X.Model.counted(pa.array([w for w, _, _ in rows], pa.binary()), *(np.array(c) for c in list(zip(*rows, strict=True))[1:]))
+    got = X._sharded(words, sum(len(w) for w, _, _ in rows))
+    for name in ("grams", "contexts"):
+        assert len(getattr(got, name)) > 500 and np.array_equal(getattr(got, name), getattr(whole, name))
+    assert np.allclose(got.says, whole.says, atol=1e-9) and np.allclose(got.rest, whole.rest, atol=1e-9)
+
+
+def test_many_words_do_not_come_to_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"good plain words n{i} here" if i % 2 else f"foul rot rot f{i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(300)], "doc_id long, toxic int")
+    here = {r.doc_id: r.score for r in X.score(docs, labels).collect()}
+    monkeypatch.setattr(X, "AT_DRIVER", 10)
+    monkeypatch.setattr(X.Model, "counted", classmethod(lambda cls, *a: 1 / 0))
+    there = {r.doc_id: r.score for r in X.score(docs, labels).collect()}
+    assert there == pytest.approx(here, abs=1e-6) and len({round(x, 3) for x in here.values()}) > 1
