@@ -30,22 +30,28 @@ def _star(edges: DataFrame, rows: int, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _told(edges: DataFrame) -> tuple[int, bool]:
+    """How many edges there are, and whether they are stars already: no node has two lower ones, or a lower and a higher one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    n, most = nodes.select(F.sum("down"), F.max(F.when(F.col("down") > 0, F.col("down") + F.col("up")))).first()
+    return n or 0, (most or 0) <= 1
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of longs, in any direction, to (node, component): the least node that each reaches.
 
-    Nodes without an edge to another are left out. Null ends are dropped. Each
-    round is written to the shared folder, so a lost executor costs one round; the
-    rounds before it go. The result is written there too.
+    Nodes without an edge to another are left out. Null ends are dropped. Each half
+    of a round is written to the shared folder, so a lost executor costs no more, and the
+    driver plans one star at a time; what was before it goes. Edges that are stars need
+    no further round. The result is written there too.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, seen = materialise(edges, "edges"), None
-    while True:
-        state = edges.select(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
-        old, edges = edges, materialise(_star(_star(edges, state[0], large=True), state[0], large=False), "edges")
-        remove(old)
+    edges = materialise(edges, "edges")
+    while not (state := _told(edges))[1]:
+        for large in (True, False):
+            old, edges = edges, materialise(_star(edges, state[0], large), "edges")
+            remove(old)
     found = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     found = materialise(found, "components")
     remove(edges)

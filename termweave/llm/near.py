@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, partitions, remove, text_slices, texts_of
+from .common import materialise, mix64, partitions, remove, text_slices, texts_of, trim
 from .components import components
 from .simhash import kept_rows, link_stars, majority, stars
 
@@ -203,9 +203,11 @@ def near_copies(marked: DataFrame) -> DataFrame:
         if not alike.isEmpty():
             links, found = _joined_groups(alike, sets, None, None)
         remove(alike)
+        trim(marked.sparkSession)  # what planning the first half took of the driver's memory
     bands = materialise(marked.select("unit", "n", F.explode("keys").alias("key")).distinct(), "bands")
     links, done = _joined_groups(bands, sets, links, found)
     remove(bands, links)
+    trim(marked.sparkSession)
     return done
 
 

@@ -439,16 +439,34 @@ def _featured(scorer: Scorer):
     return features
 
 
+def _stepped(w: np.ndarray, n: int, toxic: int):
+    """(y, x1, x2, x3) to the sums of a batch that a step of logistic() takes, each class of the same weight."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, *x = (c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns)
+            x = np.stack([np.ones(len(y)), *x], axis=1)
+            weight = np.where(y == 1, n / 2 / max(toxic, 1), n / 2 / max(n - toxic, 1))
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            sums = np.r_[x.T @ (weight * (p - y)), ((x.T * (weight * (p * (1 - p) + 1e-9))) @ x).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in sums], names=_SUMS)
+
+    return step
+
+
+_SUMS = [f"s{k}" for k in range(20)]
+
+
 def _calibrated(rows: DataFrame, ridge: float = 1e-2) -> np.ndarray:
-    """logistic() of rows(y, x1, x2, x3), each class of the same weight; an iteration brings one row of sums to the driver."""
+    """logistic() of rows(y, x1, x2, x3), each class of the same weight; an iteration brings one row of sums to the driver.
+
+    The weights go to tasks as data: as parts of a plan, they would have the driver compile code for each iteration.
+    """
     n, toxic = rows.select(F.count(F.lit(1)), F.sum("y")).first()
-    x = [F.lit(1.0), F.col("x1"), F.col("x2"), F.col("x3")]
-    weight = F.when(F.col("y") == 1, n / 2 / toxic).otherwise(n / 2 / (n - toxic))
     w, penalty = np.zeros(4), np.r_[1e-9, np.full(3, ridge)]
     for _ in range(60):
-        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sum((F.lit(float(a)) * b for a, b in zip(w, x, strict=True)), F.lit(0.0))))))
-        stated = rows.select(*(c.alias(f"c{k}") for k, c in enumerate(x)), (weight * (p - F.col("y"))).alias("g"), (weight * (p * (1 - p) + 1e-9)).alias("h"))
-        sums = stated.select(*(F.sum(F.col(f"c{k}") * F.col("g")) for k in range(4)), *(F.sum(F.col(f"c{j}") * F.col(f"c{k}") * F.col("h")) for j in range(4) for k in range(4))).first()
+        batches = rows.select("y", "x1", "x2", "x3").mapInArrow(_stepped(w.copy(), n, toxic), ", ".join(f"{c} double" for c in _SUMS))
+        sums = batches.select(*(F.sum(c) for c in _SUMS)).first()
         step = np.linalg.solve(np.reshape(sums[4:], (4, 4)) + np.diag(penalty), np.array(sums[:4]) + penalty * w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
@@ -493,7 +511,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
             remove(rows)
         remove(found)
     remove(ids)
-    trim()  # what the fit took of the driver's memory
+    trim(spark)  # what the fit took of the driver's memory
     return scorer
 
 

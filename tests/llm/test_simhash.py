@@ -143,3 +143,24 @@ def test_components_of_hubs(spark, monkeypatch):
         root[max(x, y)] = min(x, y)
     want = sorted((x, find(x)) for x in root if sum(x in e and e[0] != e[1] for e in edges))
     assert sorted(map(tuple, C.components(spark.createDataFrame(edges, "a long, b long")).collect())) == want
+
+
+def test_components_plan_one_star_at_a_time(spark, monkeypatch):
+    """Edges that are stars take no round, and no plan reads the edges more often than one star does: plans fill the driver."""
+    from termweave.llm import components as C
+
+    seen, real = [], C.materialise
+
+    def noted(df, tag):
+        seen.append((tag, df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")))
+        return real(df, tag)
+
+    monkeypatch.setattr(C, "materialise", noted)
+    star = spark.createDataFrame([(1, 5), (1, 6), (7, 3), (8, 3)], "a long, b long")
+    assert sorted(map(tuple, C.components(star).collect())) == [(1, 1), (3, 3), (5, 1), (6, 1), (7, 3), (8, 3)]
+    assert [tag for tag, _ in seen] == ["edges", "components"]
+    seen.clear()
+    path = spark.createDataFrame([(k, k + 1) for k in range(9)], "a long, b long")
+    assert sorted(map(tuple, C.components(path).collect())) == [(k, 0) for k in range(10)]
+    assert len(seen) > 3 and max(n for _, n in seen) <= 8
+    assert C.components(path.limit(0)).isEmpty()
