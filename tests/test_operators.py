@@ -73,6 +73,36 @@ def test_fuzzy_against_all_pairs(spark):
     assert got == sorted(want)
 
 
+def test_fuzzy_leaves_few_pairs_to_compare(monkeypatch):
+    """Texts of one length and one alphabet are told apart without being compared, and pairs that reach the threshold are kept."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(7)
+    syllables = ["th", "er", "on", "in", "an", "re", "he", "ti", "ou", "st", "a ", " o", "f ", ". "]
+    texts = sorted({"".join(r.choice(syllables) for _ in range(40)) for _ in range(400)})
+    texts += [x[:k] + "z" + x[k + 2 :] for x in texts[:40] for k in (3, 50)]
+    compared, real = [], tm._lcs
+    monkeypatch.setattr(tm, "_lcs", lambda a, b: compared.extend(a) or real(a, b))
+    q = pa.table({"text": texts})
+    s = pa.table({"source": texts, "entry_id": list(range(len(texts))), "copies": [1] * len(texts)})
+    got = {(x["text"], x["source"], x["score"]) for x in tm._alike(90.0, 15)(q, s).to_pylist()}
+    want = {(a, b, v) for a in texts for b in texts if (v := 200.0 * X.lcs_length(a, b) / (len(a) + len(b))) >= 90.0}
+    assert got == want and len(want) > len(texts)
+    assert len(compared) < 0.02 * len(texts) ** 2
+
+
+def test_lcs_of_many_pairs():
+    import random
+
+    r = random.Random(3)
+    for longest in (5, 64, 130, 1100):
+        a = ["".join(r.choice("abcdeé 𝄞") for _ in range(r.randint(1, longest))) for _ in range(60)]
+        b = ["".join(r.choice("abcdeé z") for _ in range(r.randint(1, longest))) if r.random() < 0.5 else x[1:] + "q" for x in a]
+        assert tm._lcs(a, b).tolist() == [X.lcs_length(x, y) for x, y in zip(a, b, strict=True)]
+
+
 def test_qa(spark):
     s = spark.createDataFrame([(1, "a 12 b 7", "x 7"), (2, "A Ring", "x"), (3, "a.", "b"), (4, "a", "b!"), (5, "a.", "b?"), (6, "a 1.", "  "), (7, "a", None)], "seg_id long, source string, target string")
     hits = spark.createDataFrame([(2, "ring", "prstan"), (6, "a", "b")], "seg_id long, source_term string, target_term string")
