@@ -93,6 +93,16 @@ def test_fuzzy_leaves_few_pairs_to_compare(monkeypatch):
     assert len(compared) < 0.02 * len(texts) ** 2
 
 
+def test_best_of_known_texts_is_not_searched(spark, monkeypatch):
+    m = spark.createDataFrame([(1, "small red ring here", "a", "", "", ""), (2, "small red ring her", "b", "", "", ""), (3, "small red ring here", "c", "", "", "")], schemas.TM)
+    q = spark.createDataFrame([(1, "small red ring here"), (2, "small red ring hers"), (3, "small red ring her")], "qid long, text string")
+    asked, real = [], tm.by_blocks
+    monkeypatch.setattr(tm, "by_blocks", lambda a, *x, **k: asked.extend(r.text for r in a.select("text").distinct().collect()) or real(a, *x, **k))
+    got = sorted((r.qid, r.entry_id, r.target, round(r.score, 3), r["rank"]) for r in tm.fuzzy(q, m, 90.0, 1).collect())
+    assert got == [(1, 1, "a", 100.0, 1), (2, 2, "b", 97.297, 1), (3, 2, "b", 100.0, 1)]
+    assert asked == ["small red ring hers"]
+
+
 def test_lcs_of_many_pairs():
     import random
 
