@@ -426,6 +426,44 @@ def test_blocks_of_both_sides(spark, monkeypatch):
         assert [k for _, k in top] == [k for i, k, _ in sorted((a for a in got[1] if a[0] == x.qid), key=lambda a: a[2])]
 
 
+def test_concordance_meets_numbers(spark, monkeypatch):
+    """Entries and queries meet as numbers of words, in several blocks of words and rows; long, repeated and inner words count as in all pairs."""
+    import random
+
+    r, far = random.Random(11), "x" * 30 + "Ä" * 50
+    parts = ["red", "RING", "ring-", "small", "är", "the", "there", "a", far, f"y{far}z", far[:64], far[:63] + "q"]
+    text = lambda n: r.choice([" ", "\u00a0", "\n"]).join(r.choice(parts) for _ in range(r.randint(0, n)))
+    rows = [(k, text(9), text(4), "", "", "") for k in range(60)] + [(7, "red ring", "small", "", "", ""), (70, None, "red", "", "", ""), (71, "there" * 40, "", "", "", "")]
+    asked = [(k, text(6)) for k in range(40)] + [(40, "the the red"), (41, None), (42, far), (43, "red " * 300)]
+    cells, real = [], tm.by_blocks
+    monkeypatch.setattr(tm, "by_blocks", lambda a, b, *x, **k: cells.append(a.dtypes + b.dtypes) or real(a, b, *x, **k | {"rows": 16}))
+    m, q = spark.createDataFrame(rows, schemas.TM), spark.createDataFrame(asked, "qid long, text string")
+    got = sorted((x.qid, x["rank"], x.entry_id, x.source, x.target, x.relevance) for x in tm.concordance(q, m, 3, limit=150).collect())
+    assert not [c for c, kind in cells[0] if kind == "string"]
+    want = []
+    for qid, t in asked:
+        words = [w.lower() for w in (t or "").split() if len(w) > 1]
+        hits = []
+        for e, a, b, *_ in rows if words else []:
+            if a is not None:
+                ratio = len(a) / len(t)
+                v = sum(w in a.lower() or w in b.lower() for w in words) / len(words) * 100 * (0.0 if ratio > 10 else 0.3 if ratio > 4 else 0.6 if ratio > 2 else 1.0)
+                hits += [(-v, e, a, b)] if v > 20 else []
+        want += [(qid, -v, e) for v, e, *_ in sorted(hits)[:3]]
+    assert sorted((x[0], x[5], x[2]) for x in got) == sorted(want) and len(want) > 60
+    assert all((e, a, b, "", "", "") in rows for _, _, e, a, b, _ in got)
+
+
+def test_links_of_numbers(spark):
+    import random
+
+    r = random.Random(4)
+    side = lambda name: spark.createDataFrame(sorted({(e, f"{name}{r.randint(0, 4)}"): r.randint(1, 3) for e in range(30) for _ in range(3) if e % 7 or name == "s"}.items()), "k struct<entry_id:long,phrase:string>, weight long").select("k.*", "weight")
+    a, b = side("s"), side("t")
+    got, want = (sorted(map(tuple, x.collect())) for x in (seed.links(a, b, 20), seed.confidence(seed.cooccurrence(a, b), 20)))
+    assert got == want and 0 < len(want) < 25
+
+
 def test_seed_graph(spark, tmp_path):
     rows = [(k, "red ring red ring", "prstan rdeč", "", "en", "sl") for k in range(4)] + [(9, "blue sky", "nebo", "", "en", "sl")]
     nodes, edges = seed.seed(spark.createDataFrame(rows, schemas.TM), "en", "sl")
