@@ -93,6 +93,29 @@ def test_fuzzy_leaves_few_pairs_to_compare(monkeypatch):
     assert len(compared) < 0.02 * len(texts) ** 2
 
 
+def test_fuzzy_tells_long_texts_apart_by_pieces(monkeypatch):
+    """Long texts of one kind are hardly ever compared whole, and edits at the ends, in one place or spread lose no pair."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(9)
+    syllables = ["th", "er", "on", "in", "an", "re", "he", "the ", "and ", "of ", "ti", "e "]
+    texts = ["".join(r.choice(syllables) for _ in range(r.choice([60, 110, 115, 120, 210, 220]))) for _ in range(150)]
+    for x in texts[:40]:
+        k, cut = r.randrange(len(x)), len(x) // 11
+        texts += [x[cut:], x[:-cut], x[cut:] + "q" * cut, "é" * cut + x, x[:k] + x[k + cut :] + x[:cut], "".join(c for i, c in enumerate(x) if i % 11), x[: k + 1] + "z" * cut + x[k + 1 :]]
+    texts = sorted(set(texts))
+    compared, real = [], tm._lcs
+    monkeypatch.setattr(tm, "_lcs", lambda a, b: compared.extend(a) or real(a, b))
+    s = pa.table({"source": texts, "entry_id": list(range(len(texts))), "copies": [1] * len(texts)})
+    got = {(x["text"], x["source"], x["score"]) for x in tm._alike(90.0, 50)(pa.table({"text": texts}), s).to_pylist()}
+    fit = [(a, b) for a in texts for b in texts if abs(len(a) - len(b)) <= 0.1 * (len(a) + len(b))]
+    want = {(a, b, v) for a, b in fit if (v := 200.0 * X.lcs_length(a, b) / (len(a) + len(b))) >= 90.0}
+    assert got == want and len(want) > 2 * len(texts)
+    assert len(compared) < len(want) + 0.01 * len(fit)
+
+
 def test_best_of_known_texts_is_not_searched(spark, monkeypatch):
     m = spark.createDataFrame([(1, "small red ring here", "a", "", "", ""), (2, "small red ring her", "b", "", "", ""), (3, "small red ring here", "c", "", "", "")], schemas.TM)
     q = spark.createDataFrame([(1, "small red ring here"), (2, "small red ring hers"), (3, "small red ring her")], "qid long, text string")
